@@ -292,8 +292,8 @@ def answered(asks: DataFrame, buckets: int, vals: dict[int, np.dtype | None], an
     return asks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part", "chunk").mapInArrow(work, REPLY_SCHEMA)
 
 
-def with_replies(chunks: DataFrame, replies: DataFrame, size: int, work: Callable[[Chunk, dict[int, list[bytes]]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Bring each chunk together with its replies and hand both to work."""
+def with_replies(chunks: DataFrame, replies: DataFrame, size: int, work: Callable[[Chunk, dict[int, list[tuple[int, bytes]]]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Bring each chunk together with its replies, (bucket, reply) by part, and hand both to work."""
     left = chunks.select("chunk", F.lit(-1).alias("part"), F.lit(-1).alias("bucket"), "ids", "ends", "blob")
     right = replies.where("chunk >= 0").select("chunk", "part", "bucket", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("ends"), F.col("reply").alias("blob"))
 
@@ -308,7 +308,7 @@ def with_replies(chunks: DataFrame, replies: DataFrame, size: int, work: Callabl
                     chunk = Chunk(batch.column("chunk")[i].as_py(), np.array(ids[i].as_py(), np.int64), np.array(batch.column("ends")[i].as_py(), np.int64), blob[i].as_py())
                     got = {}
                 else:
-                    got.setdefault(p, []).append(blob[i].as_py())
+                    got.setdefault(p, []).append((batch.column("bucket")[i].as_py(), blob[i].as_py()))
         if chunk is not None:
             yield from work(chunk, got)
 
@@ -316,6 +316,14 @@ def with_replies(chunks: DataFrame, replies: DataFrame, size: int, work: Callabl
     return left.unionByName(right).repartition(tasks, "chunk").sortWithinPartitions("chunk", "part", "bucket").mapInArrow(run, schema)
 
 
+def reply_array(keys: np.ndarray, replies: list[tuple[int, bytes]], buckets: int, none, dtype) -> np.ndarray:
+    """The replies to ascending keys in their order; none where a bucket sent no reply."""
+    out, cuts = np.full(len(keys), none, dtype), split_keys(keys, buckets)
+    for bucket, data in replies:
+        out[cuts[bucket] : cuts[bucket + 1]] = dec(data, dtype)
+    return out
+
+
 def uniques(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct keys, and for each key its place among them."""
     order = np.argsort(keys)

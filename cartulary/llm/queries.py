@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, langid, mixing
+from . import anchors, knn, langid, mixing, simhash, suffixes
 from .common import Work
 
 
@@ -13,6 +13,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark, sf_dir):
+    groups = simhash.near_groups(read(spark, sf_dir, "documents"), Work(spark))
+    return groups.select("doc_id", simhash.fp_text().alias("fingerprint"), "component_id")
+
+
+def op3_fixed_block_anchors(spark, sf_dir):
+    found = anchors.find_repeats(read(spark, sf_dir, "documents"), Work(spark), keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_voronoi_knn(spark, sf_dir):
     return knn.knn_join(read(spark, sf_dir, "embeddings"), Work(spark))
 
@@ -24,13 +34,38 @@ def op6_language_id(spark, sf_dir):
     return langid.identify(docs, train).select("doc_id", held, "lang_pred", "score")
 
 
+def op9_suffix_array(spark, sf_dir):
+    found = suffixes.find_repeats(read(spark, sf_dir, "documents"), Work(spark), keep_bytes=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix_report(read(spark, sf_dir, "documents"), Work(spark))
 
 
-QUERIES = {f.__name__: f for f in (op5_voronoi_knn, op6_language_id, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_fixed_block_anchors, op5_voronoi_knn, op6_language_id, op9_suffix_array, op10_mixing)}
 
 ORACLE = {
+    "op3_fixed_block_anchors": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), win AS (
+            SELECT doc_id, p, md5(array_to_string(list_slice(w, p, p + 49), ' ')) AS h
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+        ), low AS (
+            SELECT h, min(doc_id) AS least FROM win GROUP BY h
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM win JOIN low USING (h) WHERE least < doc_id
+        ), words AS (
+            SELECT d.doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) AS d
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+            FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept.t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op5_voronoi_knn": """
         WITH ok AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
