@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, knn, langid, mixing, simhash, suffixes
+from . import anchors, interpolation, knn, langid, mixing, quality, simhash, suffixes
 from .common import Work
 
 
@@ -23,6 +23,11 @@ def op3_fixed_block_anchors(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_kneser_ney(spark, sf_dir):
+    judged = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Work(spark))
+    return judged.select("doc_id", "perplexity", "low", "high", "keep")
+
+
 def op5_voronoi_knn(spark, sf_dir):
     return knn.knn_join(read(spark, sf_dir, "embeddings"), Work(spark))
 
@@ -34,6 +39,12 @@ def op6_language_id(spark, sf_dir):
     return langid.identify(docs, train).select("doc_id", held, "lang_pred", "score")
 
 
+def op7_deleted_interpolation(spark, sf_dir):
+    found = interpolation.score(read(spark, sf_dir, "documents"), Work(spark))
+    held = F.coalesce(langid.split(parts=10) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_suffix_array(spark, sf_dir):
     found = suffixes.find_repeats(read(spark, sf_dir, "documents"), Work(spark), keep_bytes=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -43,7 +54,19 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_report(read(spark, sf_dir, "documents"), Work(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_fixed_block_anchors, op5_voronoi_knn, op6_language_id, op9_suffix_array, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op3_fixed_block_anchors,
+        op4_kneser_ney,
+        op5_voronoi_knn,
+        op6_language_id,
+        op7_deleted_interpolation,
+        op9_suffix_array,
+        op10_mixing,
+    )
+}
 
 ORACLE = {
     "op3_fixed_block_anchors": """
