@@ -25,7 +25,7 @@ def op3_fixed_block_anchors(spark, sf_dir):
 
 def op4_kneser_ney(spark, sf_dir):
     judged = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Work(spark))
-    return judged.select("doc_id", "perplexity", "low", "high", "keep")
+    return judged.select("doc_id", "perplexity", "peak", "low", "high", "high_peak", "keep")
 
 
 def op5_voronoi_knn(spark, sf_dir):
