@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, interpolation, knn, langid, mixing, quality, simhash, suffixes
+from . import anchors, interpolation, knn, langid, mixing, quality, simhash, suffixes, templates, wrappers
 from .common import Work
 
 
@@ -18,6 +18,11 @@ def op1_simhash(spark, sf_dir):
     return groups.select("doc_id", simhash.fp_text().alias("fingerprint"), "component_id")
 
 
+def op2_wrapper_induction(spark, sf_dir):
+    found = wrappers.extract(read(spark, sf_dir, "pages"), Work(spark))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_fixed_block_anchors(spark, sf_dir):
     found = anchors.find_repeats(read(spark, sf_dir, "documents"), Work(spark), keep_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -45,6 +50,11 @@ def op7_deleted_interpolation(spark, sf_dir):
     return found.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_templates(spark, sf_dir):
+    found = templates.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op9_suffix_array(spark, sf_dir):
     found = suffixes.find_repeats(read(spark, sf_dir, "documents"), Work(spark), keep_bytes=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -58,11 +68,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash,
+        op2_wrapper_induction,
         op3_fixed_block_anchors,
         op4_kneser_ney,
         op5_voronoi_knn,
         op6_language_id,
         op7_deleted_interpolation,
+        op8_templates,
         op9_suffix_array,
         op10_mixing,
     )
