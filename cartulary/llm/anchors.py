@@ -15,7 +15,6 @@ empty tables, come back unchanged.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    ASK_SCHEMA, NO_ID, Chunk, Rolling, answered, asked, bucket_count, chunk_words, dec, enc, mix, pack_chunks, real_id,
-    reply_array, split_keys, table, total_bytes, uniques, with_replies, word_codes,
+    ASK_SCHEMA, NO_ID, Chunk, ChunkWords, Rolling, answered, asked, bucket_count, enc, mix, pack_chunks, real_id,
+    reply_array, table, total_bytes, uniques, with_replies,
 )
 
 BLOCK_PART, PROBE_PART, WINDOW_PART = 0, 1, 2
 _WINDOW = np.dtype([("check", "<u4"), ("low", "<i8"), ("high", "<i8")])
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class _Words:
     """Word hashes of a chunk and where windows may start."""
 
     def __init__(self, chunk: Chunk, block: int, window: int):
-        self.words, self.ends = chunk_words(chunk)
-        self.codes = word_codes(self.words)
-        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if len(self.ends) else self.ends
+        self.words = ChunkWords(chunk)
+        self.codes, self.starts, self.ends = self.words.code, self.words.doc_start, self.words.doc_end
         self.doc = np.repeat(np.arange(len(self.ends)), self.ends - self.starts)
         self.block, self.window = block, window
         self.roll = Rolling(self.codes)
@@ -166,18 +163,20 @@ def find_repeats(docs: DataFrame, work, window: int = 50, keep_text: bool = True
         cover[gone] += 1
         np.subtract.at(cover, gone + window, 1)
         removed = np.cumsum(cover)[:-1] > 0
+        first, last = w.words.start.tolist(), w.words.end.tolist()
         rows, n = [], 0
         for i, text in enumerate(chunk.texts()):
             a, b = int(w.starts[i]), int(w.ends[i])
             r = removed[a:b]
-            words, lo, hi = w.words[a:b], [], []
+            lo = hi = []
+            kept, joined = text, b" ".join(text.split())
             if r.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], r.view(np.int8), [0]])))
                 lo, hi = edge[::2].tolist(), edge[1::2].tolist()
-                words = [x for x, y in zip(words, r.tolist(), strict=True) if not y]
-            kept = _without(text, lo, hi).decode("utf-8", "replace") if keep_text else None
+                joined = b" ".join([chunk.blob[first[k] : last[k]] for k in (np.flatnonzero(~r) + a).tolist()])
+                kept = _without(chunk, i, [(first[a + x], first[a + y] if a + y < b else None) for x, y in zip(lo, hi, strict=True)])
             h = xxhash.xxh64_intdigest(text, 42)
-            rows.append((int(chunk.ids[i]), h - (1 << 64) if h >> 63 else h, b - a, int(r.sum()), lo, hi, kept, hashlib.sha256(b" ".join(words)).hexdigest()))
+            rows.append((int(chunk.ids[i]), h - (1 << 64) if h >> 63 else h, b - a, int(r.sum()), lo, hi, kept.decode("utf-8", "replace") if keep_text else None, hashlib.sha256(joined).hexdigest()))
             n += len(text)
             if n > 1 << 20:
                 yield table(schema, rows)
@@ -189,16 +188,13 @@ def find_repeats(docs: DataFrame, work, window: int = 50, keep_text: bool = True
     return out.withColumn("doc_id", real_id())
 
 
-def _without(text: bytes, starts: list[int], ends: list[int]) -> bytes:
-    """The text without the words in these runs and the white space after each of them."""
-    if not starts:
-        return text
-    spans = [m.span() for m in _WORD.finditer(text)]
-    out, at = [], 0
-    for a, b in zip(starts, ends, strict=True):
-        out.append(text[at : spans[a][0]])
-        at = spans[b][0] if b < len(spans) else len(text)
-    return b"".join([*out, text[at:]])
+def _without(chunk: Chunk, i: int, runs: list[tuple[int, int | None]]) -> bytes:
+    """The text of document i without these byte runs; a run ends where the next kept word begins."""
+    out, at = [], int(chunk.starts[i])
+    for a, b in runs:
+        out.append(chunk.blob[at:a])
+        at = int(chunk.ends[i]) if b is None else b
+    return b"".join([*out, chunk.blob[at : int(chunk.ends[i])]])
 
 
 def remove_repeats(docs: DataFrame, work, window: int = 50) -> DataFrame:

@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -180,20 +179,45 @@ class Rolling:
         return mix((self.sums[width:] - self.sums[:n]) * self.down[:n] + np.uint64(width)) if n else np.zeros(0, np.uint64)
 
 
-def word_codes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit code for each word."""
-    code = {w: xxhash.xxh64_intdigest(w, 7) for w in set(words)}
-    return np.fromiter(map(code.__getitem__, words), np.uint64, len(words))
-
-
-def chunk_words(chunk: Chunk, lower: bool = False) -> tuple[list[bytes], np.ndarray]:
-    """All words of a chunk, and each document's end as a word position."""
-    words: list[bytes] = []
-    ends = np.empty(len(chunk.ids), np.int64)
-    for i, text in enumerate(chunk.texts()):
-        words += (text.lower() if lower else text).split()  # bytes.split() and lower() know ASCII only
-        ends[i] = len(words)
-    return words, ends
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_code(word: bytes) -> np.uint64:
+    """The code that ChunkWords gives to this word."""
+    b = np.frombuffer(word, np.uint8)
+    return Rolling(BYTE_CODES[b]).of(np.array([0]), np.array([len(b)]))[0]
+
+
+class ChunkWords:
+    """Every word of a chunk: byte range, 64-bit code, and where each document's words begin and end."""
+
+    def __init__(self, chunk: Chunk, lower: bool = False, step: int = 1 << 20):
+        starts, ends, codes = [], [], []
+        b = np.frombuffer(chunk.blob, np.uint8)
+        at, n = 0, len(b)
+        while at < n:  # a few documents at a time, to keep the tables small
+            stop = int(chunk.ends[min(len(chunk.ends) - 1, np.searchsorted(chunk.ends, at + step))])
+            part = b[at:stop]
+            ink = ~_SPACE[part]
+            edge = np.zeros(len(part) + 1, bool)  # a document begins or ends here
+            cuts = chunk.starts[np.searchsorted(chunk.starts, at) : np.searchsorted(chunk.starts, stop)] - at
+            edge[cuts] = edge[0] = edge[-1] = True
+            before = np.append(False, ink[:-1]) & ~edge[:-1]
+            after = np.append(ink[1:], False) & ~edge[1:]
+            a, z = np.flatnonzero(ink & ~before), np.flatnonzero(ink & ~after) + 1
+            codes.append(Rolling(BYTE_CODES[_LOWER[part] if lower else part]).of(a, z))
+            starts.append(a + at)
+            ends.append(z + at)
+            at = stop
+        none = np.zeros(0, np.int64)
+        self.start, self.end = np.concatenate([none, *starts]), np.concatenate([none, *ends])
+        self.code = np.concatenate([np.zeros(0, np.uint64), *codes])
+        self.doc_end = np.searchsorted(self.start, chunk.ends)
+        self.doc_start = np.concatenate([[0], self.doc_end[:-1]]).astype(np.int64)
 
 
 # ---------------------------------------------------------------- columns of numbers as bytes

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    ASK_SCHEMA, NO_ID, Chunk, answered, asked, bucket_count, enc, mix, pack_chunks, real_id, reply_array, total_bytes,
-    uniques, with_replies, word_codes,
+    ASK_SCHEMA, NO_ID, Chunk, ChunkWords, answered, asked, bucket_count, enc, mix, pack_chunks, real_id, reply_array,
+    total_bytes, uniques, with_replies, word_code,
 )
 
-END, BEGIN = b" ", b"\n"  # no word holds white space
+END, BEGIN = word_code(b" "), word_code(b"\n")  # no word holds white space
 ONE, PAIR, TOTALS = 0, 1, 9
 FREQS, LEVELS = 25, 128  # buckets of context frequency; steps of a quarter bit per probability
 _COUNT = np.dtype([("all", "<u4"), ("held", "<u4")])
@@ -35,23 +35,17 @@ class Tokens:
     """Lower-cased words of a chunk, each document closed by an end token."""
 
     def __init__(self, chunk: Chunk, parts: int, tune: int):
-        words: list[bytes] = []
-        ends = []
-        for text in chunk.texts():
-            words += text.lower().split()
-            words.append(END)
-            ends.append(len(words))
-        self.ends = np.array(ends, np.int64)
+        words = ChunkWords(chunk, lower=True)
+        code = np.insert(words.code, words.doc_end, END)
+        self.ends = words.doc_end + np.arange(1, len(words.doc_end) + 1)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         crc = np.array([zlib.crc32(str(i).encode()) if i != NO_ID else 0 for i in chunk.ids.tolist()], np.int64)
         size = self.ends - self.starts
         self.learn = np.repeat(crc % parts != 0, size)
         self.tune = self.learn & np.repeat(crc // parts % tune == 0, size)
-        code = word_codes(words)
         before = np.empty_like(code)
         before[1:] = code[:-1]
-        self.begin = word_codes([BEGIN])[0]
-        before[self.starts] = self.begin
+        before[self.starts] = BEGIN
         self.opening = np.zeros(len(code), bool)
         self.opening[self.starts] = True
         self.ones, self.at = uniques(code)
@@ -73,7 +67,7 @@ class Tokens:
         w = one[self.at]
         h = np.empty_like(w)
         h[1:] = w[:-1]
-        h[self.opening] = one[np.searchsorted(self.ones, word_codes([END])[0])]  # each document begins and ends once
+        h[self.opening] = one[np.searchsorted(self.ones, END)]  # each document begins and ends once
         return pair[self.pair_at], h, w
 
 

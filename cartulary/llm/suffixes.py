@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    ASK_SCHEMA, Chunk, Rolling, answered, asked, bucket_count, dec, enc, mix, pack_chunks, real_id, reply_array, table,
+    ASK_SCHEMA, BYTE_CODES, Chunk, Rolling, answered, asked, bucket_count, dec, enc, mix, pack_chunks, real_id, reply_array, table,
     total_bytes, uniques, with_replies,
 )
 
@@ -37,7 +37,6 @@ UNIQUE, REPEATED, OPEN, ENVOY = 0, 1, 2, 3  # of a suffix: ENVOY is REPEATED and
 _SUFFIX = np.dtype([("k0", ">u8"), ("k1", ">u8"), ("k2", ">u8"), ("k3", ">u8"), ("around", ">u8"), ("n", "u1")])
 _COLS = ("k0", "k1", "k2", "k3", "around")
 _WINDOW = np.dtype([("check", "<u4"), ("n", "u1")])
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def multikey_order(cols: list[np.ndarray], leaf: int = 4096) -> np.ndarray:
@@ -77,7 +76,7 @@ class _Suffixes:
         edge[chunk.starts[long]] = 1
         np.subtract.at(edge, chunk.ends[long] - width + 1, 1)
         start = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8) > 0)
-        self.codes = _BYTE[b]
+        self.codes = BYTE_CODES[b]
         self.roll = Rolling(self.codes)
         x = np.concatenate([b, np.zeros(8, np.uint8)]).astype(np.uint64)
         x = (x[:-1] << np.uint64(8)) | x[1:]
