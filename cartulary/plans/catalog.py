@@ -413,10 +413,11 @@ def text_synonyms(spark, d):
     return search.search(a.parts(spark, d), "ring zzzz", (), _SYN).select("id")
 
 
-@query(f"SELECT {sql_id('part', 'p_partkey')} AS id, row_number() OVER (ORDER BY CASE WHEN p_name = 'small ring' THEN 0 ELSE 1 END, {sql_id('part', 'p_partkey')}) AS n FROM part WHERE p_name = 'small ring' QUALIFY n <= 20")
+@query(f"SELECT {sql_id('part', 'p_partkey')} AS id, row_number() OVER (ORDER BY {sql_id('part', 'p_partkey')}) AS n FROM part WHERE p_name = 'small ring' QUALIFY n <= 20")
 def search_ranked(spark, d):
-    """Both words side by side in the title come first."""
-    page = search.page(search.search(a.parts(spark, d), "small ring", ()), search.rank_order(), 20)
+    """The documents with both words side by side, best first."""
+    close = search.search(a.parts(spark, d), "small ring", ()).where("words = 2 and proximity = 1")
+    page = search.page(close, search.rank_order(), 20)
     return page.select("id", F.row_number().over(Window.orderBy(*search.rank_order())).cast("long").alias("n"))
 
 
