@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    ASK_SCHEMA, NO_ID, Chunk, ChunkWords, Rolling, answered, asked, bucket_count, enc, mix, pack_chunks, real_id,
-    reply_array, table, total_bytes, uniques, with_replies,
+    ASK_SCHEMA, NO_ID, Chunk, ChunkWords, Rolling, answered, asked, boxed, bucket_count, enc, key_columns, keys_of, mix,
+    pack_chunks, real_id, reply_array, table, total_bytes, unboxed, uniques, with_replies,
 )
 
 BLOCK_PART, PROBE_PART, WINDOW_PART = 0, 1, 2
@@ -199,11 +199,10 @@ def _without(chunk: Chunk, i: int, runs: list[tuple[int, int | None]]) -> bytes:
 
 def remove_repeats(docs: DataFrame, work, window: int = 50) -> DataFrame:
     """docs with repeated windows cut from the text; rows that lose every word go. All columns stay; n_chars follows the text."""
-    found = find_repeats(docs, work, window).where("n_removed > 0")
-    found = found.groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.first("kept").alias("m_kept"), F.first(F.col("n_removed") == F.col("n_words")).alias("m_all"))
-    on = docs["doc_id"].cast("long").eqNullSafe(found["m_id"]) & (F.xxhash64(docs["text"]) == found["m_hash"])
-    out = docs.join(found, on, "left").where("m_all is null or not m_all")
-    new = {"text": F.coalesce("m_kept", docs["text"])}
+    found = key_columns(find_repeats(docs, work, window).where("n_removed > 0"))
+    found = found.groupBy("m_id", "m_hash").agg(F.first("kept").alias("kept"), F.first(F.col("n_removed") == F.col("n_words")).alias("gone"))
+    out = boxed(docs).withColumns(keys_of()).join(found, ["m_id", "m_hash"], "left").where("gone is null or not gone")
+    new = {"text": F.coalesce("kept", "row.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("m_kept").isNotNull(), F.length("m_kept").cast("long")).otherwise(docs["n_chars"])
-    return out.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    return unboxed(out, **new)

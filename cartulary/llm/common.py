@@ -64,6 +64,27 @@ def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """docs as one column ``row``, so that no name of theirs can clash with a helper column."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unboxed(rows: DataFrame, **changed) -> DataFrame:
+    """The columns of row, some of them replaced."""
+    names = rows.schema["row"].dataType.names
+    return rows.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in names))
+
+
+def keys_of() -> dict:
+    """id and text hash of a boxed document: what decisions about it are joined by."""
+    return {"m_id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)), "m_hash": F.xxhash64(F.col("row.text").cast("string"))}
+
+
+def key_columns(found: DataFrame) -> DataFrame:
+    """The same for decisions that have doc_id and text_hash."""
+    return found.withColumns({"m_id": F.coalesce("doc_id", F.lit(NO_ID)), "m_hash": F.col("text_hash")})
+
+
 def real_id(name: str = "doc_id"):
     return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
 

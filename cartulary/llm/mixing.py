@@ -19,16 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import boxed, unboxed
+
 BLOCKS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def n_words(text="text"):
+def n_words(text: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def block_of(seed: int, id_col: str = "doc_id", text_col: str = "text"):
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)))
+def block_of(seed: int):
+    key = F.coalesce(F.col("row.doc_id").cast("long"), F.xxhash64(F.col("row.text")))
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BLOCKS)).cast("int")
 
 
@@ -111,7 +113,8 @@ def plan(spark, blocks: DataFrame, weights=(5, 2, 1), ratio=1.5, most=2.0, shard
 
 
 def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
-    return docs.withColumns({"m_size": n_words(), "m_src": F.col("source").cast("string"), "m_blk": block_of(seed)})
+    """Boxed documents with their size, source and block."""
+    return boxed(docs).withColumns({"m_size": n_words("row.text"), "m_src": F.col("row.source").cast("string"), "m_blk": block_of(seed)})
 
 
 def block_table(docs: DataFrame) -> DataFrame:
@@ -125,16 +128,15 @@ def planned(docs: DataFrame, the_plan: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
     """The mix itself: every drawn document, as often as drawn, shard by shard in shuffled order."""
-    cols, spark = docs.columns, docs.sparkSession
-    docs = sized(docs, seed)
-    out = planned(docs, plan(spark, block_table(docs), seed=seed, **how)).where("m_size > 0")
-    out = out.select(*(f"`{c}`" for c in cols), F.posexplode("shards").alias("m_copy", "m_shard"))
-    order = F.xxhash64("doc_id", "m_copy", F.lit(seed))
-    return out.repartition("m_shard", F.pmod(order, F.lit(16))).sortWithinPartitions("m_shard", order).select(*(f"`{c}`" for c in cols))
+    rows = sized(docs, seed)
+    out = planned(rows, plan(docs.sparkSession, block_table(rows), seed=seed, **how)).where("m_size > 0")
+    out = out.select("row", F.posexplode("shards").alias("copy", "shard"))
+    order = F.xxhash64("row.doc_id", "copy", F.lit(seed))
+    return unboxed(out.repartition("shard", F.pmod(order, F.lit(16))).sortWithinPartitions("shard", order))
 
 
 def mix_report(docs: DataFrame, work, seed: int = 17, **how) -> DataFrame:
     """What the mix takes of each document."""
-    rows = work.put("sized", sized(docs.select("doc_id", "text", "source"), seed).select("doc_id", "m_size", "m_src", "m_blk"))
+    rows = work.put("sized", sized(docs.select("doc_id", "text", "source"), seed).select("row.doc_id", "m_size", "m_src", "m_blk"))
     out = planned(rows, plan(docs.sparkSession, block_table(rows), seed=seed, **how))
     return out.select("doc_id", F.col("m_size").alias("size"), "source_size", "target", (F.col("m_size") * F.size("shards")).alias("taken"))

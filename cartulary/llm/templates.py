@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, table, texts, uniques
+from .common import Rolling, boxed, key_columns, keys_of, table, texts, unboxed, uniques
 
 WIDTH, COVER, BLOCK, SHORTEST, PIECE = 8, 0.5, 1_000_000, 4, 2 << 20
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -181,6 +181,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> D
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, work) -> DataFrame:
     """docs without those that hold a benchmark item; all columns stay."""
-    bad = work.put("leaks", find_leaks(docs, benchmark).select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).distinct())
-    on = docs["doc_id"].cast("long").eqNullSafe(bad["m_id"]) & (F.xxhash64(docs["text"]) == bad["m_hash"])
-    return docs.join(bad, on, "left_anti")
+    bad = work.put("leaks", key_columns(find_leaks(docs, benchmark)).select("m_id", "m_hash").distinct())
+    return unboxed(boxed(docs).withColumns(keys_of()).join(bad, ["m_id", "m_hash"], "left_anti"))
