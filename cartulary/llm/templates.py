@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, boxed, key_columns, keys_of, table, texts, unboxed, uniques
 
-WIDTH, COVER, BLOCK, SHORTEST, PIECE = 8, 0.5, 1_000_000, 4, 2 << 20
+WIDTH, COVER, BLOCK, SHORTEST, PIECE = 8, 0.5, 1_000_000, 4, 1 << 20
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 # fixed values: unit names, after a number
 UNITS = frozenset(

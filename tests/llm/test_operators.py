@@ -180,12 +180,30 @@ def test_keep_one(spark, some):
     kept = simhash.keep_one(df, Work(spark))
     assert kept.columns == df.columns
     got = kept.select("doc_id", "text").collect()
-    groups = {(r.doc_id, r.text_hash): r.group for r in simhash.near_groups(df, Work(spark), 9, 5, 9).collect()}
+    groups = {(r.doc_id, r.text_hash): r.group for r in simhash.near_groups(df, Work(spark), 11, 5, 9, least=0.8).collect()}
     hashed = {tuple(r) for r in kept.select("doc_id", F.xxhash64("text")).collect()}
     assert len(got) == len(hashed) == len(set(groups.values())) == len({groups[k] for k in hashed})
     assert simhash.keep_one(no_docs(spark), Work(spark)).count() == 0
 
 
+def test_keep_one_catches_near_copies_only(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(900)]
+    rows, copies = [], set()
+    for i in range(0, 300, 3):
+        text = [rng.choice(words) for _ in range(rng.randint(80, 400))]
+        near, far = list(text), list(text)
+        near[len(near) // 2] = "changed"
+        for k in range(0, len(far), 9):
+            far[k] = "other"
+        rows += [(i, " ".join(text)), (i + 1, " ".join(near)), (i + 2, " ".join(far))]
+        copies.add(i + 1)
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOC)
+    kept = {r.doc_id for r in simhash.keep_one(docs, Work(spark)).collect()}
+    assert kept >= {i for i, _ in rows} - copies  # nothing under 0.8 goes
+    assert len(copies - kept) >= 0.95 * len(copies)
+
+
 # ---------------------------------------------------------------- 2
 
 PAGE = """<!doctype html><html><head><title>t{i}</title><style>p>a{{}}</style></head><body class="x"><header>Site name</header><nav><a>m{i}</a></nav>
