@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,12 @@ from ..operators import aggregates, frontier, geocache, ingest, predicates, sear
 from ..operators import gazetteer as gaz
 from ..operators import store as stores
 from ..operators import submissions as subs
+from ..schema import TABLES, conform
+from ..sources import base as sources
 from ..sources import osm, web, wiki
 from ..streaming import ratelimit
 from . import adapters as a
+from . import api
 from .adapters import BOX, DENVER, NOW, REGION, RING, SQL_EVENTS, SQL_GAZETTEER, SQL_SUBMISSIONS, sql_haversine, sql_id, sql_lat, sql_lng, sql_places, table
 
 QUERIES = {}
@@ -364,9 +369,126 @@ def exists_probe(spark, d):
     return stores.exists(p, p.where("id % 11 = 0").union(p.select(-F.col("id") - 1)))
 
 
+@query("SELECT 3 * count(*) AS received, 3 * count(CASE WHEN event_type = 'error' THEN 1 END) AS invalid, CAST(0 AS BIGINT) AS out_of_region, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS suppressed, CAST(0 AS BIGINT) AS unchanged, 3 * count(CASE WHEN event_type <> 'error' THEN 1 END) AS written FROM events")
+def stats_merge(spark, d):
+    bad = (F.col("event_type") == "error").cast("long")
+    zero = {c: F.lit(0).cast("long") for c in ingest.COUNTERS}
+    one = table(spark, d, "events").select(*(c.alias(n) for n, c in (zero | {"received": F.lit(1).cast("long"), "invalid": bad, "written": 1 - bad}).items()))
+    return ingest.merge_stats(one.union(one).union(one))
+
+
+@query("SELECT source, CAST(invalid + out_of_region + suppressed AS BIGINT) AS rejected FROM (SELECT event_type AS source, sum(user_id) AS invalid, count(*) AS out_of_region, sum(event_id % 3) AS suppressed FROM events GROUP BY 1)")
+def rejected_total(spark, d):
+    m = table(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(F.sum("user_id").alias("invalid"), F.count("*").alias("out_of_region"), F.sum(F.col("event_id") % 3).alias("suppressed"))
+    return aggregates.rejected(m).select("source", "rejected")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE 0 END AS at FROM events")
+def cursor_read(spark, d):
+    """A whole number of a JSON cursor, zero where the cursor is malformed."""
+    raw = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("{"), "props"))
+    return table(spark, d, "events").withColumn("v", raw).select("event_id", sources.cursor_int("v", "k").alias("at"))
+
+
+@query(f"WITH {sql_places()} SELECT id FROM places WHERE {_TILE} IN (52, 53, 0)")
+def tile_scan(spark, d):
+    """A slice of three tiles that wraps at the end of the sweep."""
+    p = a.places(spark, d).withColumn("tile", geo.tile_of("lat", "lng", BOX, *_GRID))
+    return sources.slice_of(p, "tile", 52, 3, _GRID[0] * _GRID[1]).select("id")
+
+
+_POINTS = sources.grid_points(BOX, 75.0)[:25]
+
+
+@query(
+    f"WITH pts AS (SELECT unnest({[list(p) for p in _POINTS]}::DOUBLE[][]) AS p), c AS (SELECT doc_id, {sql_lat('doc_id')} AS lat, {sql_lng('doc_id')} AS lng FROM documents) SELECT DISTINCT doc_id AS pageid FROM c, pts WHERE {sql_haversine('lat', 'lng', 'p[1]', 'p[2]')} <= 10000"
+)
+def grid_scan(spark, d):
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("pageid"), a.lat("doc_id").alias("lat"), a.lng("doc_id").alias("lon"))
+    return wiki.hits_near(c, _POINTS).select("pageid")
+
+
+@query("SELECT p_partkey AS pageid, lower(p_type) || CASE WHEN p_size % 2 = 0 THEN '' ELSE ';' || lower(p_brand) END AS categories FROM part")
+def type_labels(spark, d):
+    """Labels of a page's types in claim order; the label of every second brand is unknown."""
+    p = table(spark, d, "part")
+    pages = p.select(F.col("p_partkey").alias("pageid"), F.col("p_name").alias("title"), F.lit("").alias("extract"), F.lit("").alias("fullurl"), F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("wikibase_item"))
+    brand = F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, "?").otherwise(""))
+    types = p.select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("entity_id"), F.posexplode(F.array("p_type", brand)).alias("pos", "type_id"))
+    labels = p.select(F.explode(F.array("p_type", "p_brand")).alias("type_id")).distinct().withColumn("label", F.col("type_id"))
+    return wiki.labelled(pages, types, labels).select("pageid", F.array_join("categories", ";").alias("categories"))
+
+
+@query("SELECT c_custkey, CASE WHEN length(c_name || ' ') - 1 <= 12 THEN c_name ELSE substr(c_name, 1, 12) || '…' END AS label, substr(c_mktsegment, 1, 5) AS field FROM customer")
+def form_fields(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", text.short(F.concat(F.lit(" "), "c_name", F.lit(" ")), 12).alias("label"), text.form_field(F.concat(F.lit("  "), "c_mktsegment"), 5).alias("field"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'place' WHEN 1 THEN 'event' WHEN 2 THEN 'article' ELSE 'none' END AS kind FROM events")
+def kind_names(spark, d):
+    said = F.element_at(F.array(*map(F.lit, (" Places", "event", "ARTICLES ", "song", ""))), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", F.coalesce(text.kind_of(said), F.lit("none")).alias("kind"))
+
+
+@query("SELECT doc_id, CASE WHEN len(p) = 0 THEN '' ELSE " + _sql_truncate("p[1]", 500) + r""" AS lead FROM (SELECT doc_id, [trim(regexp_replace(x, '\s+', ' ', 'g')) FOR x IN string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) IF trim(x) <> ''] AS p FROM documents)""".replace(" AS lead", " END AS lead", 1))
+def first_paragraphs(spark, d):
+    doubled = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return table(spark, d, "documents").select("doc_id", text.first_paragraph(doubled).alias("lead"))
+
+
+@query("SELECT error, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'title_short' WHEN c_custkey % 7 = 1 THEN 'description_short' WHEN c_custkey % 7 = 2 THEN 'url_scheme' WHEN c_custkey % 7 = 3 THEN 'coordinates_half' WHEN c_custkey % 7 = 4 THEN 'outside_region' WHEN c_custkey % 7 = 5 THEN 'kind_unknown' ELSE 'accepted' END AS error FROM customer) GROUP BY error")
+def submission_validate(spark, d):
+    k = F.col("c_custkey") % 7
+    pick = lambda n, bad, good: F.when(k == n, F.lit(bad)).otherwise(good if not isinstance(good, str) else F.lit(good))
+    drafts = table(spark, d, "customer").select(
+        pick(0, "x", F.col("c_name")).alias("title"), pick(1, "abc", "a long description").alias("description"), pick(2, "ftp://x.example/", "https://x.example/").alias("url"), F.when(k == 3, "").when(k == 4, "10").otherwise("39.0").alias("lat"), F.lit("-105.0").alias("lng"),
+        pick(5, "song", "Events").alias("target_kind"), F.lit("a,b").alias("categories"), F.lit("add").alias("request"), *(F.lit("").alias(c) for c in ("address", "city", "existing_id", "contact")),
+    )
+    return subs.validate(drafts, REGION, NOW).groupBy(F.coalesce("error", F.lit("accepted")).alias("error")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT note, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'indexed; website queued' ELSE 'no coordinates, known address or known town to place it by' END WHEN 2 THEN 'removed and withdrawn' ELSE 'website queued' END AS note FROM orders WHERE o_orderstatus = 'F') GROUP BY note")
+def submission_apply(spark, d):
+    """What all approved submissions lead to."""
+    s = a.submissions(spark, d).where("status = 'approved'")
+    k = F.col("id").cast("long")
+    batch = conform(s.withColumns({"lat": F.when(k % 3 == 0, F.lit(39.0)), "lng": F.when(k % 3 == 0, F.lit(-105.0)), "url": F.concat(F.lit("https://x.example/"), "id"), "target_kind": F.lit("place"), "existing_id": F.col("id"), "title": F.col("id"), "description": F.lit("text")}), TABLES["submissions"])
+    none = spark.createDataFrame([], TABLES["geocache"])
+    done = subs.apply(batch, REGION, a.gazetteer(spark, d), none, NOW)
+    return done.submissions.groupBy(F.col("apply_note").alias("note")).agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- search
 
 
+def _catalog(spark, d):
+    """The public queries' tables: places, events and articles of the test data."""
+    none = lambda n: spark.createDataFrame([], TABLES[n])
+    tables = {"place": conform(a.places(spark, d), TABLES["places"]), "event": conform(a.events(spark, d), TABLES["events"]), "article": conform(a.articles(spark, d), TABLES["articles"])}
+    return api.Catalog(spark, replace(REGION, polygon=None), tables, a.gazetteer(spark, d), none("submissions"), none("metrics"))
+
+
+@query(f"WITH {sql_places()} SELECT id, kind FROM (SELECT id, 'place' AS kind FROM places WHERE cat = 'machinery' AND lower(county) = 'asia' AND {INSIDE} ORDER BY id LIMIT 50)")
+def search_region(spark, d):
+    return api.search_region(_catalog(spark, d), None, ["places"], county="Asia", categories=["Machinery"], limit=50).select("id", "kind")
+
+
+@query(f"WITH {SQL_EVENTS} SELECT id, starts_at FROM (SELECT id, strftime(to_timestamp(start_time)::TIMESTAMP, '%Y-%m-%d %H:%M') || ' UTC' AS starts_at FROM places_e WHERE start_time >= 1705000000 AND title = 'purchase' AND {INSIDE} ORDER BY start_time, id LIMIT 30)")
+def search_events(spark, d):
+    return api.search_events(_catalog(spark, d), 1_705_000_000, query="purchase", limit=30).select("id", "starts_at")
+
+
+@query(f"WITH {sql_places()}, {SQL_GAZETTEER}, n AS (SELECT lat, lng FROM gazetteer WHERE name = 'NATION_7') SELECT p.id, CAST(round({sql_haversine('p.lat', 'p.lng', 'n.lat', 'n.lng')}) AS BIGINT) AS distance_m FROM places p, n WHERE {sql_haversine('p.lat', 'p.lng', 'n.lat', 'n.lng')} <= 90000 ORDER BY 2, 1 LIMIT 50")
+def nearby_by_name(spark, d):
+    return api.find_nearby(_catalog(spark, d), near="nation 7", radius_m=90_000, limit=50).select("id", "distance_m")
+
+
+@query(f"WITH {sql_places()}, {SQL_EVENTS} SELECT part, id FROM (SELECT 0 AS part, id FROM places WHERE {INSIDE} ORDER BY id LIMIT 15) UNION ALL SELECT part, id FROM (SELECT 1 AS part, id FROM places_e WHERE {INSIDE} ORDER BY id LIMIT 15)")
+def browse(spark, d):
+    return api.browse(_catalog(spark, d), None, ["place", "event"]).select("part", "id")
+
+
 @query(f"WITH {SQL_EVENTS} SELECT id, title, start_time FROM places_e WHERE start_time BETWEEN 1704500000 AND 1705500000 AND {INSIDE} ORDER BY start_time, id LIMIT 50")
 def events_window(spark, d):
     e = a.events(spark, d).where(geo.in_bbox("lat", "lng", BOX)).where(predicates.between("start_time", 1_704_500_000, 1_705_500_000))
