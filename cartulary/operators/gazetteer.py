@@ -18,7 +18,7 @@ def _small(gazetteer: DataFrame) -> DataFrame:
     return F.broadcast(gazetteer)
 
 
-def nearest(points: DataFrame, gazetteer: DataFrame, key: str = "id", lat: str = "lat", lng: str = "lng") -> DataFrame:
+def nearest(points: DataFrame, gazetteer: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """points with near: the closest gazetteer row (name, county, distance); ties go to the row listed first.
 
     The gazetteer becomes one array literal side, so that the smallest distance is taken row by row
