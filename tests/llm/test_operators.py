@@ -220,6 +220,12 @@ def test_wrapper_article():
     assert wrappers.extract_group([PAGE.format(i=i) for i in range(10, 19)]) == [want.replace("7", str(i)) for i in range(10, 19)]
 
 
+def test_layout_names_do_not_hide_the_article():
+    page = '<body><div class="page with-sidebar"><div id="content" class="ad-free"><main><article><p>Kept &#233; text</p><div class="share-bar">no</div></article></main></div><div class="sidebar"><p>no</p></div></div></body>'
+    assert wrappers.extract_group([page]) == ["Kept é text"]
+    assert wrappers.extract_group(['<div class="comments"><article><p>short</p></article></div><article><h2>Long</h2><p>enough to be it</p></article>']) == ["Long enough to be it"]
+
+
 def test_wrapper_induction_without_article_markup():
     rng = random.Random(2)
     words = [f"w{i}" for i in range(500)]
