@@ -170,7 +170,8 @@ def links(work, fps: DataFrame, bits: int = 4, blocks: int = BLOCKS, equal: int
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(part, keys.shape[1]))], names=["key", "fp"])
 
     rows = work.put("cells", fps.select("fp").mapInArrow(keyed, "key long, fp long"))
-    counts = rows.groupBy("key").count()
+    parts = max(8, rows.count() // 250_000)  # nearly all keys are distinct: small hash tables, no partial sums
+    counts = rows.repartition(parts, "key").groupBy("key").count()
     heavy = work.put("heavy", counts.where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("n")))
     part = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     big = rows.join(heavy, "key").withColumn("c", part).select("key", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("d"))
