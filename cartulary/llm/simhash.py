@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 from .common import boxed, components, doc_rows, key_columns, keys_of, mix, real_id, texts, unboxed
 
 BLOCKS, EQUAL, REFS, CELL, SMALL = 7, 3, 8, 2048, 16
+PRINTS, ROUNDS = 24, 4  # fingerprints of a text where texts are compared, and the turns they are searched in
 _BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _LANE = (np.arange(8) * 256).astype(np.int64)
+_LANES = (np.arange(8 * PRINTS) * 256).astype(np.int64)
+_SALT = np.arange(PRINTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: bytes, width: int = 4) -> list[int]:
@@ -57,6 +60,31 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * bits.ravel() > len(h), bitorder="little").tobytes(), "little")
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """``PRINTS`` independent fingerprints of the same shingle hashes."""
+    if not len(h):
+        return np.zeros(PRINTS, np.uint64)
+    count = np.zeros(2048 * PRINTS, np.int64)
+    for i in range(0, len(h), 4096):
+        part = mix(h[i : i + 4096, None] + _SALT[None, :])
+        count += np.bincount((part.astype("<u8").view(np.uint8) + _LANES).ravel(), minlength=len(count))
+    bits = count.reshape(-1, 256).astype(np.float64) @ _BYTE_BITS.astype(np.float64)
+    return np.packbits(2 * bits.ravel() > len(h), bitorder="little").view("<u8")
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_hash, node, prints) of every row of doc_rows; node: a hash of the fingerprints."""
+
+    def run(batches):
+        for batch in batches:
+            prints = [sketch(np.array(shingle_hashes(t, width), np.uint64)).tobytes() for t in texts(batch)]
+            node = np.array([xxhash.xxh64_intdigest(x, 42) for x in prints], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array(prints, pa.binary())], names=["doc_id", "text_hash", "node", "prints"])
+
+    rows = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, prints binary")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, text_hash, fp) of every row; fp: the 64 bits as a signed long."""
 
@@ -169,20 +197,48 @@ def links(work, fps: DataFrame, bits: int = 4, blocks: int = BLOCKS, equal: int
                 keys = cell_keys(pivot_table(part.view(np.uint64), blocks), equal)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(part, keys.shape[1]))], names=["key", "fp"])
 
-    rows = work.put("cells", fps.select("fp").mapInArrow(keyed, "key long, fp long"))
+    return cell_links(work, work.put("cells", fps.select("fp").mapInArrow(keyed, "key long, fp long")), bits, blocks)
+
+
+def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int) -> DataFrame:
+    """Edges (a, b) between nodes of which one fingerprint lies at distance <= bits; nodes: distinct node, prints."""
+    out = None
+    for turn in range(ROUNDS):
+
+        def keyed(batches, mine=range(turn, PRINTS, ROUNDS)):
+            for batch in batches:
+                node = batch.column("node").to_numpy()
+                prints = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint64).reshape(-1, PRINTS)
+                for i in range(0, len(node), 4096):
+                    for k in mine:
+                        fp = np.ascontiguousarray(prints[i : i + 4096, k])
+                        keys = mix(cell_keys(pivot_table(fp, blocks), equal) ^ _SALT[k])
+                        cols = keys.view(np.int64).ravel(), np.repeat(fp.view(np.int64), keys.shape[1]), np.repeat(node[i : i + 4096], keys.shape[1])
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fp", "node"])
+
+        cells = work.put(f"cells{turn}", nodes.select("node", "prints").mapInArrow(keyed, "key long, fp long, node long"))
+        part = work.put(f"links{turn}", cell_links(work, cells, bits, blocks, "node", turn).distinct())
+        work.drop(f"cells{turn}")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def cell_links(work, rows: DataFrame, bits: int, blocks: int, name: str = "fp", turn: int = 0) -> DataFrame:
+    """Edges (a, b) between the names of linked fingerprints; rows: key, fp and the name."""
+    cols = list(dict.fromkeys(["fp", name]))
     parts = max(8, rows.count() // 250_000)  # nearly all keys are distinct: small hash tables, no partial sums
     counts = rows.repartition(parts, "key").groupBy("key").count()
-    heavy = work.put("heavy", counts.where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("n")))
-    part = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-    big = rows.join(heavy, "key").withColumn("c", part).select("key", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("d"))
-    big = big.select("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "fp")
-    small = rows.join(heavy, "key", "left_anti").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    heavy = work.put(f"heavy{turn}", counts.where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("n")))
+    part = F.pmod(F.xxhash64(name), F.col("n")).cast("int")
+    big = rows.join(heavy, "key").withColumn("c", part).select("key", *cols, "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("d"))
+    big = big.select("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), *cols)
+    small = rows.join(heavy, "key", "left_anti").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), *cols)
 
     def solve(batches):
         held = None
         for batch in batches:
             cell = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], 1)
-            fp = batch.column("fp").to_numpy()
+            fp = np.stack([batch.column(c).to_numpy() for c in ("fp", name)], 1)
             if held is not None:
                 cell, fp = np.concatenate([held[0], cell]), np.concatenate([held[1], fp])
             last = np.flatnonzero((cell != cell[-1]).any(1))
@@ -194,29 +250,30 @@ def links(work, fps: DataFrame, bits: int = 4, blocks: int = BLOCKS, equal: int
             yield from found(*held)
 
     def found(cell, fp):
-        a, b = _edges(fp.view(np.uint64), cell, bits, blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
+        a, b = _edges(np.ascontiguousarray(fp[:, 0]).view(np.uint64), cell, bits, blocks)
+        a, b = fp[a, 1], fp[b, 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    cells = small.union(big).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+    cells = small.union(big).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", *cols)
     return cells.mapInArrow(solve, "a long, b long")
 
 
 def similar(work, docs: DataFrame, edges: DataFrame, rows: DataFrame, least: float, width: int) -> DataFrame:
-    """The edges whose texts (one for each fingerprint) have shingle sets with a Jaccard similarity of at least ``least``.
+    """The edges whose texts (one for each node) have shingle sets with a Jaccard similarity of at least ``least``.
 
     Shingle sets are made only of texts that an edge names.
     """
-    named = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
-    one = rows.join(named, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("w"))
-    one = one.select("fp", F.col("w.doc_id").alias("doc_id"), F.col("w.text_hash").alias("text_hash"))
+    named = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    one = rows.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("w"))
+    one = one.select("node", F.col("w.doc_id").alias("doc_id"), F.col("w.text_hash").alias("text_hash"))
 
     def sets(batches):
         for batch in batches:
             packed = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).tobytes() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(packed, pa.binary())], names=["fp", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "set"])
 
-    text = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string"))).join(one, ["doc_id", "text_hash"]).dropDuplicates(["fp"])
-    have = work.put("sets", text.select("fp", "text").mapInArrow(sets, "fp long, set binary"))
+    text = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string"))).join(one, ["doc_id", "text_hash"]).dropDuplicates(["node"])
+    have = work.put("sets", text.select("node", "text").mapInArrow(sets, "node long, set binary"))
 
     def compare(batches):
         for batch in batches:
@@ -227,7 +284,7 @@ def similar(work, docs: DataFrame, edges: DataFrame, rows: DataFrame, least: flo
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = edges.join(have.withColumnsRenamed({"fp": "a", "set": "x"}), "a").join(have.withColumnsRenamed({"fp": "b", "set": "y"}), "b")
+    pairs = edges.join(have.withColumnsRenamed({"node": "a", "set": "x"}), "a").join(have.withColumnsRenamed({"node": "b", "set": "y"}), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
@@ -239,17 +296,23 @@ def near_groups(
     group: the smallest fingerprint that links reach; component_id: the smallest doc_id there. least: the
     shingle similarity that the texts of linked, unequal fingerprints must have, if any.
     """
-    rows = work.put("prints", fingerprints(docs, id_col, text_col, width))
-    fps = work.put("fps", rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    edges = links(work, fps, bits, blocks, equal)
-    if least is not None:
-        edges = similar(work, doc_rows(docs, id_col, text_col), work.put("edges", edges.distinct()), rows, least, width)
+    if least is None:
+        rows = work.put("prints", fingerprints(docs, id_col, text_col, width)).withColumn("node", F.col("fp"))
+        nodes = work.put("fps", rows.groupBy("node").agg(F.min("doc_id").alias("low")))
+        edges = links(work, nodes.select(F.col("node").alias("fp")), bits, blocks, equal)
+    else:
+        rows = work.put("prints", sketches(doc_rows(docs, id_col, text_col), width))
+        nodes = work.put("fps", rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("prints").alias("prints")))
+        edges = work.put("edges", sketch_links(work, nodes, bits, blocks, equal).distinct())
+        edges = similar(work, doc_rows(docs, id_col, text_col), edges, rows, least, width)
+        rows = rows.withColumn("fp", F.col("node"))
     group = components(work, edges)
     work.drop("cells")
-    linked = group.join(fps, F.col("node") == F.col("fp"))
+    low = nodes.select(F.col("node").alias("fp"), "low")
+    linked = group.join(low, F.col("node") == F.col("fp"))
     lows = linked.groupBy("component").agg(F.min("low").alias("least"))
     linked = linked.join(lows, "component").select(F.col("node").alias("fp"), "component", "least")
-    label = fps.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("least", "low").alias("component_id"))
+    label = low.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("least", "low").alias("component_id"))
     return rows.join(work.put("labels", label), "fp").select(real_id(), "text_hash", "fp", "group", real_id("component_id"))
 
 
@@ -257,15 +320,16 @@ def fp_text(name: str = "fp"):
     return F.lpad(F.lower(F.hex(name)), 16, "0")
 
 
-def keep_one(docs: DataFrame, work, bits: int = 11, width: int = 5, blocks: int = 9, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, work, bits: int = 11, width: int = 5, blocks: int = 6, equal: int = 2, least: float = 0.8) -> DataFrame:
     """docs with one document of each group: the one with the smallest id (null ids last), then text.
 
-    By default over five-word shingles: texts with a similarity of 0.8 lie up to about 11 bits apart.
-    Pairs of up to 6 bits are all found, of 7 to 11 bits about 95, 87, 75, 62 and 48 %; the texts of a
-    pair are then compared, so that nothing but a similarity of 0.8 or more links two of them. All
-    columns stay. Of rows that repeat both id and text, one stays.
+    By default over five-word shingles. Two texts are compared if any of their ``PRINTS`` independent
+    fingerprints lie within 11 bits and leave two of six blocks untouched: about 28 % a fingerprint at a
+    similarity of 0.8, so that fewer than one pair in a thousand is never compared. Nothing but a
+    similarity of 0.8 or more links two texts. All columns stay. Of rows that repeat both id and text,
+    one stays.
     """
-    groups = near_groups(docs, work, bits, width, blocks, least=least)
+    groups = near_groups(docs, work, bits, width, blocks, equal, least)
     keys = work.put("keys", key_columns(groups).select("group", "m_id", "m_hash"))
     one = keys.groupBy("group").agg(F.min(F.struct("m_id", "m_hash")).alias("w"))
     losers = keys.join(one, "group").where(F.struct("m_id", "m_hash") != F.col("w")).select("m_id", "m_hash").distinct()

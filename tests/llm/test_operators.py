@@ -204,6 +204,25 @@ def test_keep_one_catches_near_copies_only(spark):
     assert len(copies - kept) >= 0.95 * len(copies)
 
 
+def test_keep_one_finds_pairs_just_over_the_threshold(spark):
+    """Two scattered edits leave 0.8 to 0.9 of the shingles: far beyond the bits that one fingerprint covers."""
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(900)]
+    rows, scores = [], []
+    for i in range(0, 600, 2):
+        text = [rng.choice(words) for _ in range(rng.randint(90, 110))]
+        near = list(text)
+        near[30] = near[60] = "changed"
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (text, near))
+        scores.append(len(x & y) / len(x | y))
+        rows += [(i, " ".join(text), None, None, 0), (i + 1, " ".join(near), None, None, 0)]
+    assert 0.78 < min(scores) and max(scores) < 0.85
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, DOC), Work(spark)).collect()}
+    pairs = [2 * k for k, s in enumerate(scores) if s >= 0.8]
+    assert sum(i + 1 not in kept for i in pairs) >= 0.99 * len(pairs) > 100
+    assert all(i + 1 in kept for i in set(range(0, 600, 2)) - set(pairs))
+
+
 # ---------------------------------------------------------------- 2
 
 PAGE = """<!doctype html><html><head><title>t{i}</title><style>p>a{{}}</style></head><body class="x"><header>Site name</header><nav><a>m{i}</a></nav>
