@@ -9,7 +9,8 @@ verified bit by bit. With bits <= blocks - equal (by default 4 <= 7 - 3) no link
 links are found if their differing bits leave ``equal`` blocks untouched.
 
 Equal fingerprints count once. A cell of more than ``CELL`` rows is dealt into parts, and each pair of
-parts is a task of its own; a task sends on a spanning forest of its links, never all pairs.
+parts is a task of its own; a task sends on a spanning forest of its links, never all pairs. Where
+texts are compared too, a second search sends the links between what is then still apart.
 
 Nulls: a null text has no words and fingerprint zero; a null id can link others and gets the
 component of its fingerprint (null if only null ids are in it). Repeated rows keep one row each.
@@ -164,13 +165,25 @@ def forest(fp: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _edges(fp: np.ndarray, cell: np.ndarray, bits: int, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """Links within cells of sorted rows."""
+def crossing(fp: np.ndarray, table: np.ndarray, comp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links of one cell between different components, as index pairs."""
+    names, at, size = np.unique(comp, return_inverse=True, return_counts=True)
+    most, a, b = size.argmax(), [], []
+    for i in np.flatnonzero(at != most):  # each pair once: with the largest component, and with later rows of others
+        j = np.flatnonzero((at != at[i]) & ((at == most) | (np.arange(len(fp)) > i)))
+        j = j[near(fp, table, np.full(len(j), i), j, bits)]
+        a.append(np.full(len(j), i))
+        b.append(j)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _edges(fp: np.ndarray, cell: np.ndarray, bits: int, blocks: int = BLOCKS, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links within cells of sorted rows; with comp, all those between different components."""
     cuts = np.append(np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1))), len(fp))
     size = np.diff(cuts)
     table = pivot_table(fp, blocks)
     group = np.repeat(np.arange(len(size)), size)
-    small = size[group] <= SMALL
+    small = size[group] <= (SMALL if comp is None else 0)
     a, b = [], []
     for lag in range(1, SMALL):
         i = np.flatnonzero(small[:-lag] & (group[:-lag] == group[lag:])) if len(fp) > lag else np.zeros(0, int)
@@ -179,8 +192,9 @@ def _edges(fp: np.ndarray, cell: np.ndarray, bits: int, blocks: int = BLOCKS) ->
         i = i[near(fp, table, i, i + lag, bits)]
         a.append(i)
         b.append(i + lag)
-    for g in np.flatnonzero(size > SMALL):
-        x, y = forest(fp[cuts[g] : cuts[g + 1]], table[cuts[g] : cuts[g + 1]], bits)
+    for g in np.flatnonzero(size > (SMALL if comp is None else 0)):
+        cut = slice(cuts[g], cuts[g + 1])
+        x, y = forest(fp[cut], table[cut], bits) if comp is None else crossing(fp[cut], table[cut], comp[cut], bits)
         a.append(x + cuts[g])
         b.append(y + cuts[g])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
@@ -200,9 +214,12 @@ def links(work, fps: DataFrame, bits: int = 4, blocks: int = BLOCKS, equal: int
     return cell_links(work, work.put("cells", fps.select("fp").mapInArrow(keyed, "key long, fp long")), bits, blocks)
 
 
-def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int) -> DataFrame:
-    """Edges (a, b) between nodes of which one fingerprint lies at distance <= bits; nodes: distinct node, prints."""
-    out = None
+def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between nodes of which one fingerprint lies at distance <= bits; nodes: distinct node, prints.
+
+    Besides them the rows (key, fp, node) of large cells, whose edges are only a spanning forest.
+    """
+    out = crowd = None
     for turn in range(ROUNDS):
 
         def keyed(batches, mine=range(turn, PRINTS, ROUNDS)):
@@ -218,16 +235,43 @@ def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int) ->
 
         cells = work.put(f"cells{turn}", nodes.select("node", "prints").mapInArrow(keyed, "key long, fp long, node long"))
         part = work.put(f"links{turn}", cell_links(work, cells, bits, blocks, "node", turn).distinct())
+        more = work.spark.read.schema(cells.schema).parquet(f"{work.root}/crowd{turn}")
         work.drop(f"cells{turn}")
-        out = part if out is None else out.union(part)
-    return out
+        out, crowd = (part, more) if out is None else (out.union(part), crowd.union(more))
+    return out, crowd
+
 
+def verified_links(work, docs: DataFrame, rows: DataFrame, nodes: DataFrame, bits: int, blocks: int, equal: int, least: float, width: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes whose texts have a similarity of at least ``least``, of those that cells bring together.
 
-def cell_links(work, rows: DataFrame, bits: int, blocks: int, name: str = "fp", turn: int = 0) -> DataFrame:
-    """Edges (a, b) between the names of linked fingerprints; rows: key, fp and the name."""
-    cols = list(dict.fromkeys(["fp", name]))
+    A tree edge that fails the comparison takes its nodes' other links along, so the large cells are
+    searched again for every link between what the verified edges leave apart.
+    """
+    edges, crowd = sketch_links(work, nodes, bits, blocks, equal)
+    edges = work.put("edges", edges.distinct())
+    good = work.put("good", similar(work, docs, edges, rows, least, width))
+    group = components(work, good, "first")
+    crowd = crowd.join(group, "node", "left").select("key", "fp", "node", F.coalesce("component", "node").alias("comp"))
+    crowd = work.put("crowd", crowd)
+    mixed = crowd.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    mixed = work.put("mixed", crowd.join(mixed, "key"))
+    again = cell_links(work, mixed, bits, blocks, "node", "again", True).distinct()
+    again = work.put("retried", again.join(edges, ["a", "b"], "left_anti"))
+    return good.union(work.put("better", similar(work, docs, again, rows, least, width, "more_sets")))
+
+
+def cell_links(work, rows: DataFrame, bits: int, blocks: int, name: str = "fp", turn: int | str = 0, comp: bool = False) -> DataFrame:
+    """Edges (a, b) between the names of linked fingerprints; rows: key, fp, the name, and with comp a column comp.
+
+    Cells of more than ``SMALL`` rows send a spanning forest; with comp, all cells send every link
+    between different components. Fingerprints with names leave the rows of their large cells in ``crowd``.
+    """
+    cols = list(dict.fromkeys(["fp", name, *(["comp"] if comp else [])]))
     parts = max(8, rows.count() // 250_000)  # nearly all keys are distinct: small hash tables, no partial sums
     counts = rows.repartition(parts, "key").groupBy("key").count()
+    if name != "fp" and not comp:
+        counts = work.put(f"wide{turn}", counts.where(F.col("count") > SMALL))
+        work.put(f"crowd{turn}", rows.join(counts.select("key"), "key"))
     heavy = work.put(f"heavy{turn}", counts.where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("n")))
     part = F.pmod(F.xxhash64(name), F.col("n")).cast("int")
     big = rows.join(heavy, "key").withColumn("c", part).select("key", *cols, "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("d"))
@@ -238,7 +282,7 @@ def cell_links(work, rows: DataFrame, bits: int, blocks: int, name: str = "fp",
         held = None
         for batch in batches:
             cell = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], 1)
-            fp = np.stack([batch.column(c).to_numpy() for c in ("fp", name)], 1)
+            fp = np.stack([batch.column(c).to_numpy() for c in ("fp", name, cols[-1])], 1)
             if held is not None:
                 cell, fp = np.concatenate([held[0], cell]), np.concatenate([held[1], fp])
             last = np.flatnonzero((cell != cell[-1]).any(1))
@@ -250,7 +294,7 @@ def cell_links(work, rows: DataFrame, bits: int, blocks: int, name: str = "fp",
             yield from found(*held)
 
     def found(cell, fp):
-        a, b = _edges(np.ascontiguousarray(fp[:, 0]).view(np.uint64), cell, bits, blocks)
+        a, b = _edges(np.ascontiguousarray(fp[:, 0]).view(np.uint64), cell, bits, blocks, fp[:, 2] if comp else None)
         a, b = fp[a, 1], fp[b, 1]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -258,7 +302,7 @@ def cell_links(work, rows: DataFrame, bits: int, blocks: int, name: str = "fp",
     return cells.mapInArrow(solve, "a long, b long")
 
 
-def similar(work, docs: DataFrame, edges: DataFrame, rows: DataFrame, least: float, width: int) -> DataFrame:
+def similar(work, docs: DataFrame, edges: DataFrame, rows: DataFrame, least: float, width: int, name: str = "sets") -> DataFrame:
     """The edges whose texts (one for each node) have shingle sets with a Jaccard similarity of at least ``least``.
 
     Shingle sets are made only of texts that an edge names.
@@ -273,7 +317,7 @@ def similar(work, docs: DataFrame, edges: DataFrame, rows: DataFrame, least: flo
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "set"])
 
     text = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string"))).join(one, ["doc_id", "text_hash"]).dropDuplicates(["node"])
-    have = work.put("sets", text.select("node", "text").mapInArrow(sets, "node long, set binary"))
+    have = work.put(name, text.select("node", "text").mapInArrow(sets, "node long, set binary"))
 
     def compare(batches):
         for batch in batches:
@@ -303,8 +347,7 @@ def near_groups(
     else:
         rows = work.put("prints", sketches(doc_rows(docs, id_col, text_col), width))
         nodes = work.put("fps", rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("prints").alias("prints")))
-        edges = work.put("edges", sketch_links(work, nodes, bits, blocks, equal).distinct())
-        edges = similar(work, doc_rows(docs, id_col, text_col), edges, rows, least, width)
+        edges = verified_links(work, doc_rows(docs, id_col, text_col), rows, nodes, bits, blocks, equal, least, width)
         rows = rows.withColumn("fp", F.col("node"))
     group = components(work, edges)
     work.drop("cells")

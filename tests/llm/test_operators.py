@@ -223,6 +223,27 @@ def test_keep_one_finds_pairs_just_over_the_threshold(spark):
     assert all(i + 1 in kept for i in set(range(0, 600, 2)) - set(pairs))
 
 
+def test_large_cells_keep_links_whose_tree_edges_fail(spark):
+    """Fingerprints that all meet in the same cells, texts that are alike only in pairs and in one chain."""
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(30):
+        text = [rng.choice(words) for _ in range(100)]
+        rows += [" ".join(text), " ".join([*text[:-1], "changed"])]
+    chain = [rng.choice(words) for _ in range(100)]
+    rows += [" ".join(chain[k:] + ["x"] * k) for k in range(0, 40, 5)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
+    prints = [np.full(simhash.PRINTS, 3 << (i % 7), np.uint64).tobytes() for i in range(len(rows))]
+    nodes = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(prints)], "node long, prints binary")
+    named = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("doc_id").alias("node"))
+    edges = simhash.verified_links(Work(spark), docs, named, nodes, 11, 6, 2, 0.8, 5)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in rows]
+    want = common.components(Work(spark), spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], "a long, b long"))
+    got = common.components(Work(spark), edges)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and want.count() > 60
+
+
 # ---------------------------------------------------------------- 2
 
 PAGE = """<!doctype html><html><head><title>t{i}</title><style>p>a{{}}</style></head><body class="x"><header>Site name</header><nav><a>m{i}</a></nav>
