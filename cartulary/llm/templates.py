@@ -118,7 +118,7 @@ class Index:
                 for j in range(int(first[k[i]]), int(first[k[i] + 1])):
                     hits.setdefault((int(doc[i]), int(item[j])), []).append((int(at[i]), int(item_at[j]), width))
         for (doc, item), found in hits.items():
-            if len({a for _, a, _ in found}) + WIDTH - 1 < cover * self.size[item]:
+            if WIDTH * len({a for _, a, _ in found}) < cover * self.size[item]:  # no window covers more
                 continue
             support = Counter(d - a for d, a, _ in found)
             found.sort(key=lambda x: (-support[x[0] - x[1]], x[0] - x[1], x[0]))

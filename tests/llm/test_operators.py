@@ -517,6 +517,16 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, templates.find_leaks(docs, bench).collect())) == want
 
 
+@pytest.mark.parametrize(("size", "edits", "covered"), [(38, (8, 18, 28), 35), (30, (8, 20), 28), (59, (9, 19, 29, 39, 49), 54)])
+def test_leaks_with_scattered_edits(spark, size, edits, covered):
+    words = ["".join(random.Random(31 * size + k).choice("abcdefgh") for _ in range(9)) for k in range(size)]
+    copy = [f"edit{k}" if k in edits else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(["before", *copy, "after"]), None, None, 0)], DOC)
+    bench = spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")
+    got = templates.find_leaks(docs, bench).collect()
+    assert [(r.item_id, r.item_words, r.matched_words) for r in got] == [(5, size, covered)]
+
+
 # ---------------------------------------------------------------- 9
 
 
