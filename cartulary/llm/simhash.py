@@ -74,12 +74,16 @@ def sketch(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_hash, node, prints) of every row of doc_rows; node: a hash of the fingerprints."""
+    """(doc_id, text_hash, node, prints) of every row of doc_rows; node: a hash of the shingle set.
+
+    Repeats do not count, neither here nor in the similarity.
+    """
 
     def run(batches):
         for batch in batches:
-            prints = [sketch(np.array(shingle_hashes(t, width), np.uint64)).tobytes() for t in texts(batch)]
-            node = np.array([xxhash.xxh64_intdigest(x, 42) for x in prints], np.uint64).view(np.int64)
+            sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in texts(batch)]
+            prints = [sketch(h).tobytes() for h in sets]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array(prints, pa.binary())], names=["doc_id", "text_hash", "node", "prints"])
 
     rows = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))

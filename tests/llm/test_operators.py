@@ -244,6 +244,16 @@ def test_large_cells_keep_links_whose_tree_edges_fail(spark):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and want.count() > 60
 
 
+def test_keep_one_is_not_led_by_a_repeated_line(spark):
+    rng = random.Random(24)
+    words = [f"w{i}" for i in range(900)]
+    line = "all rights reserved by the owner of this site "
+    docs = spark.createDataFrame([(i, line * 60 + prose(rng, rng.randint(60, 120), words), None, None, 0) for i in range(40)], DOC)
+    assert simhash.keep_one(docs, Work(spark)).count() == 40
+    again = docs.union(docs.select(F.col("doc_id") + 100, F.concat(F.lit(line * 30), "text"), "lang", "source", "n_chars"))
+    assert {r.doc_id for r in simhash.keep_one(again, Work(spark)).collect()} == set(range(40))
+
+
 # ---------------------------------------------------------------- 2
 
 PAGE = """<!doctype html><html><head><title>t{i}</title><style>p>a{{}}</style></head><body class="x"><header>Site name</header><nav><a>m{i}</a></nav>
