@@ -401,6 +401,19 @@ def test_quality(spark):
     assert quality.judge(no_docs(spark), none, Work(spark)).count() == 0
 
 
+def test_quality_keeps_very_long_clean_texts(spark):
+    """Sound texts stay sound when many are joined: the peak does not grow with length."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    odds = [1 / k for k in range(1, 2001)]
+    some = [" ".join(rng.choices(words, odds, k=rng.randint(800, 1600))) for _ in range(300)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(some)]
+    rows += [(1000 + k, " ".join(rng.choices(words, odds, k=60_000)), "en", "s", 0) for k in range(6)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.keep for r in quality.judge(spark.createDataFrame(rows, DOC), labels, Work(spark)).collect()}
+    assert all(got[1000 + k] for k in range(6)) and np.mean([got[i] for i in range(300)]) > 0.98
+
+
 def test_kneser_ney_is_a_distribution(spark):
     """Probabilities of all symbols after any seen context sum to one."""
     docs, labels = labelled(spark, 60)
