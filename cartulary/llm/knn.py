@@ -4,10 +4,11 @@ Vectors fall to the nearest of a bounded set of pivots (fitted on a bounded samp
 summary: its pivot, radius and count. Each query is solved in its own group first, which gives it a
 k-th best score; the bound q.p + |q|*radius then tells which other groups can still hold a better
 or equal one, and only those get a copy of the query. Groups are dealt into blocks of about
-``BLOCK`` vectors, so a hot group is many tasks.
+``BLOCK`` vectors, and queries meet blocks on (group, block), so a hot group is many tasks.
 
-Vectors that are null, hold null or non-finite components, or have a null id take no part; vectors of
-another length than the query's are no candidates for it. Ties go to the smaller id. A repeated id
+Vectors that are null, hold null or non-finite components, or have a null id take no part; nor do those with a
+component whose 256-fold is beyond a double (2^1016). Scores are exact; one beyond a long is given as the largest or
+smallest long, and ties there. Vectors of another length than the query's are no candidates for it. Ties go to the smaller id. A repeated id
 counts as one query; repeated candidate rows count one by one. An empty table gives no rows.
 """
 
@@ -19,19 +20,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE, PIVOTS, BLOCK, QUERIES = 8192, 1024, 4096, 512
-_EXACT = float(1 << 53)
+_EXACT, _LONG = float(1 << 53), (1 << 63) - 1
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of int64 rows: through doubles where those are exact."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if top < _EXACT:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    """Integer inner products of rows of whole doubles: through doubles where those are exact, else in Python's integers."""
+    high, other = np.abs(a).max(initial=0), np.abs(b).max(initial=0)
+    if high <= _EXACT and other <= _EXACT and high * other * max(1, a.shape[1]) < _EXACT:
+        return (a @ b.T).astype(np.int64)
+    out = np.zeros((len(a), len(b)), np.int64)
+    whole = [[int(c) for c in row] for row in b.tolist()]
+    for i, row in enumerate(a.tolist()):
+        q = [int(c) for c in row]
+        out[i] = [max(-_LONG - 1, min(_LONG, sum(map(int.__mul__, q, x)))) for x in whole]
+    return out
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, dim, v): v holds floor(256 * x) as int64 bytes."""
+    """(vec_id, dim, v): v holds floor(256 * x) as bytes of doubles, which are exact for it at any size."""
 
     def run(batches):
         for batch in batches:
@@ -40,9 +46,10 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
             for i, x in zip(ids, vecs, strict=True):
                 if i is None or x is None or any(c is None for c in x):
                     continue
-                q = np.floor(np.array(x, np.float64) * 256)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    q = np.floor(np.array(x, np.float64) * 256) + 0.0  # no negative zeros
                 if np.isfinite(q).all():
-                    rows.append((i, len(q), q.astype(np.int64).tobytes()))
+                    rows.append((i, len(q), q.tobytes()))
             cols = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["vec_id", "dim", "v"])
 
@@ -58,7 +65,7 @@ def _pivots(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
     want = min(PIVOTS, max(8, int(n**0.5)))
     out = {}
     for dim, vs in got.items():
-        x = np.unique(np.frombuffer(b"".join(vs), np.int64).reshape(len(vs), dim).astype(np.float64), axis=0) if dim else np.zeros((1, 0))
+        x = np.unique(np.frombuffer(b"".join(vs)).reshape(len(vs), dim), axis=0) if dim else np.zeros((1, 0))
         p = x[np.linspace(0, len(x) - 1, min(len(x), want)).astype(int)]
         for _ in range(5):
             near = ((p**2).sum(1) - 2 * x @ p.T).argmin(1)
@@ -84,18 +91,20 @@ def knn_join(vectors: DataFrame, work, every: int = 50, k: int = 5, id_col: str
             v = batch.column("v").to_pylist()
             for dim in np.unique(dims).tolist():
                 on = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(v[i] for i in on), np.int64).reshape(len(on), dim).astype(np.float64)
+                x = np.frombuffer(b"".join(v[i] for i in on)).reshape(len(on), dim)
                 p = pivots[dim]
-                near = ((p**2).sum(1) - 2 * x @ p.T).argmin(1)
+                with np.errstate(over="ignore", invalid="ignore"):  # past a double: any group will do, without a bound
+                    near = np.nan_to_num((p**2).sum(1) - 2 * x @ p.T, nan=np.inf).argmin(1)
+                    dist[on] = np.nan_to_num(np.sqrt(((x - p[near]) ** 2).sum(1)), nan=np.inf, posinf=np.inf)
                 group[on] = first[dim] + near
-                dist[on] = np.sqrt(((x - p[near]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("dim"), batch.column("v"), pa.array(group), pa.array(dist)], names=["vec_id", "dim", "v", "g", "dist"])
 
-    rows = work.put("grouped", rows.mapInArrow(assign, "vec_id long, dim int, v binary, g int, dist double"))
+    rows = rows.mapInArrow(assign, "vec_id long, dim int, v binary, g int, dist double")
+    # where a row goes within its group; by place, since ids and vectors may repeat
+    rows = work.put("grouped", rows.withColumn("spot", F.xxhash64(F.monotonically_increasing_id())))
     summary = {g: (n, r) for g, n, r in rows.groupBy("g").agg(F.count("*"), F.max("dist")).collect()}
-    parts = F.array(*[F.lit(-(-summary.get(g, (0, 0))[0] // BLOCK) or 1) for g in range(max(1, at))])
-    salt = F.pmod(F.xxhash64("vec_id", "v"), F.element_at(parts, F.col("g") + 1)).cast("int")
-    blocks = rows.withColumn("salt", salt).groupBy("g", "salt").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("rows"))
+    parts = F.element_at(F.array(*[F.lit(-(-summary.get(g, (0, 0))[0] // BLOCK) or 1) for g in range(max(1, at))]), F.col("g") + 1)
+    blocks = rows.withColumn("salt", F.pmod("spot", parts).cast("int")).groupBy("g", "salt").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("rows"))
     blocks = work.put("blocks", blocks)
 
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "g")).alias("q")).select(F.col("vec_id").alias("qid"), "q.*")
@@ -107,9 +116,9 @@ def knn_join(vectors: DataFrame, work, every: int = 50, k: int = 5, id_col: str
             for row in batch.to_pylist():
                 dim = row["dim"]
                 ids = np.array([r["vec_id"] for r in row["rows"]], np.int64)
-                x = np.frombuffer(b"".join(r["v"] for r in row["rows"]), np.int64).reshape(len(ids), dim)
+                x = np.frombuffer(b"".join(r["v"] for r in row["rows"])).reshape(len(ids), dim)
                 qids = np.array([q["qid"] for q in row["qs"]], np.int64)
-                q = np.frombuffer(b"".join(q["v"] for q in row["qs"]), np.int64).reshape(len(qids), dim)
+                q = np.frombuffer(b"".join(q["v"] for q in row["qs"])).reshape(len(qids), dim)
                 score = _scores(q, x)
                 out = []
                 for i, qid in enumerate(qids.tolist()):
@@ -124,7 +133,8 @@ def knn_join(vectors: DataFrame, work, every: int = 50, k: int = 5, id_col: str
 
     def met(asks: DataFrame) -> DataFrame:
         packs = asks.groupBy("g", "dim", F.pmod(F.xxhash64("qid"), F.lit(deal)).alias("deal")).agg(F.sort_array(F.collect_list(F.struct("qid", "v"))).alias("qs"))
-        return packs.join(blocks, "g").select("dim", "rows", "qs").mapInArrow(solve, "query_id long, vec_id long, score long")
+        packs = packs.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+        return packs.join(blocks, ["g", "salt"]).select("dim", "rows", "qs").mapInArrow(solve, "query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -139,9 +149,12 @@ def knn_join(vectors: DataFrame, work, every: int = 50, k: int = 5, id_col: str
             out = []
             for row in batch.to_pylist():
                 d = row["dim"]
-                q = np.frombuffer(row["v"], np.int64).astype(np.float64)
-                bound = pivots[d] @ q + np.sqrt((q**2).sum()) * radius[d]
-                bound += 1e-9 * np.abs(bound) + 1e-3
+                q = np.frombuffer(row["v"])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    size = np.sqrt((q**2).sum())
+                    bound = pivots[d] @ q + size * radius[d]
+                    bound += 1e-9 * (np.abs(pivots[d]) @ np.abs(q) + size * radius[d]) + 1e-3
+                bound = np.nan_to_num(bound, nan=np.inf, posinf=np.inf)
                 go = used[d] if row["floor"] is None else used[d] & (bound >= row["floor"])
                 out += [(row["qid"], d, row["v"], first[d] + g) for g in np.flatnonzero(go).tolist() if first[d] + g != row["g"]]
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
