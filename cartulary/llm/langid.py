@@ -5,10 +5,11 @@ of two texts is the size of their common set over the root of the product of the
 landmarks (a bounded sample of labelled texts) give explicit features, and one-versus-rest kernel
 ridge regression on a bounded labelled sample gives one weight per landmark and language. Because
 the kernel is linear in n-gram presence, landmarks and weights fold into one matrix n-gram x
-language; scoring is a product of a batch's presence rows with it.
+language; scoring is the product of a batch's presence matrix with it.
 
-The fit uses at most about ``PER_LANG`` texts of each of the ``LANGS`` most frequent languages
-(chosen by a hash of the id); every text is scored whole. ``und`` with score 0: a null text, one
+The fit uses about ``PER_LANG`` texts of each language, fewer where that would be more than ``FIT_ROWS`` in all
+(chosen by a hash of the id), of up to ``LONGEST`` characters where a language has such texts. So what reaches the driver is
+bounded, and no language is left out. Every text is scored whole. ``und`` with score 0: a null text, one
 without a letter, or nothing to learn from. Rows with a null id are scored, never learned from.
 """
 
@@ -16,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LANG, LANDMARKS, LANGS, RIDGE = 200, 50, 200, 1e-3
+PER_LANG, LANDMARKS, FIT_ROWS, LONGEST, RIDGE = 200, 50, 8000, 20_000, 1e-3
+CELLS = 8_000_000  # of the presence matrix of a batch
 
 
 def grams(text: str) -> np.ndarray:
@@ -39,7 +41,8 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray, np.n
     """(languages, n-gram codes, weight of each n-gram for each language)."""
     names = sorted(set(langs))
     sets = [grams(t) for t in texts]
-    marks = [i for n in names for i in [j for j, x in enumerate(langs) if x == n][:LANDMARKS]]
+    most = max(1, min(LANDMARKS, FIT_ROWS // 4 // len(names)))
+    marks = [i for n in names for i in [j for j, x in enumerate(langs) if x == n][:most]]
     codes = np.unique(np.concatenate([sets[i] for i in marks]))
     have = np.zeros((len(codes), len(marks)), np.float32)
     for k, i in enumerate(marks):
@@ -66,14 +69,18 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray, np.n
 def training_rows(docs: DataFrame) -> list:
     """A bounded sample of labelled texts, each language at its own rate."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    short = F.length("text") <= LONGEST
+    counts = rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count("*").alias("all")).orderBy("lang").collect()
     if not counts:
         return []
-    rate = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * PER_LANG / n))) for lang, n in counts])
+    per = max(1, min(PER_LANG, FIT_ROWS // len(counts)))
     spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.where(spot < rate).select("lang", "text", spot.alias("spot"))
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, (1.2 * per + 8) / (r.short or r["all"])))])
+    only_long = F.array(*[F.lit(r.lang) for r in counts if not r.short]).cast("array<string>")
+    picked = rows.where((short | F.array_contains(only_long, F.col("lang"))) & (spot < F.element_at(rate, F.col("lang")))).select("lang", "text", spot.alias("spot"))
     # never more than a bounded number of rows to the driver, whatever the hash does
-    return picked.orderBy("spot").limit(2 * PER_LANG * len(counts)).collect()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "text"))
+    return picked.withColumn("k", rank).where(F.col("k") <= per).orderBy("lang", "k").collect()
 
 
 def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -94,20 +101,21 @@ def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
             if todo:
                 names, codes, weight = model
                 sizes = np.array([len(s) for s in sets])
-                every = np.concatenate(sets)
-                at = np.minimum(np.searchsorted(codes, every), len(codes) - 1)
-                known = codes[at] == every
-                each = np.where(known[:, None], weight[at], np.float32(0))
-                f = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0).astype(np.float64) / np.sqrt(sizes)[:, None]
+                have = np.zeros((len(sets), len(codes)), np.float32)
+                for row, s in zip(have, sets, strict=True):
+                    at = np.minimum(np.searchsorted(codes, s), len(codes) - 1)
+                    row[at[codes[at] == s]] = 1
+                f = (have @ weight).astype(np.float64) / np.sqrt(sizes)[:, None]
                 e = np.exp(4 * (f - f.max(1, keepdims=True)))
                 best = f.argmax(1)
                 for i, b, p in zip(todo, best.tolist(), (e.max(1) / e.sum(1)).tolist(), strict=True):
                     pred[i], score[i] = names[b], p
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    def small(batches):  # a few hundred texts at a time
+    def small(batches):  # as many texts at a time as their presence matrix allows
+        step = max(1, min(256, CELLS // max(1, len(handle.value[1])))) if handle.value else 256
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                yield from run([batch.slice(i, 256)])
+            for i in range(0, batch.num_rows, step):
+                yield from run([batch.slice(i, step)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(small, "doc_id long, lang_pred string, score double")
