@@ -1,7 +1,8 @@
 """Operator 10: mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Documents fall into blocks by a hash of their id; a source has at most ``BLOCKS`` blocks, whatever
-its size, so the block table that the driver sees is bounded by the number of sources. The driver
+its size, and fewer where there are very many sources, so the block table that the driver sees is bounded: ``TABLE`` rows,
+or one a source, and above ``SOURCES`` sources the call fails before it collects any. The driver
 draws whole blocks until a source's target is met, splits the drawn block quotas down a binary tree
 of output shards (each split is a multivariate-hypergeometric draw, so quotas stay exact), and deals
 each shard the next blocks of every source's permuted list. Documents meet their block's draws in a
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import boxed, unboxed
 
-BLOCKS = 1024
+BLOCKS, TABLE, SOURCES = 1024, 1 << 18, 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -87,10 +88,18 @@ def split_tree(quota: np.ndarray, shards: int, seed: int, at: int = 0) -> np.nda
     return np.vstack([split_tree(part, left, seed, 2 * at + 1), split_tree(quota - part, shards - left, seed, 2 * at + 2)])
 
 
+def checked(docs: DataFrame) -> DataFrame:
+    """Sized documents with as many blocks a source as the bounds allow."""
+    n = docs.select("m_src").distinct().count()
+    if n > SOURCES:
+        raise ValueError(f"{n} sources; at most {SOURCES} can be planned")
+    return docs.withColumn("m_blk", F.pmod("m_blk", F.lit(max(1, min(BLOCKS, TABLE // max(1, n))))).cast("int"))
+
+
 def plan(spark, blocks: DataFrame, weights=(5, 2, 1), ratio=1.5, most=2.0, shards: int | None = None, seed: int = 17) -> DataFrame:
     """(source, block, source_size, target, shards) for every block; shards: one entry for each draw.
 
-    blocks: (source, block, words), at most BLOCKS rows a source.
+    blocks: (source, block, words), at most BLOCKS rows a source (``checked`` bounds them).
     """
     by: dict[str | None, list[tuple[int, int]]] = {}
     for source, block, words in blocks.collect():
@@ -128,7 +137,7 @@ def planned(docs: DataFrame, the_plan: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
     """The mix itself: every drawn document, as often as drawn, shard by shard in shuffled order."""
-    rows = sized(docs, seed)
+    rows = checked(sized(docs, seed))
     out = planned(rows, plan(docs.sparkSession, block_table(rows), seed=seed, **how)).where("m_size > 0")
     out = out.select("row", F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64("row.doc_id", "copy", F.lit(seed))
@@ -136,7 +145,9 @@ def mix_sources(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, work, seed: int = 17, **how) -> DataFrame:
-    """What the mix takes of each document."""
-    rows = work.put("sized", sized(docs.select("doc_id", "text", "source"), seed).select("row.doc_id", "m_size", "m_src", "m_blk"))
+    """What the mix takes of each document: the shards that the tree deals it to, and the words they take."""
+    rows = checked(work.put("sized", sized(docs.select("doc_id", "text", "source"), seed).select("row.doc_id", "m_size", "m_src", "m_blk")))
     out = planned(rows, plan(docs.sparkSession, block_table(rows), seed=seed, **how))
-    return out.select("doc_id", F.col("m_size").alias("size"), "source_size", "target", (F.col("m_size") * F.size("shards")).alias("taken"))
+    dealt = F.when(F.col("m_size") > 0, F.col("shards")).otherwise(F.array().cast("array<int>"))
+    out = out.select("doc_id", F.col("m_size").alias("size"), "source_size", "target", dealt.alias("shards"))
+    return out.select("*", (F.col("size") * F.size("shards")).alias("taken"))
