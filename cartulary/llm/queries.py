@@ -51,7 +51,7 @@ def op7_deleted_interpolation(spark, sf_dir):
 
 
 def op8_templates(spark, sf_dir):
-    found = templates.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = templates.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), Work(spark))
     return found.drop("text_hash")
 
 
@@ -61,7 +61,8 @@ def op9_suffix_array(spark, sf_dir):
 
 
 def op10_mixing(spark, sf_dir):
-    return mixing.mix_report(read(spark, sf_dir, "documents"), Work(spark))
+    found = mixing.mix_report(read(spark, sf_dir, "documents"), Work(spark))
+    return found.withColumn("shards", F.array_join(F.transform("shards", lambda x: x.cast("string")), ","))
 
 
 QUERIES = {
