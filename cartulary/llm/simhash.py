@@ -245,7 +245,7 @@ def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int) ->
     return out, crowd
 
 
-def verified_links(work, docs: DataFrame, rows: DataFrame, nodes: DataFrame, bits: int, blocks: int, equal: int, least: float, width: int) -> DataFrame:
+def verified_links(work, docs: DataFrame, nodes: DataFrame, bits: int, blocks: int, equal: int, least: float, width: int) -> DataFrame:
     """Edges (a, b) that connect the nodes whose texts have a similarity of at least ``least``, of those that cells bring together.
 
     A tree edge that fails the comparison takes its nodes' other links along, so the large cells are
@@ -253,7 +253,7 @@ def verified_links(work, docs: DataFrame, rows: DataFrame, nodes: DataFrame, bit
     """
     edges, crowd = sketch_links(work, nodes, bits, blocks, equal)
     edges = work.put("edges", edges.distinct())
-    good = work.put("good", similar(work, docs, edges, rows, least, width))
+    good = work.put("good", similar(work, docs, edges, nodes, least, width))
     group = components(work, good, "first")
     crowd = crowd.join(group, "node", "left").select("key", "fp", "node", F.coalesce("component", "node").alias("comp"))
     crowd = work.put("crowd", crowd)
@@ -261,7 +261,7 @@ def verified_links(work, docs: DataFrame, rows: DataFrame, nodes: DataFrame, bit
     mixed = work.put("mixed", crowd.join(mixed, "key"))
     again = cell_links(work, mixed, bits, blocks, "node", "again", True).distinct()
     again = work.put("retried", again.join(edges, ["a", "b"], "left_anti"))
-    return good.union(work.put("better", similar(work, docs, again, rows, least, width, "more_sets")))
+    return good.union(work.put("better", similar(work, docs, again, nodes, least, width, "more_sets")))
 
 
 def cell_links(work, rows: DataFrame, bits: int, blocks: int, name: str = "fp", turn: int | str = 0, comp: bool = False) -> DataFrame:
@@ -306,14 +306,13 @@ def cell_links(work, rows: DataFrame, bits: int, blocks: int, name: str = "fp",
     return cells.mapInArrow(solve, "a long, b long")
 
 
-def similar(work, docs: DataFrame, edges: DataFrame, rows: DataFrame, least: float, width: int, name: str = "sets") -> DataFrame:
+def similar(work, docs: DataFrame, edges: DataFrame, nodes: DataFrame, least: float, width: int, name: str = "sets") -> DataFrame:
     """The edges whose texts (one for each node) have shingle sets with a Jaccard similarity of at least ``least``.
 
-    Shingle sets are made only of texts that an edge names.
+    Shingle sets are made only of texts that an edge names; nodes: a row (node, w) for each, w its first document.
     """
     named = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    one = rows.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("w"))
-    one = one.select("node", F.col("w.doc_id").alias("doc_id"), F.col("w.text_hash").alias("text_hash"))
+    one = nodes.join(named, "node", "left_semi").select("node", F.col("w.doc_id").alias("doc_id"), F.col("w.text_hash").alias("text_hash"))
 
     def sets(batches):
         for batch in batches:
@@ -336,6 +335,28 @@ def similar(work, docs: DataFrame, edges: DataFrame, rows: DataFrame, least: flo
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def labelled(docs: DataFrame, work, bits: int, width: int, blocks: int, equal: int, least: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp), and for each distinct fp its group, its first row w, and the component_id of the group."""
+    if least is None:
+        rows = work.put("prints", fingerprints(docs, id_col, text_col, width)).withColumn("node", F.col("fp"))
+    else:
+        rows = work.put("prints", sketches(doc_rows(docs, id_col, text_col), width))
+    first = F.min(F.struct("doc_id", "text_hash")).alias("w")
+    nodes = work.put("fps", rows.groupBy("node").agg(first, *([] if least is None else [F.first("prints").alias("prints")])))
+    if least is None:
+        edges = links(work, nodes.select(F.col("node").alias("fp")), bits, blocks, equal)
+    else:
+        edges = verified_links(work, doc_rows(docs, id_col, text_col), nodes, bits, blocks, equal, least, width)
+    group = components(work, edges)
+    work.drop("cells")
+    linked = group.join(nodes.select("node", "w"), "node")
+    lows = linked.groupBy("component").agg(F.min("w.doc_id").alias("least"))
+    linked = linked.join(lows, "component").select("node", "component", "least")
+    label = nodes.select("node", "w").join(linked, "node", "left")
+    label = label.select(F.col("node").alias("fp"), F.coalesce("component", "node").alias("group"), "w", F.coalesce("least", "w.doc_id").alias("component_id"))
+    return rows.select("doc_id", "text_hash", F.col("node").alias("fp")), work.put("labels", label)
+
+
 def near_groups(
     docs: DataFrame, work, bits: int = 4, width: int = 4, blocks: int = BLOCKS, equal: int = EQUAL, least: float | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -344,23 +365,8 @@ def near_groups(
     group: the smallest fingerprint that links reach; component_id: the smallest doc_id there. least: the
     shingle similarity that the texts of linked, unequal fingerprints must have, if any.
     """
-    if least is None:
-        rows = work.put("prints", fingerprints(docs, id_col, text_col, width)).withColumn("node", F.col("fp"))
-        nodes = work.put("fps", rows.groupBy("node").agg(F.min("doc_id").alias("low")))
-        edges = links(work, nodes.select(F.col("node").alias("fp")), bits, blocks, equal)
-    else:
-        rows = work.put("prints", sketches(doc_rows(docs, id_col, text_col), width))
-        nodes = work.put("fps", rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("prints").alias("prints")))
-        edges = verified_links(work, doc_rows(docs, id_col, text_col), rows, nodes, bits, blocks, equal, least, width)
-        rows = rows.withColumn("fp", F.col("node"))
-    group = components(work, edges)
-    work.drop("cells")
-    low = nodes.select(F.col("node").alias("fp"), "low")
-    linked = group.join(low, F.col("node") == F.col("fp"))
-    lows = linked.groupBy("component").agg(F.min("low").alias("least"))
-    linked = linked.join(lows, "component").select(F.col("node").alias("fp"), "component", "least")
-    label = low.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("least", "low").alias("component_id"))
-    return rows.join(work.put("labels", label), "fp").select(real_id(), "text_hash", "fp", "group", real_id("component_id"))
+    rows, label = labelled(docs, work, bits, width, blocks, equal, least, id_col, text_col)
+    return rows.join(label.drop("w"), "fp").select(real_id(), "text_hash", "fp", "group", real_id("component_id"))
 
 
 def fp_text(name: str = "fp"):
@@ -376,11 +382,10 @@ def keep_one(docs: DataFrame, work, bits: int = 11, width: int = 5, blocks: int
     similarity of 0.8 or more links two texts. All columns stay. Of rows that repeat both id and text,
     one stays.
     """
-    groups = near_groups(docs, work, bits, width, blocks, equal, least)
-    keys = work.put("keys", key_columns(groups).select("group", "m_id", "m_hash"))
-    one = keys.groupBy("group").agg(F.min(F.struct("m_id", "m_hash")).alias("w"))
-    losers = keys.join(one, "group").where(F.struct("m_id", "m_hash") != F.col("w")).select("m_id", "m_hash").distinct()
-    again = work.put("again", keys.groupBy("m_id", "m_hash").agg(F.count("*").alias("n")).where("n > 1").select("m_id", "m_hash"))
-    kept = boxed(docs).withColumns(keys_of()).join(work.put("losers", losers), ["m_id", "m_hash"], "left_anti")
-    single, repeated = kept.join(again, ["m_id", "m_hash"], "left_anti"), kept.join(again, ["m_id", "m_hash"], "left_semi")
-    return unboxed(single.union(repeated.dropDuplicates(["m_id", "m_hash"])))
+    rows, label = labelled(docs, work, bits, width, blocks, equal, least, "doc_id", "text")
+    # one row for each distinct text decides, so that a large group is no large task
+    won = label.groupBy("group").agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias("m_id"), F.col("w.text_hash").alias("m_hash"))
+    again = rows.groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.count("*").alias("n"))
+    won = work.put("won", won.join(again, ["m_id", "m_hash"]))
+    kept = boxed(docs).withColumns(keys_of()).join(won, ["m_id", "m_hash"])
+    return unboxed(kept.where("n = 1").union(kept.where("n > 1").dropDuplicates(["m_id", "m_hash"])))
