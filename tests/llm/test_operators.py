@@ -238,8 +238,9 @@ def test_large_cells_keep_links_whose_tree_edges_fail(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
     prints = [np.full(simhash.PRINTS, 3 << (i % 7), np.uint64).tobytes() for i in range(len(rows))]
     nodes = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(prints)], "node long, prints binary")
-    named = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("doc_id").alias("node"))
-    edges = simhash.verified_links(Work(spark), docs, named, nodes, 11, 6, 2, 0.8, 5)
+    first = F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash")).alias("w")
+    nodes = nodes.join(docs.select(F.col("doc_id").alias("node"), first), "node")
+    edges = simhash.verified_links(Work(spark), docs, nodes, 11, 6, 2, 0.8, 5)
     sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in rows]
     want = common.components(Work(spark), spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], "a long, b long"))
     got = common.components(Work(spark), edges)
@@ -512,11 +513,39 @@ def test_knn_against_brute_force(spark, monkeypatch):
 def test_scores_stay_exact():
     a, b = np.array([[1 << 40, 3]], np.int64), np.array([[1 << 20, 1]], np.int64)
     assert knn._scores(a, b)[0, 0] == (1 << 60) + 3
+    assert knn._scores(np.array([[2.0**62]]), np.array([[2.0**62], [-(2.0**62)], [1.0]])).tolist() == [[(1 << 63) - 1, -(1 << 63), 1 << 62]]
+
+
+def test_knn_large_components_and_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    rng = random.Random(8)
+    hot = [0.5, -0.25, 0.125]
+    rows = [(i, hot if i % 3 else [rng.uniform(-1, 1) for _ in range(3)]) for i in range(240)] + [(7, hot)] * 60
+    rows += [(300, [2.0**60, 1.0, 0.0]), (301, [2.0**60, 2.0, 0.0]), (302, [-(2.0**60), 0.0, 0.0]), (303, [1e308, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ok = [(i, [math.floor(256 * c) for c in v]) for i, v in rows if max(v) < 1e300]
+    low, high = -(1 << 63), (1 << 63) - 1
+    want = []
+    for i, q in {i: q for i, q in ok if i % 50 == 0}.items():
+        best = sorted((-max(low, min(high, sum(a * b for a, b in zip(q, v, strict=True)))), j) for j, v in ok if j != i)[:5]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in knn.knn_join(df, Work(spark)).collect()) == sorted(want)
 
 
 # ---------------------------------------------------------------- 6
 
 
+def test_more_languages_than_rows_a_language():
+    """No language is left out, however many there are; weights are a product with the presence matrix."""
+    names = [f"l{k:03d}" for k in range(260)]
+    letters = [chr(0x4E00 + 7 * k) + chr(0x4E01 + 7 * k) for k in range(260)]
+    langs, codes, weight = langid.fit([x * 3 for x in letters for _ in range(2)], [n for n in names for _ in range(2)])
+    assert langs == names and weight.shape == (len(codes), 260)
+    for k in (0, 130, 259):
+        have = np.isin(codes, langid.grams(letters[k] * 2)).astype(np.float32)
+        assert langs[int((have @ weight).argmax())] == names[k]
+
+
 def test_language_id(spark):
     rng = random.Random(9)
     sound = {"en": "th er on an re he in ed".split(), "de": "sch ei und ung ich ä ö".split(), "fr": "eau ou é è qu ai ç".split()}
@@ -585,21 +614,83 @@ def test_templates(spark):
     assert templates.find_leaks(docs, bench.where("false")).count() == 0 and templates.find_leaks(no_docs(spark), bench).count() == 0
 
 
-def test_slots_must_agree():
+def test_slots_must_agree(spark):
     """One value of the item cannot be two values of the document."""
-    item = (0, b"from 10 to 10 take the first 10 of the rest of 10 and add 10 once more to 10 at last")
-    index = templates.Index([item])
-    same = b"from 30 to 30 take the first 30 of the rest of 30 and add 30 once more to 30 at last"
-    mixed = b"from 31 to 32 take the first 33 of the rest of 34 and add 35 once more to 36 at last"
-    assert [x[1] for x in index.leaks([same], 0.5)] == [0] and list(index.leaks([mixed], 0.5)) == []
+    item = "from 10 to 10 take the first 10 of the rest of 10 and add 10 once more to 10 at last"
+    same = "from 30 to 30 take the first 30 of the rest of 30 and add 30 once more to 30 at last"
+    mixed = "from 31 to 32 take the first 33 of the rest of 34 and add 35 once more to 36 at last"
+    docs = spark.createDataFrame([(1, same, None, None, 0), (2, mixed, None, None, 0)], DOC)
+    assert [r.doc_id for r in templates.find_leaks(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()] == [1]
+
+
+def test_other_plans_give_the_same(spark, monkeypatch):
+    """A full bitmap, salted joins and common windows change no row."""
+    extra = "Read the text with care and then choose the one right answer from the list below. "
+    items = [*ITEMS, *((10 + k, extra + f"Question {'abcdefgh'[k]} of all zz{k} yy{k} xx{k} ww{k} vv{k} uu{k} tt{k} ss{k} rr{k}") for k in range(6)), (20, extra), (20, extra)]
+    rows = [(0, ITEMS[0][1]), (1, ITEMS[1][1]), (2, extra + "nothing else that anyone could know here or there"), (3, items[6][1]), (3, items[6][1]), (4, items[7][1])]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOC)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, templates.find_leaks(docs, bench).collect()))
+    assert {(r[0], r[2]) for r in want} >= {(0, 0), (1, 1), (2, 20), (3, 11), (4, 12)}
+    for changes in ({"BITS": 16}, {"BROADCAST": 0}, {"COMMON": 2}, {"COMMON": 1, "BROADCAST": 0}):
+        with monkeypatch.context() as m:
+            for k, v in changes.items():
+                m.setattr(templates, k, v)
+            assert sorted(map(tuple, templates.find_leaks(docs, bench).collect())) == want
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    docs = spark.createDataFrame([(0, ITEMS[0][1], None, None, 0), (1, ITEMS[1][1], None, None, 0)], DOC)
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    want = sorted(map(tuple, templates.find_leaks(docs, bench).collect()))
-    monkeypatch.setattr(templates, "BLOCK", 10)
-    assert sorted(map(tuple, templates.find_leaks(docs, bench).collect())) == want
+def test_items_of_numbers_and_repeated_ids(spark):
+    numbers, long = "12 7 19 3 44 58 61 70 85 99", " ".join(f"word{k}" for k in range(24))
+    bench = spark.createDataFrame([(1, numbers), (5, long), (5, " ".join(f"term{k}" for k in range(10)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {numbers} it is", None, None, 0), (2, numbers.replace("7", "8"), None, None, 0), (3, " ".join(f"term{k}" for k in range(10)), None, None, 0)], DOC)
+    got = sorted((r.doc_id, r.item_id, r.item_words, r.matched_words) for r in templates.find_leaks(docs, bench).collect())
+    assert got == [(1, 1, 10, 10), (3, 5, 10, 10)]
+
+
+def brute_leaks(docs, items, cover=0.5):
+    """Every item against every document, window by window, with plain words."""
+
+    def canon(t):
+        c = templates.Canonical([t.encode()])
+        return [(int(k), int(x) if k == 0 else int(k)) for k, x in zip(c.kind, c.literal, strict=True)], c.literal.tolist()
+
+    out = []
+    for i, t in docs:
+        w, lit = canon(t)
+        for j, u in items:
+            v, said = canon(u)
+            width = min(8, len(v))
+            hits = []
+            for d in range(len(w) - width + 1) if width >= 4 else ():
+                for a in range(len(v) - width + 1):
+                    bare = 2 * sum(k > 0 for k, _ in v[a : a + width]) > width
+                    if w[d : d + width] == v[a : a + width] and (not bare or lit[d : d + width] == said[a : a + width]):
+                        hits.append((d, a))
+            support = Counter(d - a for d, a in hits)
+            slot, cov = {}, set()
+            for d, a in sorted(hits, key=lambda x: (-support[x[0] - x[1]], x[0] - x[1], x[0])):
+                new = dict(slot)
+                if all(new.setdefault((v[a + o][0], said[a + o]), lit[d + o]) == lit[d + o] for o in range(width) if v[a + o][0]):
+                    slot = new
+                    cov |= set(range(a, a + width))
+            if cov and len(cov) >= cover * len(v):
+                out.append((i, j, len(v), len(cov)))
+    return sorted(out)
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(40)] + ["Anna", "Peter", "12", "7", "30", "km", "apples", "end."]
+    items = [(k, prose(rng, rng.randint(3, 30), words)) for k in range(25)]
+    docs = []
+    for k in range(60):
+        t = items[k % 25][1].split()
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        docs.append((k, f"{prose(rng, rng.randint(0, 9), words)} {' '.join(t)} {prose(rng, rng.randint(0, 9), words)}"))
+    got = templates.find_leaks(spark.createDataFrame([(i, t, None, None, 0) for i, t in docs], DOC), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_leaks(docs, items)
+    assert len(want) > 20 and sorted((r.doc_id, r.item_id, r.item_words, r.matched_words) for r in got.collect()) == want
 
 
 @pytest.mark.parametrize(("size", "edits", "covered"), [(38, (8, 18, 28), 35), (30, (8, 20), 28), (59, (9, 19, 29, 39, 49), 54)])
@@ -682,11 +773,17 @@ def test_mix(spark):
     want = mixing.targets(dict(sizes))
     by_target = defaultdict(int)
     for r in out:
-        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        assert r["taken"] in (0, r["size"], 2 * r["size"]) and r["taken"] == r["size"] * len(r["shards"])
         by_target[r["source_size"], r["target"]] += r["taken"]
     assert set(by_target) == {(sizes[s], want[s]) for s in sizes}
     for (_, goal), taken in by_target.items():
         assert abs(taken - goal) <= 60
+    words = Counter()
+    for r in out:
+        words.update({k: r["size"] for k in r["shards"]})
+    assert set(words) == set(range(8)) and max(words.values()) < 2 * min(words.values())  # the tree deals even shards
+    other = {(r.doc_id, r.size): r.shards for r in mixing.mix_report(docs, Work(spark), shards=3).collect()}
+    assert {k for r in other.values() for k in r} == {0, 1, 2}
     mixed = mixing.mix_sources(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["taken"] // r["size"] for r in out if r["size"])
     assert mixing.mix_report(no_docs(spark), Work(spark)).count() == 0 and mixing.mix_sources(no_docs(spark)).count() == 0
