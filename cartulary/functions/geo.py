@@ -99,23 +99,36 @@ def radius_box(lat: float, lng: float, metres: float) -> tuple[float, float, flo
 
 
 def within_radius(lat, lng, at: tuple[float, float], metres: float) -> Column:
-    """In the circle: plain ranges on the stored columns first, which reach the Parquet scan, then the distance."""
-    box = radius_box(*at, metres)
-    return in_bbox(lat, lng, box) & (haversine(lat, lng, *at) <= float(metres))
+    """In the circle: plain ranges on the stored columns first, which reach the Parquet scan, then the distance.
+
+    A circle that crosses the 180th meridian has a range on either side of it."""
+    south, west, north, east = radius_box(*at, metres)
+    boxes = [(south, west, north, east)]
+    if east - west >= 360:
+        boxes = [(south, -180.0, north, 180.0)]
+    elif west < -180:
+        boxes.append((south, west + 360, north, 180.0))
+    elif east > 180:
+        boxes.append((south, -180.0, north, east - 360))
+    inside = in_bbox(lat, lng, boxes[0])
+    for box in boxes[1:]:
+        inside = inside | in_bbox(lat, lng, box)
+    return inside & (haversine(lat, lng, *at) <= float(metres))
 
 
 def radius_join(left, right, metres: float, max_lat: float, left_at=("lat", "lng"), right_at=("r_lat", "r_lng")):
     """Pairs within metres of each other: equal grid cells (right side dealt to its 3 x 3 neighbours), then the distance.
 
-    No theta-only join: a cell is as wide as the radius at max_lat, the largest absolute latitude.
+    No theta-only join: a cell is at least as wide as the radius at max_lat, the largest absolute latitude. Columns of cells
+    divide the circle evenly and wrap, so pairs across the 180th meridian meet too.
     """
     dlat = math.degrees(metres / EARTH_M) * 1.001
-    dlng = dlat / math.cos(math.radians(min(89.0, max_lat)))
-    cell = lambda at: (F.floor(F.col(at[0]) / dlat), F.floor(F.col(at[1]) / dlng))
+    columns = max(1, math.floor(360.0 * math.cos(math.radians(min(89.99, max_lat + dlat))) / dlat))
+    cell = lambda at: (F.floor(F.col(at[0]) / dlat), F.pmod(F.floor((F.col(at[1]) + 180.0) / (360.0 / columns)), F.lit(columns)))
     ly, lx = cell(left_at)
     ry, rx = cell(right_at)
-    around = lambda x: F.explode(F.sequence(x - 1, x + 1))
+    beside = F.array_distinct(F.transform(F.sequence(rx - 1, rx + 1), lambda x: F.pmod(x, F.lit(columns))))
     left = left.withColumns({"_cy": ly, "_cx": lx})
-    right = right.withColumn("_cy", around(ry)).withColumn("_cx", around(rx))
+    right = right.withColumn("_cy", F.explode(F.sequence(ry - 1, ry + 1))).withColumn("_cx", F.explode(beside))
     out = left.join(right, ["_cy", "_cx"]).drop("_cy", "_cx")
     return out.withColumn("distance", haversine(*left_at, *right_at)).where(F.col("distance") <= float(metres))

@@ -121,8 +121,10 @@ def plural(n: Column, word: str) -> Column:
 
 
 def distance_label(metres: Column | str) -> Column:
+    """Whole metres below a kilometre, then kilometres with one decimal, halves up."""
     m = col(metres)
-    return F.when(m < 1000, F.concat(m.cast("long").cast("string"), F.lit(" m"))).otherwise(F.format_string("%.1f km", m / 1000.0))
+    tenths = F.floor((F.round(m).cast("long") + 50) / 100).cast("long")
+    return F.when(m < 1000, F.concat(m.cast("long").cast("string"), F.lit(" m"))).otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" km")))
 
 
 def short(x: Column | str, most: int) -> Column:

@@ -21,6 +21,7 @@ from ..functions import geo, text
 #: Searchable fields, most telling first.
 ATTRIBUTES = ("title", "summary", "categories", "tags", "city", "address", "body")
 FAR = 8  # a gap that counts as no proximity
+ATTR = 1 << 40  # a place in a document is one number: field * ATTR + position
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def match(index: DataFrame, found: DataFrame, n_terms: int) -> DataFrame:
     best = every.groupBy("kind", "id", "q").agg(
         F.min(F.struct("edits", "how", "attr")).alias("best"),
         F.min("attr").alias("attr"),
-        F.array_sort(F.collect_set(F.struct("attr", "pos"))).alias("at"),
+        F.collect_set(F.col("attr").cast("long") * ATTR + F.col("pos")).alias("at"),
     )
     docs = best.groupBy("kind", "id").agg(
         F.count("*").alias("words"),
@@ -97,15 +98,29 @@ def match(index: DataFrame, found: DataFrame, n_terms: int) -> DataFrame:
         F.count_if(F.col("best.how") == 0).alias("exact"),
         F.array_sort(F.collect_list(F.struct("q", "at"))).alias("terms"),
     )
-    # the gap of consecutive matched terms within one field, at its smallest, at most FAR
-    gap = lambda a, b: F.array_min(
-        F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.when((x["attr"] == y["attr"]) & (y["pos"] != x["pos"]), F.least(F.abs(y["pos"] - x["pos"]), F.lit(FAR))).otherwise(F.lit(FAR)))))
-    )
+    # the gap of consecutive matched terms within one field, at its smallest, at most FAR: sets of places, moved by each gap
+    moved = lambda a, k: F.transform(a, lambda x: x + k)
+    gap = lambda a, b: F.coalesce(*[F.when(F.arrays_overlap(moved(a, k), b) | F.arrays_overlap(a, moved(b, k)), F.lit(k)) for k in range(1, FAR)], F.lit(FAR))
     pairs = F.transform(F.sequence(F.lit(1), F.size("terms") - 1), lambda i: gap(F.get("terms", i - 1)["at"], F.get("terms", i)["at"]))
     near = F.when(F.size("terms") > 1, F.aggregate(pairs, F.lit(0), lambda s, x: s + x)).otherwise(F.lit(0))
     return docs.withColumn("proximity", near).drop("terms")
 
 
+#: What ranking, paging and choosing among articles need of a document.
+NARROW = ("kind", "id", "url", "lat", "lng", "updated_at", "start_time")
+RANKS = ("words", "typos", "proximity", "attribute", "exact", "distance_m")
+
+
+def narrow(docs: DataFrame) -> DataFrame:
+    return docs.select([c for c in NARROW if c in docs.columns])
+
+
+def fill(docs: DataFrame, page: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The whole documents of a page of ranked rows, in its order. The page is what its limit says, so it is broadcast."""
+    ranks = [c for c in RANKS if c in page.columns]
+    return docs.join(F.broadcast(page.select("kind", "id", *ranks)), ["kind", "id"]).orderBy(*order).limit(limit)
+
+
 def rank_order(sort: list[Column] | None = None) -> list[Column]:
     return [F.desc("words"), F.asc("typos"), F.asc("proximity"), F.asc("attribute"), *(sort or []), F.desc("exact"), F.desc_nulls_last(F.when(F.col("kind") == "article", F.col("updated_at"))), F.asc("id")]
 

@@ -1,78 +1,194 @@
-"""Keyed Parquet tables: each write makes a new version, and one small file says which version counts.
+"""Keyed Parquet tables in buckets by key: a write makes new files of the buckets it touches, and a numbered manifest says
+which files count. Tables of documents have their inverted index beside them, kept by the same writes.
 
-A version is complete before it counts, so readers never see half a write, and a rerun of a failed
-write starts from the version that counts.
+A manifest is written last and never replaced: the newest complete one counts. So readers never see half a write, a writer
+that dies leaves the table as it was, and of two writers at once the second fails and can start again.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import TABLES, conform, empty, struct
+from ..schema import KINDS, TABLES, conform, empty, struct
+from . import search
+
+BUCKETS, KEEP = 16, 2
+CONTENT = {f"{k}s": k for k in KINDS}
 
 
 class Store:
-    """Tables below one folder of any file system that Spark reads."""
+    """Tables below one folder of any file system that Spark reads.
+
+    buckets: how many a new table gets. An upsert rewrites only those that its keys fall into, so a large table wants many.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
+    # ------------------------------------------------------------ manifests
 
-    def version(self, name: str) -> str | None:
-        path = self._path(self._pointer(name))
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def _manifest(self, name: str, number: str) -> dict | None:
+        stream = self._fs.open(self._path(f"{self.root}/{name}/_manifests/{number}"))
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:  # its writer died
+            return None
         finally:
             stream.close()
 
+    def manifest(self, name: str) -> dict | None:
+        """The newest complete manifest: the number of the next one, the number of buckets and the folder of each bucket that has rows."""
+        numbers = [n for n in self._names(f"{self.root}/{name}/_manifests") if n.isdigit()]
+        for number in reversed(numbers):
+            if found := self._manifest(name, number):
+                return found | {"next": int(numbers[-1]) + 1}
+        if any(n.startswith("v-") for n in self._names(f"{self.root}/{name}")):
+            raise RuntimeError(f"{self.root}/{name} has data but no manifest")
+        return None
+
+    def _commit(self, name: str, number: int, buckets: int, at: dict[str, str]) -> None:
+        folder = f"{self.root}/{name}/_manifests"
+        temp, final = self._path(f"{folder}/.{uuid.uuid4().hex}"), self._path(f"{folder}/{number:012d}")
+        stream = self._fs.create(temp, True)
+        stream.write(bytearray(json.dumps({"buckets": buckets, "at": at}).encode()))
+        stream.close()
+        if self._fs.exists(final) or not self._fs.rename(temp, final):
+            self._fs.delete(temp, False)
+            raise RuntimeError(f"another writer changed {name}")
+
+    def _sweep(self, name: str) -> None:
+        """Delete what only manifests before the last KEEP name."""
+        folder = f"{self.root}/{name}/_manifests"
+        numbers = [n for n in self._names(folder) if n.isdigit()]
+        used = {v for n in numbers[-KEEP:] for v in (self._manifest(name, n) or {"at": {}})["at"].values()}
+        for n in numbers[:-KEEP]:
+            old = (self._manifest(name, n) or {"at": {}})["at"].values()
+            for version in {v.split("/")[0] for v in old} - {v.split("/")[0] for v in used}:
+                self._fs.delete(self._path(f"{self.root}/{name}/{version}"), True)
+            for bucket in set(old) - used:
+                self._fs.delete(self._path(f"{self.root}/{name}/{bucket}"), True)
+            self._fs.delete(self._path(f"{folder}/{n}"), False)
+
+    # ------------------------------------------------------------ tables
+
     def ensure(self) -> None:
         """Create what is missing; safe to repeat."""
         for name in TABLES:
-            if self.version(name) is None:
-                self.replace(name, empty(self.spark, name))
+            if self.manifest(name) is None:
+                self._commit(name, 0, self.buckets, {})
 
-    def read(self, name: str) -> DataFrame:
-        at = self.version(name)
-        return empty(self.spark, name) if at is None else self.spark.read.schema(struct(name)).parquet(f"{self.root}/{name}/{at}")
-
-    def replace(self, name: str, df: DataFrame, keep: int = 2) -> None:
-        """Write a version and let it count; versions older than the last ``keep`` go."""
-        before = self.version(name)
-        at = f"v-{uuid.uuid4().hex}"
-        conform(df, TABLES[name]).write.parquet(f"{self.root}/{name}/{at}")
-        temp = self._path(f"{self._pointer(name)}.{at}")
-        stream = self._fs.create(temp, True)
-        stream.write(bytearray(at.encode()))
-        stream.close()
-        self._fs.delete(self._path(self._pointer(name)), False)
-        self._fs.rename(temp, self._path(self._pointer(name)))
-        for old in self._fs.listStatus(self._path(f"{self.root}/{name}")):
-            if old.isDirectory() and old.getPath().getName() not in (at, before):
-                self._fs.delete(old.getPath(), True)
-
-    def upsert(self, name: str, updates: DataFrame, key: str = "id") -> None:
-        """Rows with a new key are added, others replaced as a whole. An anti join: one shuffle of keys."""
-        rows = self.read(name)
-        self.replace(name, merge(rows, conform(updates, TABLES[name]), key))
+    def _load(self, name: str, folders) -> DataFrame:
+        paths = [f"{self.root}/{name}/{f}" for f in sorted(folders)]
+        return self.spark.read.schema(struct(name)).parquet(*paths) if paths else empty(self.spark, name)
 
-    def delete(self, name: str, keys: DataFrame, key: str = "id") -> None:
-        self.replace(name, self.read(name).join(keys.select(key).distinct(), key, "left_anti"))
+    def read(self, name: str) -> DataFrame:
+        now = self.manifest(name)
+        return self._load(name, now["at"].values() if now else [])
+
+    def _bucket(self, name: str, buckets: int):
+        return F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(buckets)).cast("int") if "id" in struct(name).names else F.lit(0)
+
+    def _write(self, name: str, df: DataFrame, now: dict | None, touched: list[int] | None, order: str | None = None) -> None:
+        """Write df as the new content of some buckets (None: of all), in an order within each, and let it count."""
+        if now is None:
+            self._commit(name, 0, self.buckets, {})
+            now = {"next": 1, "buckets": self.buckets, "at": {}}
+        version = f"v-{uuid.uuid4().hex}"
+        rows = conform(df, TABLES[name]).withColumn("bucket", self._bucket(name, now["buckets"]))
+        rows = rows.repartition("bucket")
+        rows = rows.sortWithinPartitions("bucket", order) if order else rows
+        rows.write.partitionBy("bucket").parquet(f"{self.root}/{name}/{version}")
+        kept = {} if touched is None else {b: f for b, f in now["at"].items() if int(b) not in touched}
+        new = {f.removeprefix("bucket="): f"{version}/{f}" for f in self._names(f"{self.root}/{name}/{version}") if f.startswith("bucket=")}
+        self._commit(name, now["next"], now["buckets"], kept | new)
+        self._sweep(name)
+
+    def _index(self, name: str, ids: DataFrame | None, rows: DataFrame | None) -> None:
+        """Keep the postings of a table of documents: those of ids (None: all of this kind) go, those of rows come.
+
+        Written before the documents: if the writer dies between, its rerun still finds the documents changed.
+        """
+        if name not in CONTENT:
+            return
+        kind = CONTENT[name]
+        key = lambda c: F.concat(F.lit(f"{kind}:"), c)
+        new = search.postings(rows).select(key(F.col("id")).alias("id"), "kind", F.col("id").alias("doc"), "term", "attr", "pos") if rows is not None else empty(self.spark, "postings")
+        now = self.manifest("postings")
+        if ids is None:
+            old, touched = self.read("postings").where(F.col("kind") != kind), None
+        else:
+            keys = ids.select(key(F.col("id")).alias("id")).distinct()
+            touched, old = self._touched("postings", keys, now)
+            old = without(old, keys)
+        # by term within a bucket, so that a reader skips row groups
+        self._write("postings", old.unionByName(conform(new, TABLES["postings"])), now, touched, "term")
+
+    def postings(self, kind: str) -> DataFrame:
+        """(term, kind, id, attr, pos) of the stored documents of a kind."""
+        return self.read("postings").where(F.col("kind") == kind).select("term", "kind", F.col("doc").alias("id"), "attr", "pos")
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """All rows anew."""
+        self._index(name, None, df)
+        self._write(name, df, self.manifest(name), None)
+
+    def _touched(self, name: str, keys: DataFrame, now: dict | None) -> tuple[list[int], DataFrame]:
+        """The buckets of some keys (at most as many as the table has), and the rows stored in them."""
+        buckets = now["buckets"] if now else self.buckets
+        touched = [b for b, in keys.select(self._bucket(name, buckets).alias("b")).distinct().collect()]
+        return touched, self._load(name, [now["at"][str(b)] for b in touched if str(b) in now["at"]] if now else [])
+
+    def upsert(self, name: str, updates: DataFrame) -> None:
+        """Rows with a new id are added, others replaced as a whole. Only their buckets are read and written."""
+        now, updates = self.manifest(name), conform(updates, TABLES[name])
+        touched, rows = self._touched(name, updates, now)
+        if touched:
+            self._index(name, updates, updates)
+            self._write(name, merge(rows, updates), now, touched)
+
+    def update(self, name: str, changes: DataFrame) -> None:
+        """Only the columns that changes has are set, null where it has null; rows with a new id are added."""
+        now = self.manifest(name)
+        touched, rows = self._touched(name, changes, now)
+        if touched:
+            new = patched(rows, changes)
+            self._index(name, changes, new.join(changes.select("id"), "id", "left_semi"))
+            self._write(name, new, now, touched)
+
+    def delete(self, name: str, keys: DataFrame) -> None:
+        now = self.manifest(name)
+        touched, rows = self._touched(name, keys, now)
+        if touched:
+            self._index(name, keys, None)
+            self._write(name, without(rows, keys), now, touched)
+
+
+def patched(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """rows with the columns that changes has set for its ids."""
+    names = [c for c in changes.columns if c != "id" and c in rows.columns]
+    new = changes.select("id", F.struct(*names).alias("_new"))
+    both = rows.join(new, "id", "full_outer")
+    return both.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in names else c for c in rows.columns))
 
 
 def merge(rows: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(updates.select(key), key, "left_anti").unionByName(updates)
 
 
+def without(rows: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    return rows.join(keys.select(key), key, "left_anti")
+
+
 def exists(rows: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """The keys that the table has; reads the key column only."""
     return keys.join(rows.select(key), key, "left_semi").select(key)

@@ -45,18 +45,25 @@ class Catalog:
     @staticmethod
     def of(store, region: Region) -> Catalog:
         spark = store.spark
-        return Catalog(spark, region, {k: store.read(f"{k}s") for k in ("place", "event", "article")}, region.gazetteer(spark), store.read("submissions"), store.read("metrics"))
+        return Catalog(spark, region, {k: store.read(f"{k}s") for k in ("place", "event", "article")}, region.gazetteer(spark), store.read("submissions"), store.read("metrics"), {k: store.postings(k) for k in ("place", "event", "article")})
 
     def docs(self, kinds: list[str]) -> DataFrame:
         return predicates.base(search.union_kinds(self.tables, kinds), self.region)
 
     def found(self, kinds: list[str], query: str | None, where: Column) -> DataFrame:
-        """Documents of these kinds that satisfy where and match the query."""
+        """Ranked rows, without texts, of the documents of these kinds that satisfy where and match the query."""
         docs = self.docs(kinds).where(where)
         index = None
         if kinds and all(k in self.postings for k in kinds):
             index = search.union_kinds(self.postings, kinds)
-        return search.distinct_articles(search.search(docs, query, self.region.stop_words, self.region.synonym_map(), index))
+        elif search.query_terms(query or "", list(self.region.stop_words)):
+            index = search.postings(docs)
+        hits = search.search(search.narrow(docs), query, self.region.stop_words, self.region.synonym_map(), index)
+        return search.distinct_articles(hits) if "article" in kinds else hits
+
+    def page(self, kinds: list[str], hits: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+        """A page of ranked rows as whole documents: texts are read for its rows only."""
+        return search.fill(self.docs(kinds), search.page(hits, order, limit, offset), order, limit)
 
     def terms(self, query: str | None) -> list[str]:
         return search.query_terms(query or "", list(self.region.stop_words))
@@ -71,7 +78,7 @@ def resolve(c: Catalog, name: str) -> Anchor:
     hit = gaz.resolve(one, c.gazetteer).first()
     if hit:
         return Anchor(hit.lat, hit.lng, float(hit.default_radius_m), hit.city, "gazetteer")
-    place = search.page(c.found(["place"], name, F.lit(True)), search.rank_order(), 1).select("title", "lat", "lng").first() if c.terms(name) else None
+    place = c.page(["place"], c.found(["place"], name, F.lit(True)), search.rank_order(), 1).select("title", "lat", "lng").first() if c.terms(name) else None
     if place:
         return Anchor(place.lat, place.lng, float(PLACE_RADIUS_M), place.title, "place")
     close = [r.name for r in gaz.suggest(c.gazetteer, name).collect()]
@@ -121,7 +128,7 @@ def search_region(c: Catalog, query=None, kinds=None, near=None, radius_m=None,
     if county and county.strip():
         parts.append(predicates.equals("county", county))
     parts.append(predicates.any_of(docs, "categories", categories))
-    page = search.page(c.found(which, query, predicates.all_of(parts)), search.rank_order(), args.limit(limit), max(0, offset))
+    page = c.page(which, c.found(which, query, predicates.all_of(parts)), search.rank_order(), args.limit(limit), max(0, offset))
     return _answer(c, page, query)
 
 
@@ -133,7 +140,7 @@ def find_nearby(c: Catalog, near=None, lat=None, lng=None, query=None, radius_m=
         raise args.ArgumentError("a place name or coordinates are needed")
     where = predicates.all_of([predicates.near((at.lat, at.lng), radius_m or NEARBY_RADIUS_M), predicates.any_of(c.docs(which), "categories", categories)])
     hits = search.by_distance(c.found(which, query, where), (at.lat, at.lng), None)
-    page = search.page(hits, [F.asc_nulls_last("distance_m"), F.asc("id")], args.limit(limit), max(0, offset))
+    page = c.page(which, hits, [F.asc_nulls_last("distance_m"), F.asc("id")], args.limit(limit), max(0, offset))
     return _answer(c, page, query)
 
 
@@ -148,7 +155,7 @@ def search_events(c: Catalog, now: int, query=None, near=None, city=None, radius
     if name and name.strip():
         at = resolve(c, name)
         parts.append(predicates.near((at.lat, at.lng), radius_m or at.radius_m))
-    page = search.page(c.found(["event"], query, predicates.all_of(parts)), [F.asc("start_time"), F.asc("id")], args.limit(limit), max(0, offset))
+    page = c.page(["event"], c.found(["event"], query, predicates.all_of(parts)), [F.asc("start_time"), F.asc("id")], args.limit(limit), max(0, offset))
     return _answer(c, page, query)
 
 
@@ -191,7 +198,7 @@ def browse(c: Catalog, query=None, kinds=None) -> DataFrame:
     """Up to a few rows of each kind, kinds in order."""
     out = None
     for i, k in enumerate(args.kinds(kinds, ("place", "event", "article"))):
-        part = search.page(c.found([k], query, F.lit(True)), search.rank_order(), BROWSE_ROWS)
+        part = c.page([k], c.found([k], query, F.lit(True)), search.rank_order(), BROWSE_ROWS)
         part = part.select(F.lit(i).alias("part"), "id", "kind", "title", "city", "source", "url", "updated_at")
         out = part if out is None else out.union(part)
     return out

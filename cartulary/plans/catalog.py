@@ -217,11 +217,9 @@ def rel_time(spark, d):
     return table(spark, d, "events").select("event_id", text.ago(a.epoch("ts"), 1_706_600_000).alias("ago"))
 
 
-@query("SELECT o_orderkey, CASE WHEN m < 1000 THEN m || ' m' ELSE printf('%.1f km', m / 1000.0) END AS label FROM (SELECT o_orderkey, (o_orderkey * 37) % 25000 AS m FROM orders WHERE (o_orderkey * 37) % 25000 % 100 <> 50)")
+@query("SELECT o_orderkey, CASE WHEN m < 1000 THEN m || ' m' ELSE (m + 50) // 1000 || '.' || (m + 50) // 100 % 10 || ' km' END AS label FROM (SELECT o_orderkey, (o_orderkey * 37) % 25000 AS m FROM orders)")
 def distance_label(spark, d):
-    m = (F.col("o_orderkey") * 37) % 25000
-    o = table(spark, d, "orders").withColumn("m", m).where("m % 100 <> 50")  # not halfway: printf rounds those either way
-    return o.select("o_orderkey", text.distance_label("m").alias("label"))
+    return table(spark, d, "orders").select("o_orderkey", text.distance_label((F.col("o_orderkey") * 37) % 25000).alias("label"))
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words FROM documents")
@@ -363,6 +361,20 @@ def keyed_merge(spark, d):
     return out.join(p.where("id % 9 = 0").select("id"), "id", "left_anti")
 
 
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 7 <> 0")
+def keyed_delete(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return stores.without(p, p.where("id % 7 = 0").select("id").union(p.selectExpr("-id")))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 8 <> 0 THEN 'new' END ELSE p_name END AS name, p_size AS size FROM part UNION ALL SELECT -1 - p_partkey, 'added', -1 FROM part WHERE p_partkey % 50 = 0")
+def keyed_update(spark, d):
+    """Only the columns of an update change, to null too; new keys are added."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    changes = p.where("id % 4 = 0").select("id", F.when(F.col("id") % 8 != 0, "new").alias("name"))
+    return stores.patched(p, changes.union(p.where("id % 50 = 0").select(-1 - F.col("id"), F.lit("added")))).withColumn("size", F.coalesce("size", F.lit(-1).cast("int")))
+
+
 @query("SELECT p_partkey AS id FROM part WHERE p_partkey % 11 = 0")
 def exists_probe(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
@@ -448,7 +460,7 @@ def submission_validate(spark, d):
     return subs.validate(drafts, REGION, NOW).groupBy(F.coalesce("error", F.lit("accepted")).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT note, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'indexed; website queued' ELSE 'no coordinates, known address or known town to place it by' END WHEN 2 THEN 'removed and withdrawn' ELSE 'website queued' END AS note FROM orders WHERE o_orderstatus = 'F') GROUP BY note")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'indexed; website queued' ELSE 'no coordinates, known address or known town to place it by' END WHEN 2 THEN 'removed and withdrawn' ELSE 'website queued' END AS note, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0 THEN 'approved' ELSE 'applied' END AS status FROM orders WHERE o_orderstatus = 'F'")
 def submission_apply(spark, d):
     """What all approved submissions lead to."""
     s = a.submissions(spark, d).where("status = 'approved'")
@@ -456,7 +468,7 @@ def submission_apply(spark, d):
     batch = conform(s.withColumns({"lat": F.when(k % 3 == 0, F.lit(39.0)), "lng": F.when(k % 3 == 0, F.lit(-105.0)), "url": F.concat(F.lit("https://x.example/"), "id"), "target_kind": F.lit("place"), "existing_id": F.col("id"), "title": F.col("id"), "description": F.lit("text")}), TABLES["submissions"])
     none = spark.createDataFrame([], TABLES["geocache"])
     done = subs.apply(batch, REGION, a.gazetteer(spark, d), none, NOW)
-    return done.submissions.groupBy(F.col("apply_note").alias("note")).agg(F.count("*").alias("n"))
+    return done.submissions.select("id", F.col("apply_note").alias("note"), "status")
 
 
 # ---------------------------------------------------------------- search
@@ -590,12 +602,43 @@ def frontier_claim(spark, d):
     return frontier.claim(_frontier(spark, d)[0], 40, 3000)[1].select("url", "status")
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT url, CASE WHEN length(url) % 3 = 0 THEN 'done' WHEN length(url) % 3 = 1 THEN 'error' ELSE 'pending' END AS status FROM (SELECT DISTINCT url FROM pages WHERE page_id % 4 < 3)) GROUP BY status")
-def frontier_finish(spark, d):
+_STATES = "(SELECT url, min(page_id % 4) AS depth, CASE WHEN length(url) % 3 = 0 THEN 'done' WHEN length(url) % 3 = 1 THEN 'error' ELSE 'pending' END AS status FROM pages WHERE page_id % 4 < 3 GROUP BY url)"
+
+
+def _finished(spark, d):
     known, every = _frontier(spark, d)
     n = F.length("url") % 3
     results = every.select("url").distinct().where(n < 2).select("url", F.when(n == 0, "done").otherwise("error").alias("new_status"))
-    return frontier.finish(known, results, 4000).groupBy("status").agg(F.count("*").alias("n"))
+    return frontier.finish(known, results, 4000), every
+
+
+@query(f"SELECT url, status, CAST(CASE WHEN status = 'pending' THEN 1000 ELSE 4000 END AS BIGINT) AS updated_at FROM {_STATES}")
+def frontier_finish(spark, d):
+    return _finished(spark, d)[0].select("url", "status", "updated_at")
+
+
+@query(f"SELECT count(*) FILTER (status = 'pending') AS n FROM {_STATES}")
+def frontier_pending(spark, d):
+    return frontier.pending(_finished(spark, d)[0])
+
+
+@query(
+    f"WITH s AS {_STATES}, seeds AS (SELECT DISTINCT url FROM pages WHERE length(url) % 5 = 0) SELECT url, CASE WHEN seeds.url IS NOT NULL THEN 'pending' ELSE status END AS status, CAST(depth AS INTEGER) AS depth FROM s LEFT JOIN seeds USING (url) "
+    "UNION ALL SELECT url, 'pending', 0 FROM seeds WHERE url NOT IN (SELECT url FROM s)"
+)
+def frontier_reseed(spark, d):
+    """Seeds are pending again or new; what else is finished stays so."""
+    known, every = _finished(spark, d)
+    return frontier.reseed(known, every.where(F.length("url") % 5 == 0).select("url", "default_city").distinct(), 5000).select("url", "status", "depth")
+
+
+@query(
+    "WITH s AS (SELECT url, row_number() OVER (ORDER BY min(page_id % 4), url) <= 60 AS taken FROM pages WHERE page_id % 4 < 3 GROUP BY url), r AS (SELECT url FROM s WHERE taken ORDER BY url LIMIT 25) "
+    "SELECT s.url, CASE WHEN taken AND r.url IS NULL THEN 'in_progress' ELSE 'pending' END AS status FROM s LEFT JOIN r USING (url)"
+)
+def frontier_requeue(spark, d):
+    """Of 60 claimed urls the 25 that were taken first go back."""
+    return frontier.requeue_stale(frontier.claim(_frontier(spark, d)[0], 60, 3000)[1], 9000, 25).select("url", "status")
 
 
 @query("SELECT url, CAST(row_number() OVER (PARTITION BY host ORDER BY priority, url) - 1 AS DOUBLE) AS start_after FROM (SELECT url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, min(page_id % 4) AS priority FROM pages WHERE page_id % 4 < 3 GROUP BY ALL)")
@@ -615,12 +658,21 @@ def submission_queue(spark, d):
     return subs.waiting(a.submissions(spark, d)).select("id", "submitted_at")
 
 
-@query(f"WITH {SQL_SUBMISSIONS} SELECT CASE o_orderkey % 6 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'pending' ELSE status END AS status, count(*) AS n, count(CASE WHEN o_orderkey % 6 > 2 THEN apply_note END) AS noted FROM submissions GROUP BY 1")
+@query(
+    f"WITH {SQL_SUBMISSIONS} SELECT id, CASE o_orderkey % 6 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'pending' ELSE status END AS status, CASE WHEN o_orderkey % 6 > 2 THEN apply_note END AS apply_note, "
+    f"CASE WHEN o_orderkey % 6 = 0 THEN 'said' END AS review_note, CASE WHEN o_orderkey % 6 > 2 THEN submitted_at ELSE {NOW} END AS updated_at FROM submissions"
+)
 def submission_transition(spark, d):
+    """A review sets status and note and clears what applying said; unknown decisions change nothing."""
     s = a.submissions(spark, d)
     k = F.col("id").cast("long") % 6
-    said = s.select("id", F.when(k == 0, "approve").when(k == 1, "reject").when(k == 2, "pending").otherwise("later").alias("decision"), F.lit(" ").alias("note"))
-    return subs.review(s, said, NOW).groupBy("status").agg(F.count("*").alias("n"), F.count("apply_note").alias("noted"))
+    said = s.select("id", F.when(k == 0, "approve").when(k == 1, "reject").when(k == 2, "pending").otherwise("later").alias("decision"), F.when(k == 0, "said").otherwise(" ").alias("note"))
+    return subs.review(s, said, NOW).select("id", "status", "apply_note", "review_note", "updated_at")
+
+
+@query(f"WITH {SQL_SUBMISSIONS} SELECT id, status, request, submitted_at FROM submissions WHERE status = 'pending' AND request = 'remove' ORDER BY submitted_at DESC, id LIMIT {subs.LIST_PAGE} OFFSET 10")
+def submission_list(spark, d):
+    return subs.listing(a.submissions(spark, d), "pending", "remove", 10).select("id", "status", "request", "submitted_at")
 
 
 @query("SELECT request, needs, count(*) AS n FROM (SELECT ['add', 'update', 'remove', 'correction'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS request, o_orderkey % 4 <> 0 AS needs FROM orders) GROUP BY ALL")
@@ -638,14 +690,12 @@ def geocode_lookup(spark, d):
 
 
 def _facts(spark, d):
-    p = table(spark, d, "pages").select("page_id", "url", "html", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("default_city"))
-    return web.facts(p.dropDuplicates(["url"]))
+    return web.facts(table(spark, d, "pages").select("page_id", "url", "html", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("default_city")))
 
 
-@query("SELECT url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '\"'), '&lt;', '<'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM (SELECT url, min(html) AS html FROM pages GROUP BY url HAVING count(*) = 1)")
+@query("SELECT url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '\"'), '&lt;', '<'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def page_title(spark, d):
-    one = table(spark, d, "pages").groupBy("url").agg(F.count("*").alias("n")).where("n = 1")
-    return _facts(spark, d).join(one, "url", "left_semi").select("url", "title")
+    return _facts(spark, d).select("url", "title")
 
 
 @query()
@@ -662,17 +712,24 @@ def crawl_documents(spark, d):
     return web.to_docs(pages, REGION, a.gazetteer(spark, d), none, NOW).select("id", "kind", "title", "url", "geo_precision", "word_count")
 
 
-@query("SELECT lower(p_type) || ' ' || CASE WHEN p_size % 2 = 0 THEN 'outdoor seating' ELSE '' END AS said, count(*) AS n FROM part WHERE p_partkey % 10 <> 0 GROUP BY 1")
+@query(
+    f"SELECT {sql_id('osm', "'node/' || p_partkey")} AS id, p_name AS title, lower(p_type) AS categories, CASE WHEN p_size % 2 = 0 THEN 'outdoor seating' ELSE '' END AS tags, {sql_lat('p_partkey')} AS lat, "
+    "CASE WHEN p_size % 3 = 0 THEN 'Town' END AS city, 'node/' || p_partkey AS source_id, CASE WHEN p_size % 5 = 0 THEN '12' || p_size END AS phone FROM part WHERE p_partkey % 10 <> 0"
+)
 def osm_places(spark, d):
     """Parts as map elements: a tenth has no coordinates."""
     p = table(spark, d, "part")
-    tags = F.create_map(F.lit("name"), F.col("p_name"), F.lit("amenity"), F.lower("p_type"), F.lit("outdoor_seating"), F.when(F.col("p_size") % 2 == 0, "yes").otherwise("no"))
+    size = F.col("p_size")
+    tags = F.create_map(F.lit("name"), F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit("  "))), F.lit("amenity"), F.lower("p_type"), F.lit("outdoor_seating"), F.when(size % 2 == 0, "yes").otherwise("no"), F.lit("addr:city"), F.when(size % 3 == 0, " Town ").otherwise(" "), F.lit("contact:phone"), F.when(size % 5 == 0, F.concat(F.lit("12"), size.cast("string"))))
     e = p.select(F.lit("node").alias("type"), F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 10 != 0, a.lat("p_partkey")).alias("lat"), a.lng("p_partkey").alias("lon"), F.lit(None).cast("struct<lat: double, lon: double>").alias("center"), tags.alias("tags"))
     out = osm.to_places(e, NOW)
-    return out.select(F.concat(F.array_join("categories", ";"), F.lit(" "), F.array_join("tags", ";")).alias("said")).groupBy("said").agg(F.count("*").alias("n"))
+    return out.select("id", "title", F.array_join("categories", ";").alias("categories"), F.array_join("tags", ";").alias("tags"), "lat", "city", "source_id", "phone")
 
 
-@query(r"SELECT 'article' AS kind, count(*) AS n, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words FROM documents UNION ALL SELECT 'place', count(*), 0 FROM documents WHERE doc_id % 3 = 0")
+@query(
+    rf"SELECT {sql_id('wikipedia', 'doc_id')} AS id, 'article' AS kind, CAST(doc_id AS VARCHAR) AS source_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words, 'https://en.wikipedia.org/?curid=' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN 'museum' ELSE 'song' END AS categories FROM documents "
+    rf"UNION ALL SELECT {sql_id('wikipedia', "'place:' || doc_id")}, 'place', 'place:' || doc_id, 0, 'https://en.wikipedia.org/?curid=' || doc_id, 'museum' FROM documents WHERE doc_id % 3 = 0"
+)
 def wiki_documents(spark, d):
     """Documents as encyclopedia pages; every third is a museum."""
     doc = table(spark, d, "documents")
@@ -681,7 +738,7 @@ def wiki_documents(spark, d):
     types = doc.select(F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("entity_id"), F.lit(0).alias("pos"), F.when(F.col("doc_id") % 3 == 0, "T1").otherwise("T2").alias("type_id"))
     labels = spark.createDataFrame([("T1", "Museum"), ("T2", "song")], wiki.LABELS)
     out = wiki.to_docs(hits, pages, types, labels, NOW)
-    return out.groupBy("kind").agg(F.count("*").alias("n"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"))
+    return out.select("id", "kind", "source_id", F.coalesce("word_count", F.lit(0)).cast("long").alias("words"), "url", F.array_join("categories", ";").alias("categories"))
 
 
 @query()

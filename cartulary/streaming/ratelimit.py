@@ -32,13 +32,22 @@ def limit(requests: DataFrame, budget: int, window: float = WINDOW_S) -> DataFra
     return requests.select("key", "id", "at").groupBy("key").applyInPandas(judge, "key string, id string, at double, accepted boolean")
 
 
-def limit_stream(requests: DataFrame, budget: int, window: float = WINDOW_S) -> DataFrame:
-    """The same over a stream; each micro-batch is judged in time order."""
+def limit_stream(requests: DataFrame, budget: int, window: float = WINDOW_S, expire: bool = True) -> DataFrame:
+    """The same over a stream; each micro-batch is judged in time order.
+
+    expire: a key's state goes after a window without requests. A query that waits for that never ends by itself, so a one-pass
+    run (trigger availableNow) has to do without.
+    """
 
     def judge(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         frame, times = _decide(pd.concat(list(frames)), times, budget, window)
         state.update((times,))
+        if expire:
+            state.setTimeoutDuration(max(1, int(window * 1000)))
         yield frame
 
-    return requests.select("key", "id", "at").groupBy("key").applyInPandasWithState(judge, "key string, id string, at double, accepted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return requests.select("key", "id", "at").groupBy("key").applyInPandasWithState(judge, "key string, id string, at double, accepted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)

@@ -120,7 +120,7 @@ def ingest_stream(store: Store, region: Region, path: str, schema: str, to_docs:
     raw = store.spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_a_batch).load(path)
 
     def each(batch: DataFrame, _: int) -> None:
-        ctx = context(Store(batch.sparkSession, store.root), region)
+        ctx = context(Store(batch.sparkSession, store.root, store.buckets), region)
         ingest_batch(ctx, to_docs(batch, ctx.now))
 
     writer = raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cartulary.plans import catalog
@@ -22,7 +23,7 @@ def duck():
 
 
 def rows(frame, cols):
-    return sorted(tuple("" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in frame[cols].astype(object).itertuples(index=False))
+    return sorted(tuple("" if v is None or v is pd.NA or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in frame[cols].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
