@@ -196,7 +196,11 @@ def _edges(fp: np.ndarray, cell: np.ndarray, bits: int, blocks: int = BLOCKS, co
         i = i[near(fp, table, i, i + lag, bits)]
         a.append(i)
         b.append(i + lag)
-    for g in np.flatnonzero(size > (SMALL if comp is None else 0)):
+    if comp is None:
+        large = np.flatnonzero(size > SMALL)
+    else:  # cells of several components
+        large = np.flatnonzero(np.minimum.reduceat(comp, cuts[:-1]) < np.maximum.reduceat(comp, cuts[:-1])) if len(size) else np.zeros(0, int)
+    for g in large:
         cut = slice(cuts[g], cuts[g + 1])
         x, y = forest(fp[cut], table[cut], bits) if comp is None else crossing(fp[cut], table[cut], comp[cut], bits)
         a.append(x + cuts[g])
@@ -218,48 +222,47 @@ def links(work, fps: DataFrame, bits: int = 4, blocks: int = BLOCKS, equal: int
     return cell_links(work, work.put("cells", fps.select("fp").mapInArrow(keyed, "key long, fp long")), bits, blocks)
 
 
-def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int) -> tuple[DataFrame, DataFrame]:
+def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int, name: str = "links") -> DataFrame:
     """Edges (a, b) between nodes of which one fingerprint lies at distance <= bits; nodes: distinct node, prints.
 
-    Besides them the rows (key, fp, node) of large cells, whose edges are only a spanning forest.
+    Large cells give only a spanning forest of their links. With a column comp, all cells give every link between
+    different components and no other.
     """
-    out = crowd = None
+    out, comp = None, [c for c in nodes.columns if c == "comp"]
     for turn in range(ROUNDS):
 
         def keyed(batches, mine=range(turn, PRINTS, ROUNDS)):
             for batch in batches:
-                node = batch.column("node").to_numpy()
+                cols = [batch.column(c).to_numpy() for c in ("node", *comp)]
                 prints = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint64).reshape(-1, PRINTS)
-                for i in range(0, len(node), 4096):
+                for i in range(0, len(prints), 4096):
                     for k in mine:
                         fp = np.ascontiguousarray(prints[i : i + 4096, k])
                         keys = mix(cell_keys(pivot_table(fp, blocks), equal) ^ _SALT[k])
-                        cols = keys.view(np.int64).ravel(), np.repeat(fp.view(np.int64), keys.shape[1]), np.repeat(node[i : i + 4096], keys.shape[1])
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fp", "node"])
+                        rows = [keys.view(np.int64).ravel(), *(np.repeat(x, keys.shape[1]) for x in (fp.view(np.int64), *(c[i : i + 4096] for c in cols)))]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["key", "fp", "node", *comp])
 
-        cells = work.put(f"cells{turn}", nodes.select("node", "prints").mapInArrow(keyed, "key long, fp long, node long"))
-        part = work.put(f"links{turn}", cell_links(work, cells, bits, blocks, "node", turn).distinct())
-        more = work.spark.read.schema(cells.schema).parquet(f"{work.root}/crowd{turn}")
-        work.drop(f"cells{turn}")
-        out, crowd = (part, more) if out is None else (out.union(part), crowd.union(more))
-    return out, crowd
+        schema = ", ".join(f"{c} long" for c in ("key", "fp", "node", *comp))
+        cells = work.put(f"cells_{name}{turn}", nodes.select("node", "prints", *comp).mapInArrow(keyed, schema))
+        part = work.put(f"{name}{turn}", cell_links(work, cells, bits, blocks, "node", f"{name}{turn}", bool(comp)).distinct())
+        work.drop(f"cells_{name}{turn}")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def verified_links(work, docs: DataFrame, nodes: DataFrame, bits: int, blocks: int, equal: int, least: float, width: int) -> DataFrame:
     """Edges (a, b) that connect the nodes whose texts have a similarity of at least ``least``, of those that cells bring together.
 
-    A tree edge that fails the comparison takes its nodes' other links along, so the large cells are
-    searched again for every link between what the verified edges leave apart.
+    A tree edge that fails the comparison takes its nodes' other links along. So cells are searched again, for every link
+    between what the verified edges leave apart. A node with a link in any cell has a tree edge there, so nodes without
+    edges need no second search.
     """
-    edges, crowd = sketch_links(work, nodes, bits, blocks, equal)
-    edges = work.put("edges", edges.distinct())
+    edges = work.put("edges", sketch_links(work, nodes, bits, blocks, equal).distinct())
     good = work.put("good", similar(work, docs, edges, nodes, least, width))
-    group = components(work, good, "first")
-    crowd = crowd.join(group, "node", "left").select("key", "fp", "node", F.coalesce("component", "node").alias("comp"))
-    crowd = work.put("crowd", crowd)
-    mixed = crowd.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    mixed = work.put("mixed", crowd.join(mixed, "key"))
-    again = cell_links(work, mixed, bits, blocks, "node", "again", True).distinct()
+    group = components(work, good, "first").select("node", F.col("component").alias("comp"))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    ends = nodes.join(ends, "node", "left_semi").join(group, "node", "left").select("node", "prints", F.coalesce("comp", "node").alias("comp"))
+    again = sketch_links(work, work.put("ends", ends), bits, blocks, equal, "again").distinct()
     again = work.put("retried", again.join(edges, ["a", "b"], "left_anti"))
     return good.union(work.put("better", similar(work, docs, again, nodes, least, width, "more_sets")))
 
@@ -268,14 +271,11 @@ def cell_links(work, rows: DataFrame, bits: int, blocks: int, name: str = "fp",
     """Edges (a, b) between the names of linked fingerprints; rows: key, fp, the name, and with comp a column comp.
 
     Cells of more than ``SMALL`` rows send a spanning forest; with comp, all cells send every link
-    between different components. Fingerprints with names leave the rows of their large cells in ``crowd``.
+    between different components.
     """
     cols = list(dict.fromkeys(["fp", name, *(["comp"] if comp else [])]))
     parts = max(8, rows.count() // 250_000)  # nearly all keys are distinct: small hash tables, no partial sums
     counts = rows.repartition(parts, "key").groupBy("key").count()
-    if name != "fp" and not comp:
-        counts = work.put(f"wide{turn}", counts.where(F.col("count") > SMALL))
-        work.put(f"crowd{turn}", rows.join(counts.select("key"), "key"))
     heavy = work.put(f"heavy{turn}", counts.where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("n")))
     part = F.pmod(F.xxhash64(name), F.col("n")).cast("int")
     big = rows.join(heavy, "key").withColumn("c", part).select("key", *cols, "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("d"))
