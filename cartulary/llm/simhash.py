@@ -229,9 +229,10 @@ def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int, nam
     different components and no other.
     """
     out, comp = None, [c for c in nodes.columns if c == "comp"]
-    for turn in range(ROUNDS):
+    rounds = ROUNDS // 2 if comp else ROUNDS  # the second time there are fewer nodes
+    for turn in range(rounds):
 
-        def keyed(batches, mine=range(turn, PRINTS, ROUNDS)):
+        def keyed(batches, mine=range(turn, PRINTS, rounds)):
             for batch in batches:
                 cols = [batch.column(c).to_numpy() for c in ("node", *comp)]
                 prints = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint64).reshape(-1, PRINTS)
