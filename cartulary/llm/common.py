@@ -31,7 +31,9 @@ class Work:
 
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # only where the cluster names no folder, as in tests
+        if not base:  # only on one machine, as in tests
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             if not _own_dir:
                 _own_dir.append("file://" + tempfile.mkdtemp(prefix="cartulary-"))
             base = _own_dir[0]
