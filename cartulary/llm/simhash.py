@@ -10,7 +10,9 @@ links are found if their differing bits leave ``equal`` blocks untouched.
 
 Equal fingerprints count once. A cell of more than ``CELL`` rows is dealt into parts, and each pair of
 parts is a task of its own; a task sends on a spanning forest of its links, never all pairs. Where
-texts are compared too, a second search sends the links between what is then still apart.
+texts are compared too, cells of more than ``SMALL`` rows are solved over rows that also hold marks of the
+shingle set: they rule out most pairs of unlike texts within the cell, and never a pair of like ones. A
+tree edge that fails the comparison nevertheless starts a second search for what is then still apart.
 
 Nulls: a null text has no words and fingerprint zero; a null id can link others and gets the
 component of its fingerprint (null if only null ids are in it). Repeated rows keep one row each.
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import boxed, components, doc_rows, key_columns, keys_of, mix, real_id, texts, unboxed
+from .templates import bitmap
 
 BLOCKS, EQUAL, REFS, CELL, SMALL = 7, 3, 8, 2048, 16
 PRINTS, ROUNDS = 24, 4  # fingerprints of a text where texts are compared, and the turns they are searched in
+MARKS, FILTER, VOTERS = 256, 24, 256  # bytes of marks, log2 of the bits that stand for large cells, rows that place a cell's centre
 _BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _LANE = (np.arange(8) * 256).astype(np.int64)
 _LANES = (np.arange(8 * PRINTS) * 256).astype(np.int64)
@@ -73,8 +77,29 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits.ravel() > len(h), bitorder="little").view("<u8")
 
 
+def marks_of(h: np.ndarray) -> bytes:
+    """The size of a shingle set and a bit for each of its hashes, folded to ``MARKS`` bytes."""
+    bit = np.zeros(8 * MARKS, np.uint8)
+    bit[(mix(h) % np.uint64(8 * MARKS)).astype(np.int64)] = 1
+    return len(h).to_bytes(8, "little") + np.packbits(bit).tobytes()
+
+
+def may_be_alike(marks: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """False only where sets a[i], b[i] surely have a similarity under ``least``; marks: rows of 64-bit words.
+
+    Each bit that one set has alone is at least one shingle that it has alone.
+    """
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 65536):
+        x, y = marks[a[at : at + 65536]], marks[b[at : at + 65536]]
+        n, m = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
+        both = np.minimum(n - np.bitwise_count(x[:, 1:] & ~y[:, 1:]).sum(1, dtype=np.int64), m - np.bitwise_count(y[:, 1:] & ~x[:, 1:]).sum(1, dtype=np.int64))
+        out[at : at + 65536] = both >= least * (n + m - both)
+    return out
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_hash, node, prints) of every row of doc_rows; node: a hash of the shingle set.
+    """(doc_id, text_hash, node, prints, marks) of every row of doc_rows; node: a hash of the shingle set.
 
     Repeats do not count, neither here nor in the similarity.
     """
@@ -84,10 +109,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in texts(batch)]
             prints = [sketch(h).tobytes() for h in sets]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array(prints, pa.binary())], names=["doc_id", "text_hash", "node", "prints"])
+            made = [pa.array(node), pa.array(prints, pa.binary()), pa.array([marks_of(h) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], names=["doc_id", "text_hash", "node", "prints", "marks"])
 
     rows = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, prints binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, prints binary, marks binary")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -140,26 +166,26 @@ def near(fp: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, bits:
     return ok
 
 
-def centre(fp: np.ndarray) -> int:
-    """The member closest to the majority of each bit."""
-    votes = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0)
-    middle = np.packbits(2 * votes > len(fp)).view("<u8")[0]
-    return int(np.bitwise_count(fp ^ middle).argmin())
+def outwards(rows: np.ndarray) -> np.ndarray:
+    """Row numbers by distance from the majority of each bit, as some rows see it; rows: 64-bit words."""
+    some = rows[:: max(1, len(rows) // VOTERS)]
+    votes = np.unpackbits(some.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    middle = np.packbits(2 * votes > len(some)).view(np.uint64)
+    return np.bitwise_count(rows ^ middle[None, :]).sum(1, dtype=np.int64).argsort(kind="stable")
 
 
-def forest(fp: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(linked, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links of one cell, as index pairs.
 
     Trees grow breadth first from the centre of what is left, so that the many cells that hold one
     group of near copies mostly send the same edges.
     """
-    left, a, b = np.arange(len(fp)), [], []
+    left, a, b = order, [], []
     while len(left):
-        at = centre(fp[left])
-        todo, left = deque([int(left[at])]), np.delete(left, at)
+        todo, left = deque([int(left[0])]), left[1:]
         while todo and len(left):
             at = todo.popleft()
-            hit = near(fp, table, np.full(len(left), at), left, bits)
+            hit = linked(np.full(len(left), at), left)
             new = left[hit]
             if len(new):
                 a.append(np.full(len(new), at))
@@ -169,25 +195,25 @@ def forest(fp: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def crossing(fp: np.ndarray, table: np.ndarray, comp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def crossing(comp: np.ndarray, linked) -> tuple[np.ndarray, np.ndarray]:
     """All links of one cell between different components, as index pairs."""
     names, at, size = np.unique(comp, return_inverse=True, return_counts=True)
     most, a, b = size.argmax(), [], []
     for i in np.flatnonzero(at != most):  # each pair once: with the largest component, and with later rows of others
-        j = np.flatnonzero((at != at[i]) & ((at == most) | (np.arange(len(fp)) > i)))
-        j = j[near(fp, table, np.full(len(j), i), j, bits)]
+        j = np.flatnonzero((at != at[i]) & ((at == most) | (np.arange(len(comp)) > i)))
+        j = j[linked(np.full(len(j), i), j)]
         a.append(np.full(len(j), i))
         b.append(j)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _edges(fp: np.ndarray, cell: np.ndarray, bits: int, blocks: int = BLOCKS, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links within cells of sorted rows; with comp, all those between different components."""
+def _edges(fp: np.ndarray, cell: np.ndarray, bits: int, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """Links within cells of sorted rows."""
     cuts = np.append(np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1))), len(fp))
     size = np.diff(cuts)
     table = pivot_table(fp, blocks)
     group = np.repeat(np.arange(len(size)), size)
-    small = size[group] <= (SMALL if comp is None else 0)
+    small = size[group] <= SMALL
     a, b = [], []
     for lag in range(1, SMALL):
         i = np.flatnonzero(small[:-lag] & (group[:-lag] == group[lag:])) if len(fp) > lag else np.zeros(0, int)
@@ -196,14 +222,35 @@ def _edges(fp: np.ndarray, cell: np.ndarray, bits: int, blocks: int = BLOCKS, co
         i = i[near(fp, table, i, i + lag, bits)]
         a.append(i)
         b.append(i + lag)
-    for g in np.flatnonzero(size > (SMALL if comp is None else 0)):
-        cut = slice(cuts[g], cuts[g + 1])
-        x, y = forest(fp[cut], table[cut], bits) if comp is None else crossing(fp[cut], table[cut], comp[cut], bits)
+    for g in np.flatnonzero(size > SMALL):
+        own, pivots = fp[cuts[g] : cuts[g + 1]], table[cuts[g] : cuts[g + 1]]
+        x, y = forest(lambda i, j, own=own, pivots=pivots: near(own, pivots, i, j, bits), outwards(own[:, None]))
         a.append(x + cuts[g])
         b.append(y + cuts[g])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
+def _crowd_edges(fp: np.ndarray, cell: np.ndarray, marks: np.ndarray, comp: np.ndarray | None, bits: int, blocks: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links within large cells of sorted rows whose marks allow the similarity; with comp, all those between different components."""
+    cuts = np.append(np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1))), len(fp))
+    a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if cell[lo, 1] == 0 and hi - lo <= SMALL:  # here by a chance hit of the filter
+            continue
+        own, seen = fp[lo:hi], marks[lo:hi]
+        pivots = pivot_table(own, blocks)
+
+        def ok(i, j, own=own, pivots=pivots, seen=seen):
+            hit = near(own, pivots, i, j, bits)
+            hit[hit] = may_be_alike(seen, i[hit], j[hit], least)
+            return hit
+
+        x, y = forest(ok, outwards(np.concatenate([seen, own[:, None]], 1))) if comp is None else crossing(comp[lo:hi], ok)
+        a.append(x + lo)
+        b.append(y + lo)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def links(work, fps: DataFrame, bits: int = 4, blocks: int = BLOCKS, equal: int = EQUAL) -> DataFrame:
     """Edges (a, b) that connect the fingerprints at distance <= bits; fps: distinct fp."""
 
@@ -218,92 +265,138 @@ def links(work, fps: DataFrame, bits: int = 4, blocks: int = BLOCKS, equal: int
     return cell_links(work, work.put("cells", fps.select("fp").mapInArrow(keyed, "key long, fp long")), bits, blocks)
 
 
-def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) between nodes of which one fingerprint lies at distance <= bits; nodes: distinct node, prints.
+def print_rows(batch, mine, blocks: int, equal: int):
+    """(fp, keys) of each of the fingerprints ``mine``, for up to 4 096 nodes at a time, and where those start."""
+    prints = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint64).reshape(-1, PRINTS)
+    for i in range(0, len(prints), 4096):
+        for k in mine:
+            fp = np.ascontiguousarray(prints[i : i + 4096, k])
+            yield i, fp.view(np.int64), mix(cell_keys(pivot_table(fp, blocks), equal) ^ _SALT[k])
 
-    Besides them the rows (key, fp, node) of large cells, whose edges are only a spanning forest.
-    """
-    out = crowd = None
+
+def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between nodes that meet in a cell of up to ``SMALL`` rows at distance <= bits, and the keys of larger cells."""
+    out = wide = None
     for turn in range(ROUNDS):
 
         def keyed(batches, mine=range(turn, PRINTS, ROUNDS)):
             for batch in batches:
                 node = batch.column("node").to_numpy()
-                prints = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint64).reshape(-1, PRINTS)
-                for i in range(0, len(node), 4096):
-                    for k in mine:
-                        fp = np.ascontiguousarray(prints[i : i + 4096, k])
-                        keys = mix(cell_keys(pivot_table(fp, blocks), equal) ^ _SALT[k])
-                        cols = keys.view(np.int64).ravel(), np.repeat(fp.view(np.int64), keys.shape[1]), np.repeat(node[i : i + 4096], keys.shape[1])
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fp", "node"])
+                for i, fp, keys in print_rows(batch, mine, blocks, equal):
+                    cols = keys.view(np.int64).ravel(), np.repeat(fp, keys.shape[1]), np.repeat(node[i : i + 4096], keys.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fp", "node"])
 
         cells = work.put(f"cells{turn}", nodes.select("node", "prints").mapInArrow(keyed, "key long, fp long, node long"))
-        part = work.put(f"links{turn}", cell_links(work, cells, bits, blocks, "node", turn).distinct())
-        more = work.spark.read.schema(cells.schema).parquet(f"{work.root}/crowd{turn}")
+        large = work.put(f"wide{turn}", cell_counts(cells).where(F.col("count") > SMALL).select("key"))
+        small = cells.join(large, "key", "left_anti").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "node")
+        part = work.put(f"links{turn}", solved(small, ["fp", "node"], lambda cell, cols: _edges(cols[0].view(np.uint64), cell, bits, blocks)).distinct())
         work.drop(f"cells{turn}")
-        out, crowd = (part, more) if out is None else (out.union(part), crowd.union(more))
-    return out, crowd
+        out, wide = (part, large) if out is None else (out.union(part), wide.union(large))
+    return out, wide
+
+
+def crowd_links(work, nodes: DataFrame, wide: DataFrame, bits: int, blocks: int, equal: int, least: float, turn: int = 0) -> DataFrame:
+    """Edges (a, b) between nodes that meet in the cells ``wide``: a spanning forest of the links that the marks allow, or with a column comp all those between different components."""
+    comp = "comp" in nodes.columns
+    size = min(FILTER, max(16, (64 * wide.count()).bit_length()))
+    filter_ = work.spark.sparkContext.broadcast((size, bitmap(wide, size)))
+
+    def keyed(batches):
+        size, seen = filter_.value
+
+        def has(spot):
+            spot = (spot & np.uint64((1 << size) - 1)).astype(np.int64)
+            return seen[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1 > 0
+
+        for batch in batches:
+            for i, fp, keys in print_rows(batch, range(PRINTS), blocks, equal):
+                at, col = np.nonzero(has(keys) & has(keys >> np.uint64(32)))
+                if len(at):
+                    own = batch.slice(i).take(pa.array(at))
+                    cols = [pa.array(keys[at, col].view(np.int64)), pa.array(fp[at]), *(own.column(c) for c in names)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "fp", *names])
+
+    names = ["node", "marks", *(["comp"] if comp else [])]
+    rows = nodes.select(*names, "prints").mapInArrow(keyed, "key long, fp long, node long, marks binary" + ", comp long" * comp)
+    rows = dealt(work, work.put(f"crowd{turn}", rows), "node", f"s{turn}", 1)
+
+    def found(cell, cols):
+        marks = np.frombuffer(b"".join(x or bytes(8 + MARKS) for x in cols[2]), np.uint64).reshape(len(cell), -1)
+        return _crowd_edges(cols[0].view(np.uint64), cell, marks, cols[3] if comp else None, bits, blocks, least)
+
+    return solved(rows, ["fp", *names], found)
 
 
 def verified_links(work, docs: DataFrame, nodes: DataFrame, bits: int, blocks: int, equal: int, least: float, width: int) -> DataFrame:
     """Edges (a, b) that connect the nodes whose texts have a similarity of at least ``least``, of those that cells bring together.
 
-    A tree edge that fails the comparison takes its nodes' other links along, so the large cells are
-    searched again for every link between what the verified edges leave apart.
+    A tree edge that fails the comparison takes its nodes' other links along, so if one does, the large
+    cells are searched again for every link between what the verified edges leave apart. Nodes may lack
+    marks; then only bits decide what is compared.
     """
-    edges, crowd = sketch_links(work, nodes, bits, blocks, equal)
-    edges = work.put("edges", edges.distinct())
+    if "marks" not in nodes.columns:
+        nodes = nodes.withColumn("marks", F.lit(None).cast("binary"))
+    edges, wide = sketch_links(work, nodes, bits, blocks, equal)
+    trees = work.put("trees", crowd_links(work, nodes, wide, bits, blocks, equal, least).distinct())
+    edges = work.put("edges", edges.union(trees).distinct())
     good = work.put("good", similar(work, docs, edges, nodes, least, width))
-    group = components(work, good, "first")
-    crowd = crowd.join(group, "node", "left").select("key", "fp", "node", F.coalesce("component", "node").alias("comp"))
-    crowd = work.put("crowd", crowd)
-    mixed = crowd.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    mixed = work.put("mixed", crowd.join(mixed, "key"))
-    again = cell_links(work, mixed, bits, blocks, "node", "again", True).distinct()
+    if trees.join(good, ["a", "b"], "left_anti").isEmpty():
+        return good
+    group = components(work, good, "first").select("node", F.col("component").alias("comp"))
+    known = nodes.select("node", "prints", "marks").join(group, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    again = crowd_links(work, known, wide, bits, blocks, equal, least, 1).distinct()
     again = work.put("retried", again.join(edges, ["a", "b"], "left_anti"))
     return good.union(work.put("better", similar(work, docs, again, nodes, least, width, "more_sets")))
 
 
-def cell_links(work, rows: DataFrame, bits: int, blocks: int, name: str = "fp", turn: int | str = 0, comp: bool = False) -> DataFrame:
-    """Edges (a, b) between the names of linked fingerprints; rows: key, fp, the name, and with comp a column comp.
-
-    Cells of more than ``SMALL`` rows send a spanning forest; with comp, all cells send every link
-    between different components. Fingerprints with names leave the rows of their large cells in ``crowd``.
-    """
-    cols = list(dict.fromkeys(["fp", name, *(["comp"] if comp else [])]))
+def cell_counts(rows: DataFrame) -> DataFrame:
     parts = max(8, rows.count() // 250_000)  # nearly all keys are distinct: small hash tables, no partial sums
-    counts = rows.repartition(parts, "key").groupBy("key").count()
-    if name != "fp" and not comp:
-        counts = work.put(f"wide{turn}", counts.where(F.col("count") > SMALL))
-        work.put(f"crowd{turn}", rows.join(counts.select("key"), "key"))
-    heavy = work.put(f"heavy{turn}", counts.where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("n")))
+    return rows.repartition(parts, "key").groupBy("key").count()
+
+
+def dealt(work, rows: DataFrame, name: str, turn: str = "", first: int = 0) -> DataFrame:
+    """rows with i, j: the parts of its cell that a row meets in; 0, 0 in cells of up to ``CELL`` rows, from ``first`` on in larger ones."""
+    heavy = work.put(f"heavy{turn}", cell_counts(rows).where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("n")))
     part = F.pmod(F.xxhash64(name), F.col("n")).cast("int")
+    cols = [c for c in rows.columns if c != "key"]
     big = rows.join(heavy, "key").withColumn("c", part).select("key", *cols, "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("d"))
-    big = big.select("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), *cols)
+    big = big.select("key", (F.least("c", "d") + first).alias("i"), (F.greatest("c", "d") + first).alias("j"), *cols)
     small = rows.join(heavy, "key", "left_anti").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), *cols)
+    return small.union(big)
+
+
+def cell_links(work, rows: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """Edges (a, b) between linked fingerprints; rows: key, fp. Cells of more than ``SMALL`` rows send a spanning forest."""
+    return solved(dealt(work, rows, "fp"), ["fp"], lambda cell, cols: _edges(cols[0].view(np.uint64), cell, bits, blocks))
+
+
+def solved(rows: DataFrame, cols: list[str], find) -> DataFrame:
+    """Edges (a, b) by the second of cols (or the only one): find gives index pairs for whole cells of sorted rows."""
 
     def solve(batches):
         held = None
         for batch in batches:
-            cell = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], 1)
-            fp = np.stack([batch.column(c).to_numpy() for c in ("fp", name, cols[-1])], 1)
-            if held is not None:
-                cell, fp = np.concatenate([held[0], cell]), np.concatenate([held[1], fp])
-            last = np.flatnonzero((cell != cell[-1]).any(1))
-            cut = last[-1] + 1 if len(last) else 0  # the last cell may go on in the next batch
-            held = cell[cut:], fp[cut:]
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            cell = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], 1)
+            last = np.flatnonzero((cell != cell[-1]).any(1)) if len(cell) else cell
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
             if cut:
-                yield from found(cell[:cut], fp[:cut])
-        if held is not None and len(held[1]):
-            yield from found(*held)
+                yield found(cell[:cut], table.slice(0, cut))
+            rest = table.slice(cut).combine_chunks().to_batches()
+            held = rest[0] if rest else None
+        if held is not None:
+            table = pa.Table.from_batches([held])
+            yield found(np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], 1), table)
 
-    def found(cell, fp):
-        a, b = _edges(np.ascontiguousarray(fp[:, 0]).view(np.uint64), cell, bits, blocks, fp[:, 2] if comp else None)
-        a, b = fp[a, 1], fp[b, 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def found(cell, table):
+        have = [table.column(c).to_pylist() if c == "marks" else np.array(table.column(c).to_numpy()) for c in cols]
+        a, b = find(cell, have)
+        name = have[min(1, len(cols) - 1)]
+        a, b = name[a], name[b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    cells = small.union(big).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", *cols)
-    return cells.mapInArrow(solve, "a long, b long")
+    dealt_rows = rows.select("key", "i", "j", *cols).repartition("key", "i", "j")
+    return dealt_rows.sortWithinPartitions("key", "i", "j", *(c for c in cols if c != "marks")).mapInArrow(solve, "a long, b long")
 
 
 def similar(work, docs: DataFrame, edges: DataFrame, nodes: DataFrame, least: float, width: int, name: str = "sets") -> DataFrame:
@@ -342,7 +435,7 @@ def labelled(docs: DataFrame, work, bits: int, width: int, blocks: int, equal: i
     else:
         rows = work.put("prints", sketches(doc_rows(docs, id_col, text_col), width))
     first = F.min(F.struct("doc_id", "text_hash")).alias("w")
-    nodes = work.put("fps", rows.groupBy("node").agg(first, *([] if least is None else [F.first("prints").alias("prints")])))
+    nodes = work.put("fps", rows.groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("prints", "marks") if least is not None)))
     if least is None:
         edges = links(work, nodes.select(F.col("node").alias("fp")), bits, blocks, equal)
     else:
