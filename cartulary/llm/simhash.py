@@ -10,7 +10,7 @@ links are found if their differing bits leave ``equal`` blocks untouched.
 
 Equal fingerprints count once. A cell of more than ``CELL`` rows is dealt into parts, and each pair of
 parts is a task of its own; a task sends on a spanning forest of its links, never all pairs. Where
-texts are compared too, cells of more than ``SMALL`` rows are solved over rows that also hold marks of the
+texts are compared too, cells of more than ``FEW`` rows are solved over rows that also hold marks of the
 shingle set: they rule out most pairs of unlike texts within the cell, and never a pair of like ones. A
 tree edge that fails the comparison nevertheless starts a second search for what is then still apart.
 
@@ -34,7 +34,7 @@ from .templates import bitmap
 
 BLOCKS, EQUAL, REFS, CELL, SMALL = 7, 3, 8, 2048, 16
 PRINTS, ROUNDS = 24, 4  # fingerprints of a text where texts are compared, and the turns they are searched in
-MARKS, FILTER, VOTERS = 256, 24, 256  # bytes of marks, log2 of the bits that stand for large cells, rows that place a cell's centre
+FEW, MARKS, FILTER, VOTERS = 3, 256, 24, 256  # rows of a cell that is solved without marks, bytes of marks, log2 of the bits that stand for larger cells, rows that place a centre
 _BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _LANE = (np.arange(8) * 256).astype(np.int64)
 _LANES = (np.arange(8 * PRINTS) * 256).astype(np.int64)
@@ -235,7 +235,7 @@ def _crowd_edges(fp: np.ndarray, cell: np.ndarray, marks: np.ndarray, comp: np.n
     cuts = np.append(np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1))), len(fp))
     a, b = [np.zeros(0, int)], [np.zeros(0, int)]
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if cell[lo, 1] == 0 and hi - lo <= SMALL:  # here by a chance hit of the filter
+        if cell[lo, 1] == 0 and hi - lo <= FEW:  # here by a chance hit of the filter
             continue
         own, seen = fp[lo:hi], marks[lo:hi]
         pivots = pivot_table(own, blocks)
@@ -275,7 +275,7 @@ def print_rows(batch, mine, blocks: int, equal: int):
 
 
 def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) between nodes that meet in a cell of up to ``SMALL`` rows at distance <= bits, and the keys of larger cells."""
+    """Edges (a, b) between nodes that meet in a cell of up to ``FEW`` rows at distance <= bits, and the keys of larger cells."""
     out = wide = None
     for turn in range(ROUNDS):
 
@@ -287,7 +287,7 @@ def sketch_links(work, nodes: DataFrame, bits: int, blocks: int, equal: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fp", "node"])
 
         cells = work.put(f"cells{turn}", nodes.select("node", "prints").mapInArrow(keyed, "key long, fp long, node long"))
-        large = work.put(f"wide{turn}", cell_counts(cells).where(F.col("count") > SMALL).select("key"))
+        large = work.put(f"wide{turn}", cell_counts(cells).where(F.col("count") > FEW).select("key"))
         small = cells.join(large, "key", "left_anti").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "node")
         part = work.put(f"links{turn}", solved(small, ["fp", "node"], lambda cell, cols: _edges(cols[0].view(np.uint64), cell, bits, blocks)).distinct())
         work.drop(f"cells{turn}")
