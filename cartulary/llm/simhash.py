@@ -346,7 +346,8 @@ def verified_links(work, docs: DataFrame, nodes: DataFrame, bits: int, blocks: i
     known = nodes.select("node", "prints", "marks").join(group, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     again = crowd_links(work, known, wide, bits, blocks, equal, least, 1).distinct()
     again = work.put("retried", again.join(edges, ["a", "b"], "left_anti"))
-    return good.union(work.put("better", similar(work, docs, again, nodes, least, width, "more_sets")))
+    stars = group.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))  # what the good edges connect, in a row a node
+    return stars.union(work.put("better", similar(work, docs, again, nodes, least, width, "more_sets")))
 
 
 def cell_counts(rows: DataFrame) -> DataFrame:
