@@ -247,6 +247,22 @@ def test_large_cells_keep_links_whose_tree_edges_fail(spark):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and want.count() > 60
 
 
+def test_marks_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(25)
+    ruled_out = 0
+    for _ in range(400):
+        size = int(rng.choice([0, 1, 6, 100, 3000]))
+        both = rng.integers(0, 2**63, size, dtype=np.uint64)
+        own = [rng.integers(0, 2**63, int(rng.integers(0, max(2, size // 2))), dtype=np.uint64) for _ in range(2)]
+        x, y = (np.unique(np.concatenate([both, o])) for o in own)
+        marks = np.frombuffer(simhash.marks_of(x) + simhash.marks_of(y), np.uint64).reshape(2, -1)
+        ok = simhash.may_be_alike(marks, np.array([0]), np.array([1]), 0.8)[0]
+        common_ = len(np.intersect1d(x, y))
+        assert ok or common_ < 0.8 * (len(x) + len(y) - common_)
+        ruled_out += not ok
+    assert ruled_out > 50
+
+
 def test_keep_one_is_not_led_by_a_repeated_line(spark):
     rng = random.Random(24)
     words = [f"w{i}" for i in range(900)]
