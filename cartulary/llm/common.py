@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 NO_ID = (1 << 63) - 1  # stands for a null document id; sorts after every real id
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+THIN = 500_000  # edges of a part whose stars one task makes
 _own_dir: list[str] = []
 
 
@@ -385,16 +386,55 @@ def uniques(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- connected components
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node that it reaches) that connect what the edges (a[i], b[i]) connect, without loops."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(names))
+    while len(x):
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))  # roots hook onto smaller roots
+        while (low[low] != low).any():
+            low = low[low]
+        x, y = low[x], low[y]
+        x, y = x[x != y], y[x != y]
+    out = np.flatnonzero(low != np.arange(len(low)))
+    return names[out], names[low[out]]
+
+
+def thinned(work: Work, edges: DataFrame, name: str) -> DataFrame:
+    """Edges (a, b), b < a, that connect the same nodes: each part of about ``THIN`` edges sends its stars only.
+
+    Parts are dealt by a hash of the edge, so none is larger for a hot node; passes go on while they halve the edges.
+    """
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        a, b = stars(*(table.column(c).to_numpy() for c in "ab"))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    now = work.put(f"{name}_thin", edges.select("a", "b").where("a <> b"))
+    last, rows = f"{name}_thin", now.count()
+    for turn in range(60):
+        before = rows
+        now = work.put(f"{name}_thin{turn}", now.repartition(1 + before // THIN, "a", "b").mapInArrow(run, "a long, b long"))
+        rows = now.count()
+        work.drop(last)
+        last = f"{name}_thin{turn}"
+        if 2 * rows > before or before <= THIN:
+            break
+    return now
+
+
 def components(work: Work, edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) of every node of edges (a, b); component: its smallest node.
 
+    Edges are thinned first, so that rounds go over little more than a row a node where a group has many edges.
     Large-star and small-star rounds: each keeps the components, never makes more edges than there
     are, and ends with a star around each smallest node. Hubs cost partial aggregates, not joins of
     their neighbours with each other.
     """
     spark = work.spark
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = work.put(f"{name}0", now)
+    now = work.put(f"{name}0", thinned(work, edges, name).distinct())
     for turn in range(1, 60):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

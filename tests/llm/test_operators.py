@@ -84,7 +84,9 @@ def test_chunk_words_are_split_words():
         assert w.code.tolist() == [common.word_code(x.lower() if lower else x) for x in want]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("thin", [500_000, 20])
+def test_components(spark, monkeypatch, thin):
+    monkeypatch.setattr(common, "THIN", thin)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(500, k) for k in range(501, 560)]
     parent = {}
