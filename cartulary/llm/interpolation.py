@@ -28,7 +28,7 @@ from .common import (
 END, BEGIN = word_code(b" "), word_code(b"\n")  # no word holds white space
 ONE, PAIR, TOTALS = 0, 1, 9
 FREQS, LEVELS = 25, 128  # buckets of context frequency; steps of a quarter bit per probability
-_COUNT = np.dtype([("all", "<u4"), ("held", "<u4")])
+_COUNT = np.dtype([("all", "<i8"), ("held", "<i8")])
 
 
 class Tokens:
@@ -61,7 +61,7 @@ class Tokens:
     def counts(self, got, buckets: int, rest: bool):
         """(c(h, w), c(h), c(w)) of every token; rest: without the held-out documents."""
         none = np.zeros((), _COUNT)
-        value = lambda c: (c["all"].astype(np.int64) - c["held"]) if rest else c["all"].astype(np.int64)
+        value = lambda c: c["all"] - c["held"] if rest else c["all"]
         one = value(reply_array(self.ones, got.get(ONE, []), buckets, none, _COUNT))
         pair = value(reply_array(self.pairs, got.get(PAIR, []), buckets, none, _COUNT))
         w = one[self.at]
@@ -81,7 +81,7 @@ def _sum_counts(bucket):
         vals = np.concatenate([v for _, _, _, v in mine])
         total = np.zeros(len(keys), _COUNT)
         for name in _COUNT.names:
-            total[name] = np.bincount(at, vals[name], len(keys))
+            np.add.at(total[name], at, vals[name])
         if part == ONE:
             yield -1, TOTALS, b"%d %d %d" % (total["all"].sum(dtype=np.int64), total["held"].sum(dtype=np.int64), (total["all"] > 0).sum())
         i = 0
