@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-GROUP, REFS, SHARE, LEAST, INSIDE, REGION, COPY = 16, 2, 0.8, 3, 6, 0.75, 0.7
+GROUP, REFS, SHARE, LEAST, INSIDE, REGION, COPY, FRAME = 16, 2, 0.8, 3, 6, 0.75, 0.7, 200
 CELLS, BUDGET = 40_000, 1_000_000
 # fixed values: HTML element classes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+PARAGRAPHS = frozenset("p blockquote pre ul ol table figure".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset("head nav footer aside form button select option optgroup input textarea script style noscript template svg math canvas object embed iframe audio video map dialog menu search datalist title noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
@@ -64,11 +65,11 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "text", "shape", "fixed", "holds", "weight", "linked")
+    __slots__ = ("tag", "attrs", "kids", "text", "shape", "fixed", "holds", "frame", "prose", "paragraphs", "weight", "linked")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.kids, self.text = tag, attrs, [], ""
-        self.shape, self.fixed, self.holds, self.weight, self.linked = -1, 0, False, 0, 0
+        self.shape, self.fixed, self.holds, self.frame, self.weight, self.linked = -1, 0, False, False, 0, 0
 
     def attr(self) -> dict[str, str]:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)} if self.attrs else {}
@@ -337,17 +338,23 @@ def _role(node: Node) -> str:
     return node.attr().get("role", "").lower() if node.attrs else ""
 
 
+def _hidden(attr: dict[str, str]) -> bool:
+    return "hidden" in attr or attr.get("aria-hidden") == "true" or "display:none" in attr.get("style", "").replace(" ", "").lower()
+
+
 def _boilerplate(node: Node, inside: bool) -> bool:
+    if node.tag in ("html", "body", "main") or node.tag == "form" and node.frame:
+        return False
     if node.tag in DROPPED or node.tag == "header" and not inside:
         return True
     attr = node.attr()
     if not attr:
         return False
-    if "hidden" in attr or attr.get("aria-hidden") == "true" or "display:none" in attr.get("style", "").replace(" ", "").lower():
+    if _hidden(attr) and (inside or not node.holds):
         return True
     if attr.get("role", "").lower() in ROLES:
         return True
-    if node.tag in ("body", "main", "html") or node.tag == "article" and not inside and "comment" not in attr.get("class", "") + attr.get("id", ""):
+    if node.tag == "article" and not inside and "comment" not in attr.get("class", "") + attr.get("id", ""):
         return False
     if not inside and node.holds:  # a layout that is named after its side bar still holds the article
         return False
@@ -367,12 +374,23 @@ def _up(page: Node):
 
 
 def _weigh(page: Node, least: int) -> None:
-    """Set on every node: weight, the slot characters below it, linked, those within links, and holds."""
-    for node in _up(page):
+    """Set on every node: weight, the slot characters below it, linked, those within links, holds, and on forms frame.
+
+    prose, paragraphs: characters of text and ``p`` elements outside fields, their labels and other boilerplate tags. A
+    form that holds an article, or most of the page's prose in paragraphs, is the page's frame.
+    """
+    nodes = list(_up(page))
+    for node in nodes:
+        node.holds = any(k.holds or k.tag in ("article", "main") or _role(k) in ("article", "main") for k in node.kids)
+        left_out = node.tag in ("label", "legend") or node.tag in DROPPED and node.tag != "form"
+        node.prose = 0 if left_out else len(node.text.strip()) if node.tag == "#" else sum(k.prose for k in node.kids)
+        node.paragraphs = 0 if left_out else (node.tag == "p") + sum(k.paragraphs for k in node.kids)
+    for node in nodes:
         if node.tag == "#":
             node.weight = 0 if node.fixed >= least else len(node.text.strip())
             continue
-        node.holds = any(k.holds or k.tag in ("article", "main") or _role(k) in ("article", "main") for k in node.kids)
+        if node.tag == "form":
+            node.frame = node.holds or node.prose >= FRAME and node.paragraphs > 1 and 2 * node.prose > page.prose
         kids = [k for k in node.kids if k.tag == "#" or not _boilerplate(k, True)]
         node.weight = sum(k.weight for k in kids)
         node.linked = node.weight if node.tag == "a" else sum(k.linked for k in kids)
@@ -407,22 +425,51 @@ def _roots(page: Node) -> tuple[list[Node], bool]:
             articles.append(node)
             if beside:
                 aside.add(id(node))
-        beside = beside or node.holds and node.tag not in ("body", "main", "html") and named(node.attr())
+        beside = beside or node.holds and node.tag not in ("body", "main", "html") and (named(node.attr()) or _hidden(node.attr()))
         if node.tag == "main" or role == "main":
             mains.append(node)
-        if node.tag in ("p", "blockquote", "pre", "ul", "ol", "table", "figure") or node.tag in HEADS:
+        if node.tag in PARAGRAPHS or node.tag in HEADS:
             paragraphs.append(node)
         todo += [(k, within or is_article, beside) for k in reversed(node.kids)]
     if articles:
         if len(aside) < len(articles):
             articles = [x for x in articles if id(x) not in aside]
+        elif mains:  # only a hidden or side article, and a main part beside it
+            return [max(mains, key=lambda x: x.weight)], True
         best = max(articles, key=lambda x: x.weight)
-        return [x for x in articles if x is best or not _teaser(x)], True
+        chosen = [x for x in articles if x is best or not _teaser(x)]
+        return _in_main(mains, page, best, chosen), True
     if mains:
         return [max(mains, key=lambda x: x.weight)], True
     return [_region(page, paragraphs)], False
 
 
+def _in_main(mains: list[Node], page: Node, best: Node, chosen: list[Node]) -> list[Node]:
+    """The chosen articles and, where the best is in a main part, what stands beside them there as content, in page order: paragraphs, headings, lists that are no links, and sections of paragraphs."""
+    keep, above, around = {id(x) for x in chosen}, set(), {id(best)}
+    for node in _up(page):
+        if any(id(k) in keep or id(k) in above for k in node.kids):
+            above.add(id(node))
+        if any(id(k) in around for k in node.kids):
+            around.add(id(node))
+    todo = [next((m for m in mains if m is not best and id(m) in around), best)]
+    if todo[0] is best:
+        return chosen
+    out = []
+    while todo:
+        x = todo.pop()
+        if id(x) in keep:
+            out.append(x)
+        elif id(x) in above:
+            todo += reversed(x.kids)
+        elif x.tag == "#" or x.tag == "article" or _role(x) == "article" or _boilerplate(x, False):
+            continue
+        elif x.weight and 2 * x.linked <= x.weight and (x.tag in PARAGRAPHS or x.tag in HEADS or x.tag == "section" and any(k.tag == "p" for k in x.kids)):
+            out.append(x)
+    got = {id(x) for x in out}
+    return [*out, *(x for x in chosen if id(x) not in got)]
+
+
 def _region(page: Node, paragraphs: list[Node]) -> Node:
     """The lowest element with most slot text, counted in paragraphs where there are any."""
     own = {id(x): x.weight for x in paragraphs}
