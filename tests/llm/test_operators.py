@@ -345,6 +345,30 @@ def test_order_keeping_pairs():
     assert wrappers.in_order([], [1]) == []
 
 
+def test_no_page_loses_its_article():
+    """Forms and hidden or named elements around an article, hidden bodies, and content beside it in the main part."""
+    prose = "<p>This is a paragraph of many words in a row that says something.</p>"
+    told = "This is a paragraph of many words in a row that says something."
+    for page, want in [
+        ("<form id=f><article><p>Hello world.</p></article></form>", "Hello world."),
+        ('<body style="display:none"><article><p>Hello</p></article></body>', "Hello"),
+        ("<body hidden><p>Hello</p></body>", "Hello"),
+        ("<html aria-hidden=true><body role=dialog><p>Hello</p></body></html>", "Hello"),
+        ('<div class="sidebar-wrapper" aria-hidden="true"><main><p>Text here</p></main></div>', "Text here"),
+        ("<main hidden><p>Only text</p></main>", "Only text"),
+        (f'<form id="aspnetForm"><input name=q><label>Find</label><div>{prose * 5}</div><button>Go</button></form><div class=footer>foot</div>', " ".join([told] * 5)),
+        ("<div><p>Real text of the page, longer than the rest.</p></div><form><label>Name</label><input><p>Sign up</p><button>Go</button></form>", "Real text of the page, longer than the rest."),
+        ("<article><p>Story</p><form><p>Your mail</p><input></form></article>", "Story"),
+        ("<div hidden><article><p>an older text, much longer</p></article></div><article><p>new text</p></article>", "new text"),
+        ("<div hidden><article><p>a template</p></article></div><main><p>new text</p></main>", "new text"),
+        ('<main><h1>Title</h1><article><p>Body</p></article><section><p>More body here.</p></section><section class="related"><p>x</p></section><ul><li><a href=x>link only</a></li></ul></main>', "Title Body More body here."),
+        ("<form><main><nav>menu</nav><div><h2>T</h2><article><p>A</p></article></div><p>after</p></main></form>", "T A after"),
+    ]:
+        assert wrappers.extract_group([page]) == [want], page
+    many = "<form><p>x</p></form>" * 20_000 + f"<article>{prose}</article>"
+    assert wrappers.extract_group([many]) == [told]
+
+
 def test_extraction_against_known_texts():
     """Random pages built from known content and known boilerplate."""
     rng = random.Random(11)
@@ -597,13 +621,50 @@ def test_interpolation(spark, some):
     n, v = sum(count.values()), len(count)
     want = Counter((i, len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, ws in tokens)
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    # the model's score, by counting in dictionaries
+    learn = [(i, ws, zlib.crc32(str(i).encode()) // 10 % 10 == 0) for i, ws in tokens if i is not None and zlib.crc32(str(i).encode()) % 10]
+    ones, pairs, held1, held2 = (Counter() for _ in range(4))
+    for _, ws, held in learn:
+        for h, w in zip([None, *ws], ws, strict=False):
+            ones[w] += 1
+            pairs[h, w] += 1
+            held1[w] += held
+            held2[h, w] += held
+    begin = lambda c: c[b" "]  # noqa: E731  each document begins as often as it ends
+    cells, bit = Counter(), lambda p: 127 if p <= 0 else int(min(126, max(0, np.rint(-4 * np.log2(p)))))
+    rest = n - sum(held1.values())
+    for _, ws, held in learn:
+        for h, w in zip([None, *ws], ws, strict=False) if held else ():
+            ch = (begin(ones) - begin(held1)) if h is None else ones[h] - held1[h]
+            cells[(min(ch.bit_length(), 24) * 128 + bit((pairs[h, w] - held2[h, w]) / max(1, ch))) * 128 + bit((ones[w] - held1[w]) / max(1, rest))] += 1
+    weights = interpolation.learn_weights(cells, v)
+    score = Counter()
+    for i, ws in tokens:
+        total = 0.0
+        for h, w in zip([None, *ws], ws, strict=False):
+            ch = begin(ones) if h is None else ones[h]
+            l2, l1, l0 = weights[min(ch.bit_length(), 24)]
+            total += math.log10(l2 * pairs[h, w] / max(1, ch) + l1 * ones[w] / n + l0 / (v + 1))
+        score[i, len(ws), round(total, 5)] += 1
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in got) == score
     assert interpolation.score(no_docs(spark), Work(spark)).count() == 0
     lone = spark.createDataFrame([(None, "a b", None, None, 0)], DOC)
     r = interpolation.score(lone, Work(spark)).first()
     assert (r.n_known, r.train_tokens, r.score, r.base_score) == (0, 0, 0.0, 0.0)
 
 
+def test_counts_beyond_32_bits():
+    """Two chunks of three thousand million occurrences each add up, in counts and in totals."""
+    keys = np.array([5, 9], np.uint64)
+    vals = np.zeros(2, interpolation._COUNT)
+    vals["all"], vals["held"] = [3_000_000_000, 1 << 60], [2_500_000_001, 7]
+    sent = [(1, interpolation.ONE, keys, common.dec(common.enc(vals), interpolation._COUNT)), (2, interpolation.ONE, keys[:1], vals[:1])]
+    got = {(chunk, part): reply for chunk, part, reply in interpolation._sum_counts(sent)}
+    counts = common.dec(got[1, interpolation.ONE], interpolation._COUNT)
+    assert counts["all"].tolist() == [6_000_000_000, 1 << 60] and counts["held"].tolist() == [5_000_000_002, 7]
+    assert got[-1, interpolation.TOTALS] == b"%d %d 2" % (6_000_000_000 + (1 << 60), 5_000_000_009)
+
+
 def test_em_prefers_the_better_estimate():
     cell = lambda f, p2, p1: (f * interpolation.LEVELS + p2) * interpolation.LEVELS + p1
     w = interpolation.learn_weights({cell(5, 2, 60): 1000, cell(1, 127, 20): 1000}, 100)
