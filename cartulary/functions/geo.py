@@ -98,24 +98,40 @@ def radius_box(lat: float, lng: float, metres: float) -> tuple[float, float, flo
     return lat - dlat, lng - dlng, lat + dlat, lng + dlng
 
 
-def within_radius(lat, lng, at: tuple[float, float], metres: float) -> Column:
-    """In the circle: plain ranges on the stored columns first, which reach the Parquet scan, then the distance.
-
-    A circle that crosses the 180th meridian has a range on either side of it."""
+def circle_boxes(at: tuple[float, float], metres: float) -> list[tuple[float, float, float, float]]:
+    """One or two boxes that hold a circle; one that crosses the 180th meridian has a box on either side of it."""
     south, west, north, east = radius_box(*at, metres)
-    boxes = [(south, west, north, east)]
     if east - west >= 360:
-        boxes = [(south, -180.0, north, 180.0)]
-    elif west < -180:
-        boxes.append((south, west + 360, north, 180.0))
-    elif east > 180:
-        boxes.append((south, -180.0, north, east - 360))
-    inside = in_bbox(lat, lng, boxes[0])
-    for box in boxes[1:]:
+        return [(south, -180.0, north, 180.0)]
+    if west < -180:
+        return [(south, -180.0, north, east), (south, west + 360, north, 180.0)]
+    if east > 180:
+        return [(south, west, north, 180.0), (south, -180.0, north, east - 360)]
+    return [(south, west, north, east)]
+
+
+def within_radius(lat, lng, at: tuple[float, float], metres: float) -> Column:
+    """In the circle: plain ranges on the stored columns first, which reach the Parquet scan, then the distance."""
+    first, *more = circle_boxes(at, metres)
+    inside = in_bbox(lat, lng, first)
+    for box in more:
         inside = inside | in_bbox(lat, lng, box)
     return inside & (haversine(lat, lng, *at) <= float(metres))
 
 
+def curve(lat, lng, bits: int = 20) -> Column:
+    """Place on a Z-order curve: the bits of latitude and longitude in turn, so that neighbours on it are neighbours on the map. Null where a coordinate is not valid."""
+    top = (1 << bits) - 1
+
+    def spread(x, low: float, width: float) -> Column:
+        n = F.least(F.lit(top).cast("long"), F.floor((_c(x) - low) / width * (top + 1)))
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            n = n.bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask))
+        return n
+
+    return F.when(is_valid(lat, lng), F.shiftleft(spread(lat, -90.0, 180.0), 1).bitwiseOR(spread(lng, -180.0, 360.0)))
+
+
 def radius_join(left, right, metres: float, max_lat: float, left_at=("lat", "lng"), right_at=("r_lat", "r_lng")):
     """Pairs within metres of each other: equal grid cells (right side dealt to its 3 x 3 neighbours), then the distance.
 

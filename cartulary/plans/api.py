@@ -6,12 +6,13 @@ in one TakeOrderedAndProject. Only answers of at most a page reach the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import geo, text
 from ..operators import aggregates, predicates, search
 from ..operators import gazetteer as gaz
 from ..operators import submissions as subs
@@ -32,7 +33,7 @@ class Anchor:
 
 @dataclass
 class Catalog:
-    """The tables that queries read. postings: a stored inverted index per kind, if there is one."""
+    """The tables that queries read. index: the stored index of some kinds, if there is one; near: a kind's documents from the parts that meet some boxes."""
 
     spark: SparkSession
     region: Region
@@ -40,27 +41,40 @@ class Catalog:
     gazetteer: DataFrame
     submissions: DataFrame | None = None
     metrics: DataFrame | None = None
-    postings: dict[str, DataFrame] = field(default_factory=dict)
+    index: Callable[[list[str]], search.Index] | None = None
+    near: Callable[[str, list], DataFrame] | None = None
+    lookup: Callable[[str, str], DataFrame] | None = None
 
     @staticmethod
     def of(store, region: Region) -> Catalog:
         spark = store.spark
-        return Catalog(spark, region, {k: store.read(f"{k}s") for k in ("place", "event", "article")}, region.gazetteer(spark), store.read("submissions"), store.read("metrics"), {k: store.postings(k) for k in ("place", "event", "article")})
+        return Catalog(spark, region, {k: store.read(f"{k}s") for k in ("place", "event", "article")}, region.gazetteer(spark), store.read("submissions"), store.read("metrics"), store.index, lambda k, boxes: store.read(f"{k}s", boxes), lambda k, i: store.lookup(f"{k}s", spark.createDataFrame([(i,)], "id string")))
 
-    def docs(self, kinds: list[str]) -> DataFrame:
-        return predicates.base(search.union_kinds(self.tables, kinds), self.region)
+    def docs(self, kinds: list[str], circle: tuple | None = None) -> DataFrame:
+        """Documents inside the region. circle (at, metres): from the parts that meet it."""
+        tables = self.tables
+        if circle and self.near:
+            tables = {k: self.near(k, geo.circle_boxes(*circle)) for k in kinds}
+        return predicates.base(search.union_kinds(tables, kinds), self.region)
 
-    def found(self, kinds: list[str], query: str | None, where: Column) -> DataFrame:
+    def found(self, kinds: list[str], query: str | None, where: Column, circle: tuple | None = None) -> DataFrame:
         """Ranked rows, without texts, of the documents of these kinds that satisfy where and match the query."""
-        docs = self.docs(kinds).where(where)
+        docs = self.docs(kinds, circle).where(where)
         index = None
-        if kinds and all(k in self.postings for k in kinds):
-            index = search.union_kinds(self.postings, kinds)
-        elif search.query_terms(query or "", list(self.region.stop_words)):
+        if self.index and kinds:
+            index = self.index(kinds)
+        elif self.terms(query):
             index = search.postings(docs)
         hits = search.search(search.narrow(docs), query, self.region.stop_words, self.region.synonym_map(), index)
         return search.distinct_articles(hits) if "article" in kinds else hits
 
+    def best(self, kinds: list[str], query: str | None, where: Column, rows: int, circle: tuple | None = None) -> DataFrame:
+        """The same, but no more than is needed for so many rows by rank: a stored index reads only the blocks that can reach them."""
+        if not (self.index and kinds and self.terms(query)):
+            return self.found(kinds, query, where, circle)
+        docs = search.narrow(self.docs(kinds, circle).where(where))
+        return search.top(docs, self.index(kinds), query, rows, self.region.stop_words, self.region.synonym_map(), "article" in kinds)[0]
+
     def page(self, kinds: list[str], hits: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
         """A page of ranked rows as whole documents: texts are read for its rows only."""
         return search.fill(self.docs(kinds), search.page(hits, order, limit, offset), order, limit)
@@ -78,7 +92,7 @@ def resolve(c: Catalog, name: str) -> Anchor:
     hit = gaz.resolve(one, c.gazetteer).first()
     if hit:
         return Anchor(hit.lat, hit.lng, float(hit.default_radius_m), hit.city, "gazetteer")
-    place = c.page(["place"], c.found(["place"], name, F.lit(True)), search.rank_order(), 1).select("title", "lat", "lng").first() if c.terms(name) else None
+    place = c.page(["place"], c.best(["place"], name, F.lit(True), 1), search.rank_order(), 1).select("title", "lat", "lng").first() if c.terms(name) else None
     if place:
         return Anchor(place.lat, place.lng, float(PLACE_RADIUS_M), place.title, "place")
     close = [r.name for r in gaz.suggest(c.gazetteer, name).collect()]
@@ -115,20 +129,23 @@ def search_region(c: Catalog, query=None, kinds=None, near=None, radius_m=None,
     """Ranked page over all kinds. near beats city; a city that does not resolve is compared as text."""
     which = args.kinds(kinds, ("place", "event", "article"))
     docs = c.docs(which)
-    parts = []
+    parts, circle = [], None
     if near and near.strip():
         at = resolve(c, near)
-        parts.append(predicates.near((at.lat, at.lng), radius_m or at.radius_m))
+        circle = (at.lat, at.lng), radius_m or at.radius_m
     elif city and city.strip():
         try:
             at = resolve(c, city)
-            parts.append(predicates.near((at.lat, at.lng), radius_m or at.radius_m))
+            circle = (at.lat, at.lng), radius_m or at.radius_m
         except args.ArgumentError:
             parts.append(predicates.equals("city", city))
+    if circle:
+        parts.append(predicates.near(*circle))
     if county and county.strip():
         parts.append(predicates.equals("county", county))
     parts.append(predicates.any_of(docs, "categories", categories))
-    page = c.page(which, c.found(which, query, predicates.all_of(parts)), search.rank_order(), args.limit(limit), max(0, offset))
+    n, skip = args.limit(limit), max(0, offset)
+    page = c.page(which, c.best(which, query, predicates.all_of(parts), n + skip, circle), search.rank_order(), n, skip)
     return _answer(c, page, query)
 
 
@@ -138,8 +155,9 @@ def find_nearby(c: Catalog, near=None, lat=None, lng=None, query=None, radius_m=
     at = resolve_any(c, near, lat, lng)
     if at is None:
         raise args.ArgumentError("a place name or coordinates are needed")
-    where = predicates.all_of([predicates.near((at.lat, at.lng), radius_m or NEARBY_RADIUS_M), predicates.any_of(c.docs(which), "categories", categories)])
-    hits = search.by_distance(c.found(which, query, where), (at.lat, at.lng), None)
+    circle = (at.lat, at.lng), radius_m or NEARBY_RADIUS_M
+    where = predicates.all_of([predicates.near(*circle), predicates.any_of(c.docs(which), "categories", categories)])
+    hits = search.by_distance(c.found(which, query, where, circle), (at.lat, at.lng), None)
     page = c.page(which, hits, [F.asc_nulls_last("distance_m"), F.asc("id")], args.limit(limit), max(0, offset))
     return _answer(c, page, query)
 
@@ -151,16 +169,19 @@ def search_events(c: Catalog, now: int, query=None, near=None, city=None, radius
     if high is not None and high < low:
         raise args.ArgumentError("the window ends before it starts")
     parts = [predicates.between("start_time", low, high)]
-    name = near if near and near.strip() else city
+    name, circle = near if near and near.strip() else city, None
     if name and name.strip():
         at = resolve(c, name)
-        parts.append(predicates.near((at.lat, at.lng), radius_m or at.radius_m))
-    page = c.page(["event"], c.found(["event"], query, predicates.all_of(parts)), [F.asc("start_time"), F.asc("id")], args.limit(limit), max(0, offset))
+        circle = (at.lat, at.lng), radius_m or at.radius_m
+        parts.append(predicates.near(*circle))
+    page = c.page(["event"], c.found(["event"], query, predicates.all_of(parts), circle), [F.asc("start_time"), F.asc("id")], args.limit(limit), max(0, offset))
     return _answer(c, page, query)
 
 
 def get_document(c: Catalog, id: str, kind: str) -> DataFrame:
     which = args.kinds([kind], ())
+    if c.lookup:
+        return predicates.base(c.lookup(which[0], id), c.region)
     return predicates.base(c.tables[which[0]], c.region).where(F.col("id") == id)
 
 
@@ -198,7 +219,7 @@ def browse(c: Catalog, query=None, kinds=None) -> DataFrame:
     """Up to a few rows of each kind, kinds in order."""
     out = None
     for i, k in enumerate(args.kinds(kinds, ("place", "event", "article"))):
-        part = c.page([k], c.found([k], query, F.lit(True)), search.rank_order(), BROWSE_ROWS)
+        part = c.page([k], c.best([k], query, F.lit(True), BROWSE_ROWS), search.rank_order(), BROWSE_ROWS)
         part = part.select(F.lit(i).alias("part"), "id", "kind", "title", "city", "source", "url", "updated_at")
         out = part if out is None else out.union(part)
     return out

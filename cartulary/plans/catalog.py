@@ -59,6 +59,14 @@ def geo_radius(spark, d):
     return a.places(spark, d).where(predicates.near(DENVER, 60_000)).select("id")
 
 
+@query(ORACLE["geo_radius"])
+def stored_near(spark, d):
+    """The same circle over a stored table: only the parts along the curve that meet it are read."""
+    store = stores.Store(spark, stores.scratch(spark))
+    store.upsert("places", a.places(spark, d))
+    return store.read("places", geo.circle_boxes(DENVER, 60_000)).where(predicates.near(DENVER, 60_000)).select("id")
+
+
 @query(f"WITH {sql_places(WIDE)} SELECT id FROM places WHERE {INSIDE}")
 def geo_bbox(spark, d):
     return a.places(spark, d, WIDE).where(geo.in_bbox("lat", "lng", BOX)).select("id")
@@ -375,6 +383,39 @@ def keyed_update(spark, d):
     return stores.patched(p, changes.union(p.where("id % 50 = 0").select(-1 - F.col("id"), F.lit("added")))).withColumn("size", F.coalesce("size", F.lit(-1).cast("int")))
 
 
+def _stored(spark, d, *kinds):
+    """A store of parts (and documents), written in several batches."""
+    store = stores.Store(spark, stores.scratch(spark))
+    parts = a.parts(spark, d)
+    store.upsert("places", parts.where("k % 3 > 0"))
+    store.upsert("places", parts.where("k % 3 = 0 or k % 10 = 0"))
+    if "article" in kinds:
+        store.upsert("articles", a.articles(spark, d))
+    return store
+
+
+@query(f"SELECT {sql_id('part', 'p_partkey')} AS id, CASE WHEN p_partkey % 8 = 0 THEN 'Changed' WHEN p_partkey % 4 = 0 THEN 'New' ELSE p_name END AS title, CASE WHEN p_partkey % 8 <> 0 THEN p_partkey END AS k FROM part WHERE p_partkey % 9 <> 0 OR p_partkey % 8 = 0")
+def stored_merge(spark, d):
+    """A table after batches that add, replace, delete and change rows: what its runs say together."""
+    store, parts = _stored(spark, d), a.parts(spark, d)
+    store.upsert("places", parts.where("k % 4 = 0").withColumn("title", F.lit("New")).withColumn("source_id", F.col("k").cast("string")))
+    store.upsert("places", parts.where("k % 4 > 0 or k % 8 = 0").withColumn("source_id", F.col("k").cast("string")))
+    store.delete("places", parts.where("k % 9 = 0").select("id"))
+    store.update("places", parts.where("k % 8 = 0").select("id", F.lit("Changed").alias("title"), F.lit(None).cast("string").alias("source_id")))
+    return store.read("places").select("id", "title", F.col("source_id").cast("long").alias("k"))
+
+
+@query(f"SELECT {sql_id('part', 'p_partkey')} AS id, CASE WHEN p_partkey % 7 = 0 THEN 'new' ELSE 'changed' END AS what FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 5 = 0")
+def stored_changes(spark, d):
+    """New and changed documents of a batch, found by the keys of its ids alone."""
+    store, parts = stores.Store(spark, stores.scratch(spark)), a.parts(spark, d).withColumn("content_hash", F.col("title"))
+    store.upsert("places", parts.where("k % 7 > 0"))
+    batch = parts.withColumn("content_hash", F.when(F.col("k") % 5 == 0, "other").otherwise(F.col("content_hash")))
+    old = store.keys("places", batch).select("id", F.col("content_hash").alias("old"))
+    out = batch.join(old, "id", "left").where("not old <=> content_hash")
+    return out.select("id", F.when(F.col("old").isNull(), "new").otherwise("changed").alias("what"))
+
+
 @query("SELECT p_partkey AS id FROM part WHERE p_partkey % 11 = 0")
 def exists_probe(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
@@ -539,6 +580,19 @@ def text_prefix(spark, d):
     return search.search(a.parts(spark, d), "red giz", ()).select("id")
 
 
+@query(ORACLE["text_typo"])
+def stored_typo(spark, d):
+    """The same from a stored index, where typos meet by equality on deletions."""
+    store = _stored(spark, d)
+    return search.search(search.narrow(store.read("places")), "wiget", (), None, store.index(["place"])).select("id")
+
+
+@query(ORACLE["text_prefix"])
+def stored_prefix(spark, d):
+    store = _stored(spark, d)
+    return search.search(search.narrow(store.read("places")), "red giz", (), None, store.index(["place"])).select("id")
+
+
 _SYN = {"ring": ["hot gear", "bolt"]}
 
 
@@ -555,6 +609,15 @@ def search_ranked(spark, d):
     return page.select("id", F.row_number().over(Window.orderBy(*search.rank_order())).cast("long").alias("n"))
 
 
+@query(f"SELECT {sql_id('part', 'p_partkey')} AS id, row_number() OVER (ORDER BY {sql_id('part', 'p_partkey')}) AS n FROM part WHERE p_name = 'small ring' QUALIFY n <= 20")
+def stored_top(spark, d):
+    """The best page from the blocks of a stored index that can reach it."""
+    store = _stored(spark, d, "article")
+    hits, _ = search.top(search.narrow(search.union_kinds({k: store.read(f"{k}s") for k in ("place", "article")}, ["place", "article"])), store.index(["place", "article"]), "small ring", 20, distinct=True)
+    page = search.page(hits, search.rank_order(), 20).where("words = 2 and proximity = 1 and kind = 'place'")
+    return page.select("id", F.row_number().over(Window.orderBy(*search.rank_order())).cast("long").alias("n"))
+
+
 @query("SELECT a AS term, b AS synonym FROM (SELECT unnest(g) AS a, g FROM (SELECT unnest([['restaurant','eatery','dining','diner'],['bar','pub','tavern'],['brewery','taproom','brewpub'],['cafe','coffee shop','coffeehouse'],['trail','trailhead','hiking'],['hotel','lodging','motel','inn'],['museum','gallery'],['campground','camping','campsite'],['ski area','ski resort','ski hill']]) AS g)), unnest(g) AS u(b) WHERE a <> b")
 def synonym_map(spark, d):
     return REGION.synonym_table(spark).select("term", F.explode("synonyms").alias("synonym"))

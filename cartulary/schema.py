@@ -21,7 +21,7 @@ TABLES = {
         "id STRING, status STRING, request STRING, target_kind STRING, title STRING, description STRING, url STRING, address STRING, city STRING, lat DOUBLE, "
         "lng DOUBLE, categories ARRAY<STRING>, existing_id STRING, contact STRING, submitted_at BIGINT, updated_at BIGINT, reviewed_at BIGINT, review_note STRING, apply_note STRING"
     ),
-    "postings": "id STRING, kind STRING, doc STRING, term STRING, attr INT, pos INT",
+    "postings": "id STRING, kind STRING, doc STRING, term STRING, attr INT, pos INT, stamp BIGINT, block BIGINT",
     "frontier": "id STRING, url STRING, host STRING, status STRING, depth INT, priority BIGINT, default_city STRING, discovered_at BIGINT, updated_at BIGINT",
     "geocache": "id STRING, key STRING, status STRING, lat DOUBLE, lng DOUBLE, updated_at BIGINT",
     "suppressions": "id STRING, doc_id STRING, reason STRING, updated_at BIGINT",

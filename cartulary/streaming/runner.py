@@ -20,7 +20,7 @@ from ..functions import ids
 from ..operators import ingest
 from ..operators.store import Store
 from ..region import Region
-from ..schema import KINDS, TABLES, conform
+from ..schema import KINDS
 from ..sources.base import Source, backoff
 
 
@@ -46,9 +46,10 @@ def ingest_batch(ctx: Context, docs: DataFrame) -> dict[str, int]:
     three tables come from the same rows. An unreadable suppression table fails the batch.
     """
     store = ctx.store
+    batch = docs.select(F.coalesce(F.col("id"), ids.stable_id(F.col("source"), "source_id")).alias("id")) if "id" in docs.columns else docs.select(ids.stable_id(F.col("source"), "source_id").alias("id"))
     stored = None
-    for k in KINDS:
-        part = store.read(f"{k}s").select("kind", "id", "content_hash")
+    for k in KINDS:  # keys of the batch's ids only; no stored document is read
+        part = store.keys(f"{k}s", batch).select(F.lit(k).alias("kind"), "id", "content_hash")
         stored = part if stored is None else stored.union(part)
     planned = ingest.plan(docs, ctx.region, ctx.gazetteer, store.read("suppressions"), stored, ctx.now)
     path = f"{store.root}/_batch"
@@ -87,7 +88,7 @@ def run_once(ctx: Context, source: Source) -> dict[str, int]:
         raise
     finally:
         run = ctx.spark.createDataFrame([(source.name, ctx.now, error, swept, *(stats[c] for c in ingest.COUNTERS))], "source string, run_at long, error string, swept boolean, " + ", ".join(f"{c} long" for c in ingest.COUNTERS))
-        store.replace("metrics", store.read("metrics").unionByName(conform(run, TABLES["metrics"])))
+        store.append("metrics", run)
     return stats
 
 
@@ -120,7 +121,7 @@ def ingest_stream(store: Store, region: Region, path: str, schema: str, to_docs:
     raw = store.spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_a_batch).load(path)
 
     def each(batch: DataFrame, _: int) -> None:
-        ctx = context(Store(batch.sparkSession, store.root, store.buckets), region)
+        ctx = context(Store(batch.sparkSession, store.root, store.fan), region)
         ingest_batch(ctx, to_docs(batch, ctx.now))
 
     writer = raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,34 +154,163 @@ def test_a_writer_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
                 store.upsert("suppressions", spark.createDataFrame([("b", "y")], "id string, doc_id string"))
         assert [r.id for r in store.read("suppressions").collect()] == ["a"]
     folder = tmp_path / "s" / "suppressions" / "_manifests"
-    (folder / f"{99:012d}").write_text('{"buckets": 16, "at": {"1"')  # half a manifest
+    (folder / f"{99:012d}").write_text('{"runs": [{"folder"')  # half a manifest
     assert [r.id for r in store.read("suppressions").collect()] == ["a"]
     store.upsert("suppressions", spark.createDataFrame([("b", "y")], "id string, doc_id string"))
     assert sorted(r.id for r in store.read("suppressions").collect()) == ["a", "b"]
     with pytest.raises(RuntimeError, match="another writer"):
-        store._commit("suppressions", 100, 16, {})
+        store._commit("suppressions", 100, [])
     for f in folder.iterdir():
         f.unlink()
     with pytest.raises(RuntimeError, match="no manifest"):
         store.read("suppressions")
 
 
-def test_upserts_touch_their_buckets_only(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/s", buckets=8)
-    store.upsert("places", docs(spark, [place(str(i)) for i in range(60)]))
-    before = store.manifest("places")["at"]
+def test_a_write_costs_what_its_batch_costs(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", fan=100)
+    files = lambda: {f: f.stat().st_size for f in (tmp_path / "s").rglob("*.parquet")}
+    many = docs(spark, [place(str(i), title=f"Title {i}", body="a long body " * 20, lat=37.5 + i % 30 / 10, lng=-108.5 + i % 50 / 10) for i in range(4000)])
+    store.upsert("places", many)
+    before = files()
     store.upsert("places", docs(spark, [place("7", title="New")]))
-    after = store.manifest("places")["at"]
-    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
-    assert {r.id: r.title for r in store.read("places").collect()}["7"] == "New" and store.read("places").count() == 60
+    added = {f: n for f, n in files().items() if f not in before}
+    assert set(before) <= set(files()) and len(added) < 30 and sum(added.values()) < sum(before.values()) / 4
+    assert store.read("places").where("id = '7'").first().title == "New" and store.read("places").count() == 4000
     store.delete("places", spark.createDataFrame([("7",), ("none",)], "id string"))
-    assert store.read("places").count() == 59
+    assert store.read("places").count() == 3999 and set(before) <= set(files())
     store.update("places", spark.createDataFrame([("8", "Changed", None), ("new", "Added", "x")], "id string, title string, city string"))
-    got = {r.id: r for r in store.read("places").collect()}
-    assert (got["8"].title, got["8"].city, got["8"].summary) == ("Changed", None, got["9"].summary) and got["new"].kind is None and len(got) == 60
-    for _ in range(4):  # old files go, those in use stay
-        store.upsert("places", docs(spark, [place("9")]))
-    assert store.read("places").count() == 60
+    got = {r.id: r for r in store.read("places").where("id in ('8', '9', 'new')").collect()}
+    assert (got["8"].title, got["8"].city, got["8"].summary) == ("Changed", None, got["9"].summary) and got["new"].kind is None and store.read("places").count() == 4000
+    assert {r.id: r.title for r in store.lookup("places", spark.createDataFrame([("8",), ("7",), ("10",)], "id string")).collect()} == {"8": "Changed", "10": "Title 10"}
+
+
+def test_compaction_changes_no_result(spark, tmp_path):
+    """Random upserts and deletes against a dictionary, with compactions between them."""
+    rng, want = random.Random(3), {}
+    store = Store(spark, f"file://{tmp_path}/s", fan=3)
+    for step in range(9):
+        batch = {str(rng.randrange(30)): f"t{step}" for _ in range(rng.choice([1, 2, 9]))}
+        if step % 3 == 2:
+            store.delete("places", spark.createDataFrame([(i,) for i in batch], "id string"))
+            want = {i: t for i, t in want.items() if i not in batch}
+        else:
+            store.upsert("places", docs(spark, [place(i, title=t) for i, t in batch.items()]))
+            want |= batch
+    assert {r.id: r.title for r in store.read("places").collect()} == want
+    assert {r.id for r in store.keys("places").collect()} == set(want)
+    assert len(store.manifest("places")["runs"]) < 9
+    assert sorted(map(tuple, store.postings("place").collect())) == sorted(map(tuple, search.postings(store.read("places")).collect()))
+    runs = store.manifest("places")
+    while store.compact("places"):
+        pass
+    assert {r.id: r.title for r in store.read("places").collect()} == want and runs["next"] <= store.manifest("places")["next"]
+
+
+def test_a_compaction_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/s", fan=2)
+
+    def dies(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "compact", lambda *_: False)
+        for i in range(4):
+            store.upsert("suppressions", spark.createDataFrame([(str(i % 3), f"x{i}")], "id string, doc_id string"))
+    for name in ("_commit", "_write"):
+        with monkeypatch.context() as m:
+            m.setattr(Store, name, dies)
+            with pytest.raises(OSError, match="gone"):
+                store.compact("suppressions")
+        assert {r.id: r.doc_id for r in store.read("suppressions").collect()} == {"0": "x3", "1": "x1", "2": "x2"}
+    assert store.compact("suppressions") and len(store.manifest("suppressions")["runs"]) == 1
+    assert {r.id: r.doc_id for r in store.read("suppressions").collect()} == {"0": "x3", "1": "x1", "2": "x2"}
+
+
+def test_circles_read_the_parts_that_they_meet(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rng = random.Random(1)
+    rows = [place(str(i), lat=rng.uniform(-80, 80), lng=rng.uniform(-180, 180)) for i in range(3000)]
+    with_conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in with_conf}
+    for k, v in with_conf.items():
+        spark.conf.set(k, v)
+    try:
+        store.upsert("places", docs(spark, rows))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    store.upsert("places", docs(spark, [place("0", lat=10.0, lng=179.99), place("1", lat=10.0, lng=-179.99)]))
+    every = sum(map(len, store.parts("places").values()))
+    for at, metres in (((40.0, -105.0), 300_000), ((10.0, 179.999), 5_000), ((-30.0, 20.0), 900_000)):
+        boxes = geo.circle_boxes(at, metres)
+        near = store.read("places", boxes).where(geo.within_radius("lat", "lng", at, metres))
+        whole = store.read("places").where(geo.within_radius("lat", "lng", at, metres))
+        assert sorted(r.id for r in near.collect()) == sorted(r.id for r in whole.collect())
+        assert sum(map(len, store.parts("places", boxes).values())) < every / 2
+    assert {"0", "1"} == {r.id for r in store.read("places", geo.circle_boxes((10.0, 179.999), 5_000)).where(geo.within_radius("lat", "lng", (10.0, 179.999), 5_000)).collect()}
+
+
+def test_keys_are_read_from_their_buckets(spark, tmp_path, monkeypatch):
+    from cartulary.operators import store as module
+
+    monkeypatch.setattr(module, "KEYS", 16)
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.upsert("places", docs(spark, [place(str(i)) for i in range(400)]))
+    run = store.manifest("places")["runs"][0]
+    ids = spark.createDataFrame([("7",), ("none",)], "id string")
+    read = store._keys_of("places", run, ids)
+    assert run["bits"] == 5 and len(read.inputFiles()) <= 2 and [r.id for r in store.keys("places", ids).collect()] == ["7"]
+    assert {r.id for r in store.lookup("places", ids).collect()} == {"7"}
+
+
+WORDS = "barn bern born band brand grand granite granites mountain mountains fountain mount vineyard vineyards winery beer garden springs spring trail trails".split()
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    store = Store(spark, f"file://{tmp_path_factory.mktemp('indexed')}/s")
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    long = "x" * 34
+    rows = [place(str(i), title=text(2), body=text(6) if i % 3 else "", summary=text(rng.randint(0, 3)), lat=39 + i % 9 / 10, lng=-107.0, kind=("place", "article")[i % 2], url=f"u{i % 300}", updated_at=i % 7) for i in range(1200)]
+    rows += [place("rare", title="Zanzibar mountain"), place("lone", title="Zanzibar"), place("long", title=f"{long}abc barn"), place("long2", title=f"{long}acb")]
+    for name, kind in (("places", "place"), ("articles", "article")):
+        mine = [r for r in rows if r["kind"] == kind]
+        store.upsert(name, docs(spark, mine[:400]))
+        store.upsert(name, docs(spark, mine[400:] + mine[:5]))
+    return store, long
+
+
+def test_stored_dictionary_finds_what_a_scan_finds(spark, indexed):
+    store, long = indexed
+    index = store.index(["place", "article"])
+    words = search.dictionary(search.union_kinds({k: store.postings(k) for k in ("place", "article")}, ["place", "article"]))
+    known = {r.term for r in words.collect()}
+    for terms in (["mountian"], ["granit"], ["barn", "mou"], ["born"], ["vinyards", "winery"], [f"{long}abc"], [f"{long}ab"], ["zanzibra", "x"], ["no"], ["fountains", "gran"]):
+        want = {tuple(r) for r in search.expansions(words, terms, {"winery": ["beer garden"]}).collect()}
+        got = {tuple(r) for r in search.stored_expansions(index, terms, {"winery": ["beer garden"]}).collect()}
+        assert {g for g in got if g[1] in known} == {w for w in want if w[1] in known}, terms
+    plan = search.stored_expansions(index, ["mountian"])._jdf.queryExecution().executedPlan().toString()
+    assert "/rows" not in plan
+
+
+def test_blocks_give_the_page_of_the_full_ranking(spark, indexed, monkeypatch):
+    store, _ = indexed
+    monkeypatch.setattr(search, "WAVE", 2)
+    kinds = ["place", "article"]
+    everything = search.union_kinds({k: store.read(f"{k}s") for k in kinds}, kinds)
+    fewer = 0
+    for query, k, where in (("zanzibar mountain", 1, "true"), ("granit mountian", 10, "true"), ("beer trail", 7, "lat < 39.35"), ("barn", 3, "true"), ("absent", 5, "true"), ("zanzibar", 50, "true")):
+        cut = search.narrow(everything.where(where))
+        index = store.index(kinds)
+        hits, counts = search.top(cut, index, query, k, distinct=True)
+        got = [tuple(r) for r in hits.orderBy(*search.rank_order()).limit(k).select("id", "kind", "words", "typos", "proximity", "attribute", "exact").collect()]
+        full = search.distinct_articles(search.search(cut, query, index=search.postings(everything)))
+        want = [tuple(r) for r in full.orderBy(*search.rank_order()).limit(k).select("id", "kind", "words", "typos", "proximity", "attribute", "exact").collect()]
+        assert got == want, query
+        assert counts["read"] <= counts["blocks"]
+        fewer += counts["read"] < counts["blocks"]
+    assert fewer >= 3
 
 
 def test_postings_follow_the_documents(spark, tmp_path):
@@ -320,8 +450,11 @@ def test_queries(catalog):
     assert "No match" in render.page("x", []) and "Mesa" in render.locales(api.list_locales(catalog).collect()) and "Colorado" in render.region(d)
 
 
-def test_stored_postings_give_the_same_answer(catalog):
-    stored = api.Catalog(catalog.spark, REGION, catalog.tables, catalog.gazetteer, postings={k: search.postings(v) for k, v in catalog.tables.items()})
+def test_stored_postings_give_the_same_answer(catalog, tmp_path):
+    store = Store(catalog.spark, f"file://{tmp_path}/s")
+    for k, v in catalog.tables.items():
+        store.upsert(f"{k}s", v)
+    stored = api.Catalog.of(store, REGION)
     assert api.search_region(stored, "museum").collect() == api.search_region(catalog, "museum").collect()
 
 
