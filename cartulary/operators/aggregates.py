@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FACET_VALUES = 200
@@ -35,19 +35,18 @@ def freshness(docs: DataFrame) -> DataFrame:
 def source_metrics(runs: DataFrame) -> DataFrame:
     """Per source: runs, last run, last error, errors since the last success, sweeps and totals.
 
-    runs: (source, run_at, error, swept, received, ..., written), a row for each run.
+    runs: (source, run_at, error, swept, received, ..., written), a row for each run. An error at the very time of the last
+    success comes before it. Sources are few: what is joined is a row a source, and counts are partial sums before they meet.
     """
-    failed = F.col("error").isNotNull().cast("long")
-    w = Window.partitionBy("source").orderBy("run_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    island = runs.withColumn("_g", F.sum(1 - failed).over(w)).withColumn("_failed", failed)
-    last = Window.partitionBy("source")
-    island = island.withColumn("_last", F.max("_g").over(last))
+    failed = F.col("error").isNotNull()
+    good = runs.groupBy(F.col("source").alias("_source")).agg(F.max(F.when(~failed, F.col("run_at"))).alias("_good"))
+    both = runs.join(good, F.col("source").eqNullSafe(F.col("_source")), "left")  # a row a source
     totals = [c for c in ("received", "invalid", "out_of_region", "duplicates", "suppressed", "unchanged", "written") if c in runs.columns]
-    return island.groupBy("source").agg(
+    return both.groupBy("source").agg(
         F.count("*").alias("runs"),
         F.max("run_at").alias("last_run_at"),
-        F.substring(F.max_by("error", F.when(F.col("error").isNotNull(), F.col("run_at"))), 1, 500).alias("last_error"),
-        F.sum(F.when(F.col("_g") == F.col("_last"), F.col("_failed")).otherwise(0)).alias("consecutive_errors"),
+        F.substring(F.max_by("error", F.when(failed, F.col("run_at"))), 1, 500).alias("last_error"),
+        F.count_if(failed & (F.col("_good").isNull() | (F.col("run_at") > F.col("_good")))).alias("consecutive_errors"),
         F.count_if("swept").alias("sweeps"),
         *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in totals),
     )

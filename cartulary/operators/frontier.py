@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..schema import TABLES, conform
+from .ranking import numbered
 
 PENDING, TAKEN, DONE, ERROR = "pending", "in_progress", "done", "error"
 
@@ -77,8 +78,7 @@ def schedule(urls: DataFrame, gap: float = 1.0, special: dict[str, float] | None
     gaps = F.lit(gap)
     for host, g in (special or {}).items():
         gaps = F.when(F.col("host") == host, F.lit(g)).otherwise(gaps)
-    w = Window.partitionBy("host").orderBy(*claim_order())
-    return urls.withColumn("start_after", (F.row_number().over(w) - 1) * gaps)
+    return numbered(urls, "host", claim_order(), "_n").withColumn("start_after", F.col("_n") * gaps).drop("_n")
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from ..functions import geo, text
 
 #: What is sent to every task at most: gazetteer rows, or the cells of a larger gazetteer.
 MOST_ROWS = 10_000
+#: Rows that a name is compared with one by one; more are met by equality.
+FEW_ROWS = 300
 
 
 def nearest(points: DataFrame, gazetteer: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
@@ -70,11 +72,14 @@ def candidates(names: DataFrame, gazetteer: DataFrame, name: str = "name") -> Da
     """Every gazetteer row that could answer a name, with its rank: exact name or alias, else prefix
     either way, else within the edit budget.
 
-    Names and rows meet by equality: on the name, on leading parts, and on what is left after leaving out as many
-    characters as edits are allowed. No name is compared with the whole gazetteer.
+    Up to FEW_ROWS rows travel as one array. Beyond that names and rows meet by equality: on the name, on leading parts, and
+    on what is left after leaving out as many characters as edits are allowed; no name is compared with the whole gazetteer.
     """
     g = gazetteer.select("ord", F.col("name").alias("city"), "county", "lat", "lng", "default_radius_m", text.normalize("name").alias("_n"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), text.normalize).alias("_a"))
     q = names.withColumn("_q", text.normalize(name)).where("_q <> ''")
+    if gazetteer.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        rows = F.broadcast(g.agg(F.collect_list(F.struct(*g.columns)).alias("_gaz")))
+        return _judged(q.crossJoin(rows).select(*q.columns, F.explode("_gaz").alias("_g")).select(*q.columns, "_g.*"))
     said, forms = q.select("_q").distinct(), g.select("ord", F.explode(F.array_distinct(F.concat(F.array("_n"), "_a"))).alias("form"))
     lead = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.left(F.col(c), i)))
     long = g.where(F.octet_length("_n") >= 4).select("ord", "_n")
@@ -89,7 +94,11 @@ def candidates(names: DataFrame, gazetteer: DataFrame, name: str = "name") -> Da
     for part in met:
         if part is not None:
             pairs = part.select("_q", "ord") if pairs is None else pairs.union(part.select("_q", "ord"))
-    both = q.join(pairs.distinct(), "_q").join(g, "ord")
+    return _judged(q.join(pairs.distinct(), "_q").join(g, "ord"))
+
+
+def _judged(both: DataFrame) -> DataFrame:
+    """Names beside gazetteer rows, with the rank of those that answer."""
     exact = (F.col("_q") == F.col("_n")) | F.array_contains("_a", F.col("_q"))
     prefix = (F.octet_length("_n") >= 4) & (F.startswith("_n", F.col("_q")) | F.startswith("_q", F.col("_n")))
     edits = F.array_min(F.transform(F.concat(F.array("_n"), F.col("_a")), lambda a: F.levenshtein(F.col("_q"), a)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, ids, text
 from ..region import Region
 from ..schema import DOCUMENT, EXTRAS, KINDS, TABLES, conform, struct
+from . import cover
 from . import gazetteer as gaz
 
 COUNTERS = ("received", "invalid", "out_of_region", "duplicates", "suppressed", "unchanged", "written")
@@ -20,7 +21,7 @@ COUNTERS = ("received", "invalid", "out_of_region", "duplicates", "suppressed",
 def gate(docs: DataFrame, region: Region) -> DataFrame:
     """docs with reason: invalid (coordinates or title) or out_of_region, else null."""
     valid = geo.is_valid("lat", "lng") & F.coalesce(text.ws_trim("title") != "", F.lit(False))
-    return docs.withColumn("reason", F.when(~valid, "invalid").when(~region.inside(), "out_of_region"))
+    return cover.inside(docs, region, "_in").withColumn("reason", F.when(~valid, "invalid").when(~F.col("_in"), "out_of_region")).drop("_in")
 
 
 def backfill(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..region import Region
+from . import cover
 
 
 def all_of(parts: Iterable[Column | None]) -> Column:
@@ -43,4 +44,6 @@ def near(at: tuple[float, float], metres: float) -> Column:
 
 def base(df: DataFrame, region: Region) -> DataFrame:
     """What every query starts from: documents inside the region."""
-    return df.where(region.inside())
+    if region.polygon is None or len(region.polygon) <= cover.MOST_TERMS:
+        return df.where(region.inside())
+    return cover.inside(df.where(geo.in_bbox("lat", "lng", region.bbox)), region, "_inside").where("_inside").drop("_inside")

@@ -16,8 +16,8 @@ that it meets. The inverted index of documents (``postings``) is kept by the sam
 their terms, the deletions of those terms (for typos) and the blocks of documents (for ranked pages).
 
 A manifest is written last and never replaced: the newest complete one counts. So readers never see half
-a write, a writer that dies leaves the table as it was, and of two writers at once the second fails and
-can start again.
+a write, a writer that dies leaves the table as it was, and of two writers at once the second puts its run
+behind the first's.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import math
 import tempfile
+import threading
 import time
 import uuid
 from functools import reduce
@@ -36,18 +37,26 @@ from ..functions import geo
 from ..schema import KINDS, TABLES, conform, empty, struct
 from . import search
 
-KEEP, FAN = 2, 4
+FAN, TRIES, KEEP_S, SWEEP = 4, 20, 6 * 3600, 16
 KEYS, BROADCAST = 1_000_000, 500_000  # keys of a bucket; most keys that are broadcast
-ORPHAN_S = 86_400
 CONTENT = {f"{k}s": k for k in KINDS}
 KEY = "id STRING, part INT, content_hash STRING"
+_TURN = threading.Lock()
+
+
+class Conflict(RuntimeError):
+    """Another writer was first."""
 
 
 class Store:
-    """Tables below one folder of any file system that Spark reads."""
+    """Tables below one folder of any file system that Spark reads.
 
-    def __init__(self, spark: SparkSession, root: str, fan: int = FAN):
-        self.spark, self.root, self.fan = spark, root.rstrip("/"), fan
+    fan: runs of like size that are rewritten as one. keep_s: how long files stay after they stopped counting, or after a writer
+    that died left them; longer than any read or write takes.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fan: int = FAN, keep_s: float = KEEP_S):
+        self.spark, self.root, self.fan, self.keep_s = spark, root.rstrip("/"), fan, keep_s
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -80,35 +89,46 @@ class Store:
         """The manifest to write after."""
         now = self.manifest(name)
         if not now["next"]:
-            self._commit(name, 0, [])
+            try:
+                self._commit(name, 0, [])
+            except Conflict:
+                return self.manifest(name)
             now = now | {"next": 1}
         return now
 
     def _commit(self, name: str, number: int, runs: list[dict]) -> None:
-        """Make a manifest count. Its file is created, never replaced: of two writers one fails."""
-        try:
-            stream = self._fs.create(self._path(f"{self.root}/{name}/_manifests/{number:012d}"), False)
-        except Exception as e:  # py4j wraps whatever the file system throws
-            raise RuntimeError(f"another writer changed {name}") from e
+        """Make a manifest count: written aside, then renamed, which fails where another writer has that number.
+
+        On HDFS that is one step; writers of one driver take turns besides. Drivers that write to one table at once need a file
+        system whose rename does not overwrite.
+        """
+        folder = f"{self.root}/{name}/_manifests"
+        aside, final = self._path(f"{folder}/.{uuid.uuid4().hex}"), self._path(f"{folder}/{number:012d}")
+        stream = self._fs.create(aside, True)
         stream.write(bytearray(json.dumps({"runs": runs}).encode()))
         stream.close()
+        with _TURN:
+            if self._fs.exists(final) or not self._fs.rename(aside, final):
+                self._fs.delete(aside, False)
+                raise Conflict(f"another writer changed {name}")
 
     def _sweep(self, name: str) -> None:
-        """Delete runs that only manifests before the last KEEP name, and what writers that died a day ago left."""
+        """Delete manifests that are no longer the newest and old enough, and the runs that no other names. Every SWEEP commits."""
         folder = f"{self.root}/{name}/_manifests"
-        numbers = [n for n in self._names(folder) if n.isdigit()]
+        old = lambda status: status.getModificationTime() / 1000 <= time.time() - self.keep_s
+        numbers = sorted((s.getPath().getName(), old(s)) for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().isdigit())
+        if self.keep_s and len(numbers) % SWEEP:
+            return
         runs = lambda n: {r["folder"] for r in (self._manifest(name, n) or {"runs": []})["runs"]}
-        used = set().union(*map(runs, numbers[-KEEP:]))
-        named = set(used)
-        for n in numbers[:-KEEP]:
-            for old in runs(n) - used:
-                self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
-            named |= runs(n)
-            self._fs.delete(self._path(f"{folder}/{n}"), False)
+        gone = [n for n, aged in numbers[:-1] if aged]
+        used = set().union(*(runs(n) for n, _ in numbers if n not in gone))
+        named = set().union(*map(runs, gone))
         for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
-            left = status.getPath().getName()
-            if left.startswith("v-") and left not in named and status.getModificationTime() / 1000 < time.time() - ORPHAN_S:
+            run = status.getPath().getName()
+            if run.startswith("v-") and run not in used and (run in named or self.keep_s and old(status)):
                 self._fs.delete(status.getPath(), True)
+        for n in gone:
+            self._fs.delete(self._path(f"{folder}/{n}"), False)
 
     # ------------------------------------------------------------ runs
 
@@ -209,12 +229,24 @@ class Store:
         return run
 
     def _add(self, name: str, rows: DataFrame | None, touched: DataFrame | None) -> None:
-        now = self._begin(name)
-        run = self._write(name, rows, touched, now["next"], not now["runs"])
-        if run is not None:
-            self._commit(name, now["next"], [*now["runs"], run])
-            self._sweep(name)
-            self.compact(name)
+        """Write a run and put it behind those there are, however many other writers come first meanwhile."""
+        base = not self._begin(name)["runs"]
+        run = self._write(name, rows, touched, 0, base)
+        for _ in range(TRIES if run else 0):
+            now = self.manifest(name)
+            if base and now["runs"] and name == "postings":  # written as the first run, without keys
+                base, run = False, self._write(name, rows, touched, now["next"], False)
+            try:
+                self._commit(name, now["next"], [*now["runs"], run | {"seq": now["next"]}])
+                break
+            except Conflict:
+                continue
+        else:
+            if run:
+                raise Conflict(f"{TRIES} other writers changed {name} meanwhile")
+            return
+        self._sweep(name)
+        self.compact(name)
 
     def _tail(self, runs: list[dict]) -> int:
         """Where the newest runs of like size begin: no run in the tail is larger than fan times all after it."""
@@ -225,7 +257,7 @@ class Store:
         return at
 
     def compact(self, name: str) -> bool:
-        """Rewrite the newest runs of like size as one, where they are ``fan`` or more. Whoever reads the runs before keeps them: KEEP manifests stand."""
+        """Rewrite the newest runs of like size as one, where they are ``fan`` or more. Who reads the runs that were can go on: they stay for ``keep_s``."""
         now = self.manifest(name)
         runs = now["runs"]
         at = self._tail(runs)
@@ -239,10 +271,19 @@ class Store:
         rows = self._live(name, tail).drop("_seq")
         rows = search.blocked(rows) if name == "postings" else rows
         run = self._write(name, rows, touched, tail[-1]["seq"], base)
-        self._commit(name, now["next"], [*runs[:at], *([run] if run else [])])
+        try:
+            self._commit(name, now["next"], [*runs[:at], *([run] if run else [])])
+        except Conflict:  # the next write tries again
+            if run:
+                self._fs.delete(self._path(self._at(name, run)), True)
+            return False
         self._sweep(name)
         return True
 
+    def drop(self, path: str) -> None:
+        """Delete a folder of intermediate rows."""
+        self._fs.delete(self._path(path), True)
+
     # ------------------------------------------------------------ tables
 
     def ensure(self) -> None:

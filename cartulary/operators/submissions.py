@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..region import Region
 from ..schema import DOCUMENT, TABLES, conform
+from . import cover, geocache
 from . import gazetteer as gaz
-from . import geocache
 
 REQUESTS = ("add", "update", "remove", "correction")
 STATUSES = ("pending", "approved", "applied", "rejected")
@@ -101,11 +101,11 @@ class Applied:
 
 def apply(batch: DataFrame, region: Region, gazetteer: DataFrame, cache: DataFrame, now: int) -> Applied:
     """One plan for the whole batch: place additions, withdraw removals, queue pages to reread."""
-    b = geocache.lookup(batch, cache, region)
+    b = cover.inside(geocache.lookup(batch, cache, region), region, "_in")
     towns = gaz.resolve(batch.select("id", F.col("city").alias("name")).where("name is not null"), gazetteer).select(F.col("id").alias("_t"), F.col("lat").alias("_tlat"), F.col("lng").alias("_tlng"))
     b = b.join(towns, F.col("id") == F.col("_t"), "left")
     at = F.coalesce(
-        F.when(region.inside(), F.struct(F.col("lat").alias("lat"), F.col("lng").alias("lng"), F.lit("exact").alias("p"))),
+        F.when(F.col("_in"), F.struct(F.col("lat").alias("lat"), F.col("lng").alias("lng"), F.lit("exact").alias("p"))),
         F.when(F.col("geo_lat").isNotNull(), F.struct(F.col("geo_lat").alias("lat"), F.col("geo_lng").alias("lng"), F.lit("address").alias("p"))),
         F.when(F.col("_t").isNotNull(), F.struct(F.col("_tlat").alias("lat"), F.col("_tlng").alias("lng"), F.lit("city").alias("p"))),
     )

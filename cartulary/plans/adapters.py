@@ -17,6 +17,21 @@ SPAN = (4.011018, 7.018729)
 DENVER = (39.7392, -104.9903)
 NOW = 1_767_225_600
 RING = ((37.2, -108.9), (40.8, -107.5), (39.9, -102.4), (38.1, -103.3))
+JAGGED = 50_000  # vertices of a ring with a ragged edge
+
+
+def jagged() -> list[tuple[float, float]]:
+    """A diamond whose edge goes in and out at every vertex."""
+    c = lambda i: 1.0 - 4.0 * i / JAGGED if 2 * i < JAGGED else 4.0 * i / JAGGED - 3.0
+    size = lambda i: 1.0 + (i * 7919 % 101) / 1010.0
+    return [(39.0 + 1.5 * c(i) * size(i), -105.5 + 2.5 * c((i + JAGGED // 4) % JAGGED) * size(i)) for i in range(JAGGED)]
+
+
+_SQL_C = lambda i: f"(CASE WHEN 2 * {i} < {JAGGED} THEN 1.0::DOUBLE - 4.0::DOUBLE * {i} / {JAGGED} ELSE 4.0::DOUBLE * {i} / {JAGGED} - 3.0::DOUBLE END)"
+SQL_JAGGED = (
+    f"ring AS (SELECT i, 39.0::DOUBLE + 1.5::DOUBLE * {_SQL_C('i')} * (1.0::DOUBLE + (i * 7919 % 101) / 1010.0::DOUBLE) AS y, -105.5::DOUBLE + 2.5::DOUBLE * {_SQL_C(f'((i + {JAGGED // 4}) % {JAGGED})')} * (1.0::DOUBLE + (i * 7919 % 101) / 1010.0::DOUBLE) AS x FROM range({JAGGED}) AS r(i)), "
+    f"edges AS (SELECT a.y AS ya, a.x AS xa, b.y AS yb, b.x AS xb FROM ring a JOIN ring b ON b.i = (a.i + {JAGGED - 1}) % {JAGGED})"
+)
 REGION = Region("Testland", "tl", BOX, (City("Denver", *DENVER),), RING)
 
 

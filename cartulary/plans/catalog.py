@@ -8,10 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, ids, text
-from ..operators import aggregates, frontier, geocache, ingest, predicates, search
+from ..operators import aggregates, cover, frontier, geocache, ingest, predicates, search
 from ..operators import gazetteer as gaz
 from ..operators import store as stores
 from ..operators import submissions as subs
+from ..region import synonym_pairs
 from ..schema import TABLES, conform
 from ..sources import base as sources
 from ..sources import osm, web, wiki
@@ -77,6 +78,14 @@ def geo_polygon(spark, d):
     return predicates.base(a.places(spark, d, WIDE), REGION).select("id")
 
 
+@query(
+    f"WITH {sql_places(WIDE)}, {a.SQL_JAGGED} SELECT id FROM (SELECT id, k, source, count(*) AS n FROM places JOIN edges ON (ya > lat) <> (yb > lat) AND lng < (xb - xa) * (lat - ya) / (yb - ya) + xa GROUP BY ALL) WHERE n % 2 = 1"
+)
+def geo_ring(spark, d):
+    """A ring of 50 000 vertices: points meet their strip, and only those near the border test edges."""
+    return cover.in_ring(a.places(spark, d, WIDE), a.jagged(), "inside").where("inside").select("id")
+
+
 _GRID = geo.grid_for(BOX, 75.0)
 _TILE = f"(least({_GRID[1] - 1}, greatest(0, CAST(floor((lat - {BOX[0]}::DOUBLE) / {(BOX[2] - BOX[0]) / _GRID[1]!r}::DOUBLE) AS BIGINT))) * {_GRID[0]} + least({_GRID[0] - 1}, greatest(0, CAST(floor((lng - ({BOX[1]})::DOUBLE) / {(BOX[3] - BOX[1]) / _GRID[0]!r}::DOUBLE) AS BIGINT))))"
 
@@ -618,9 +627,16 @@ def stored_top(spark, d):
     return page.select("id", F.row_number().over(Window.orderBy(*search.rank_order())).cast("long").alias("n"))
 
 
-@query("SELECT a AS term, b AS synonym FROM (SELECT unnest(g) AS a, g FROM (SELECT unnest([['restaurant','eatery','dining','diner'],['bar','pub','tavern'],['brewery','taproom','brewpub'],['cafe','coffee shop','coffeehouse'],['trail','trailhead','hiking'],['hotel','lodging','motel','inn'],['museum','gallery'],['campground','camping','campsite'],['ski area','ski resort','ski hill']]) AS g)), unnest(g) AS u(b) WHERE a <> b")
+@query(
+    "WITH g AS (SELECT n_regionkey AS k, lower(n_name) AS name FROM nation UNION SELECT n_regionkey, lower(r_name) FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT 100 + p_size, lower(p_brand) FROM part) "
+    "SELECT DISTINCT a.name AS term, b.name AS synonym FROM g AS a JOIN g AS b ON a.k = b.k AND a.name <> b.name"
+)
 def synonym_map(spark, d):
-    return REGION.synonym_table(spark).select("term", F.explode("synonyms").alias("synonym"))
+    """Groups of names that mean the same: nations with their region, brands that come in one size."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    groups = n.groupBy("n_regionkey").agg(F.concat(F.collect_list("n_name"), F.array(F.concat(F.lit(" "), F.first("r_name")), F.lit(" "))).alias("names")).select("names")
+    brands = table(spark, d, "part").groupBy("p_size").agg(F.collect_set("p_brand").alias("names")).select("names")
+    return synonym_pairs(groups.union(brands)).select("term", F.explode("synonyms").alias("synonym"))
 
 
 @query(f"WITH {sql_places()}, {SQL_EVENTS} SELECT kind, id FROM (SELECT 'place' AS kind, id, lat, lng FROM places UNION ALL SELECT 'event', id, lat, lng FROM places_e) WHERE {sql_haversine('lat', 'lng', DLAT, DLNG)} <= 40000 ORDER BY kind, id LIMIT 100")

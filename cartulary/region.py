@@ -13,16 +13,18 @@ from .functions import geo
 from .schema import struct
 
 # fixed values: words and phrases that a region's vocabulary replaces as a whole
-STOP_WORDS = "a an and at for in is it near of on or the to with where".split()
+STOP_WORDS = ["a", "an", "and", "at", "for", "in", "is", "it", "near", "of", "on", "or", "the", "to", "with", "where"]
 SYNONYMS = [
+    ["vineyard", "winery", "wine tasting", "tasting room"],
     ["restaurant", "eatery", "dining", "diner"],
     ["bar", "pub", "tavern"],
-    ["brewery", "taproom", "brewpub"],
-    ["cafe", "coffee shop", "coffeehouse"],
+    ["brewery", "taproom", "brewpub", "beer garden"],
+    ["cafe", "coffee shop", "coffeehouse", "espresso"],
     ["trail", "trailhead", "hiking"],
     ["hotel", "lodging", "motel", "inn"],
     ["museum", "gallery"],
     ["campground", "camping", "campsite"],
+    ["hot springs", "hot spring", "thermal springs"],
     ["ski area", "ski resort", "ski hill"],
 ]
 
@@ -126,5 +128,10 @@ class Region:
                 out.setdefault(name, set()).update(names - {name})
         return {k: sorted(v) for k, v in sorted(out.items()) if v}
 
-    def synonym_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.synonym_map().items()), "term string, synonyms array<string>")
+
+def synonym_pairs(groups: DataFrame) -> DataFrame:
+    """(term, synonyms) of groups (names: array): each entry's other names over all its groups, lower-cased, sorted, without repeats; blanks are no names."""
+    names = F.array_distinct(F.filter(F.transform("names", lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    each = groups.select(names.alias("names")).select(F.explode("names").alias("term"), "names")
+    other = each.select("term", F.explode("names").alias("other")).where("term <> other")
+    return other.groupBy("term").agg(F.array_sort(F.collect_set("other")).alias("synonyms"))

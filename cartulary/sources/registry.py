@@ -36,7 +36,7 @@ class Submissions:
             gone = done.deletes.where(F.col("kind") == kind)
             if not gone.isEmpty():
                 store.delete(f"{kind}s", gone)
-        store.replace("frontier", frontier.queue(store.read("frontier"), done.urls, context.now))
+        store.upsert("frontier", frontier.queue(store.read("frontier"), done.urls, context.now).where(F.col("updated_at") == context.now))
         store.upsert("submissions", done.submissions)
         self.applied = None
 

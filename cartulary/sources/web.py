@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, ids, text
-from ..operators import frontier, geocache
+from ..operators import cover, frontier, geocache
 from ..operators import gazetteer as gaz
 from ..region import Region
 from ..schema import DOCUMENT, conform
@@ -257,13 +257,13 @@ def facts(pages: DataFrame) -> DataFrame:
 
 def _place(rows: DataFrame, region: Region, gazetteer: DataFrame, cache: DataFrame) -> DataFrame:
     """rows (key, lat, lng, address, locality, default_city) with at: where they are and how that is known, else null."""
-    rows = geocache.lookup(rows, cache, region)
+    rows = cover.inside(geocache.lookup(rows, cache, region), region, "_in")
     names = gaz.resolve(rows.select(F.explode(F.array("locality", "default_city")).alias("name")).where("name is not null").distinct(), gazetteer, key="name", name="name")
     town = lambda p: names.select(F.col("name").alias(f"_{p}"), F.struct(F.col("lat"), F.col("lng"), F.lit("city").alias("p"), F.col("city")).alias(f"_{p}_at"))
     rows = rows.join(town("l"), F.col("locality") == F.col("_l"), "left").join(town("d"), F.col("default_city") == F.col("_d"), "left")
-    exact = F.when(geo.is_valid("lat", "lng") & region.inside(), F.struct(F.col("lat"), F.col("lng"), F.lit("exact").alias("p"), F.col("locality").alias("city")))
+    exact = F.when(geo.is_valid("lat", "lng") & F.col("_in"), F.struct(F.col("lat"), F.col("lng"), F.lit("exact").alias("p"), F.col("locality").alias("city")))
     address = F.when(F.col("geo_lat").isNotNull(), F.struct(F.col("geo_lat").alias("lat"), F.col("geo_lng").alias("lng"), F.lit("address").alias("p"), F.col("locality").alias("city")))
-    return rows.withColumn("at", F.coalesce(exact, address, F.col("_l_at"), F.col("_d_at"))).drop("_l", "_d", "_l_at", "_d_at", "geo_lat", "geo_lng", "geo_known", "lat", "lng")
+    return rows.withColumn("at", F.coalesce(exact, address, F.col("_l_at"), F.col("_d_at"))).drop("_l", "_d", "_l_at", "_d_at", "geo_lat", "geo_lng", "geo_known", "lat", "lng", "_in")
 
 
 def to_docs(pages: DataFrame, region: Region, gazetteer: DataFrame, cache: DataFrame, now: int) -> DataFrame:
@@ -311,22 +311,28 @@ class Crawl:
 
     name, interval_s = "crawl", 10 * 60
 
-    def __init__(self, path: str, seeds: list[tuple[str, str | None]], pages: int = PAGES_A_RUN):
-        self.path, self.seeds, self.pages = path, seeds, pages
+    def __init__(self, path: str, seeds: list[tuple[str, str | None]], pages: int = PAGES_A_RUN, rules: str | None = None):
+        """path: landed pages (url, html); rules: landed robots rules (host, prefix, allow), if any."""
+        self.path, self.seeds, self.pages, self.rules = path, seeds, pages, rules
 
     def fetch(self, context, cursor) -> Batch:
-        """Reads and replaces the frontier table of context.store."""
+        """Claims from the frontier table of context.store and writes the rows that change. Urls that robots rules forbid end as errors."""
         spark, store, now = context.spark, context.store, context.now
         seeds = spark.createDataFrame([(u, 0, c) for u, c in self.seeds], "url string, depth int, default_city string")
         table = frontier.add(store.read("frontier"), seeds, now)
         claimed, taken = frontier.claim(table, self.pages, now)
         if claimed.isEmpty():
-            store.replace("frontier", frontier.reseed(table, seeds, now))
+            store.upsert("frontier", frontier.reseed(table, seeds, now).where(F.col("updated_at") == now))
             return Batch(spark.createDataFrame([], DOCUMENT), None, True)
+        may = claimed
+        if self.rules:
+            may = frontier.allowed(claimed, spark.read.schema("host STRING, prefix STRING, allow BOOLEAN").json(self.rules))
         landed = spark.read.schema("url STRING, html STRING").json(self.path)
-        found = facts(claimed.select("url", "depth", "default_city").join(landed, "url"))
+        parsed = f"{store.root}/_crawl"  # parsed once, then read for results, links and documents
+        facts(may.select("url", "depth", "default_city").join(landed, "url")).write.mode("overwrite").parquet(parsed)
+        found = spark.read.schema(FACTS).parquet(parsed)
         results = claimed.join(found.select("url").distinct().withColumn("_ok", F.lit(True)), "url", "left").select("url", F.when(F.col("_ok"), frontier.DONE).otherwise(frontier.ERROR).alias("new_status"))
         after = frontier.add(frontier.finish(taken, results, now), next_links(found), now)
         docs = to_docs(found, context.region, context.gazetteer, store.read("geocache"), now)
-        store.replace("frontier", after)
+        store.upsert("frontier", after.where(F.col("updated_at") == now))
         return Batch(docs, None)

@@ -8,8 +8,11 @@ checkpoint is the cursor, ``availableNow`` is one pass over what is there.
 from __future__ import annotations
 
 import json
+import random
 import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import ids
-from ..operators import ingest
+from ..operators import frontier, ingest
 from ..operators.store import Store
 from ..region import Region
 from ..schema import KINDS
@@ -52,14 +55,15 @@ def ingest_batch(ctx: Context, docs: DataFrame) -> dict[str, int]:
         part = store.keys(f"{k}s", batch).select(F.lit(k).alias("kind"), "id", "content_hash")
         stored = part if stored is None else stored.union(part)
     planned = ingest.plan(docs, ctx.region, ctx.gazetteer, store.read("suppressions"), stored, ctx.now)
-    path = f"{store.root}/_batch"
-    planned.write.mode("overwrite").parquet(path)
+    path = f"{store.root}/_batches/{uuid.uuid4().hex}"
+    planned.write.parquet(path)
     planned = ctx.spark.read.schema(planned.schema).parquet(path)
     stats = ingest.stats(planned).first().asDict()
     counts = {r.kind: r.n for r in planned.where("reason is null").groupBy("kind").agg(F.count("*").alias("n")).collect()}
     for name, rows in ingest.route(planned).items():
         if counts.get(name[:-1]):
             store.upsert(name, rows)
+    store.drop(path)
     return stats
 
 
@@ -93,27 +97,40 @@ def run_once(ctx: Context, source: Source) -> dict[str, int]:
 
 
 def run_all(store: Store, region: Region, sources: list[Source], now: int | None = None) -> dict[str, dict[str, int] | str]:
-    """Every source once, in order; one that fails does not stop the others."""
-    out: dict[str, dict[str, int] | str] = {}
-    for s in sources:
+    """Every source once, side by side; one that fails does not stop the others. Spark runs their jobs together, and their writes line up behind each other."""
+
+    def one(s: Source) -> dict[str, int] | str:
         try:
-            out[s.name] = run_once(context(store, region, now), s)
+            return run_once(context(store, region, now), s)
         except Exception as e:  # noqa: BLE001  recorded in metrics by run_once
-            out[s.name] = f"{type(e).__name__}: {e}"
-    return out
+            return f"{type(e).__name__}: {e}"
+
+    with ThreadPoolExecutor(max(1, len(sources))) as pool:
+        return dict(zip([s.name for s in sources], pool.map(one, sources), strict=True))
+
+
+def requeue(store: Store, now: int) -> None:
+    """What a run that died had claimed is pending again; called when a schedule begins."""
+    back = frontier.requeue_stale(store.read("frontier"), now)
+    store.upsert("frontier", back.where(F.col("updated_at") == now))
 
 
-def schedule(store: Store, region: Region, sources: list[Source], stop: Callable[[], bool], sleep=time.sleep, clock=time.time) -> None:
-    """Run sources at their own intervals until stop() says so; after errors a source waits longer."""
+def schedule(store: Store, region: Region, sources: list[Source], stop: Callable[[], bool], sleep=time.sleep, clock=time.time, jitter: Callable[[], float] = random.random) -> None:
+    """Run each source at its own interval until stop() says so; after errors it waits longer, by a random tenth more. No source waits for another."""
+    requeue(store, int(clock()))
     due = {s.name: clock() for s in sources}
     errors = dict.fromkeys(due, 0)
-    while not stop():
-        for s in sources:
-            if clock() >= due[s.name] and not stop():
-                ok = isinstance(run_all(store, region, [s])[s.name], dict)
-                errors[s.name] = 0 if ok else errors[s.name] + 1
-                due[s.name] = clock() + backoff(s.interval_s, errors[s.name])
-        sleep(max(0.0, min(1.0, min(due.values()) - clock())))
+    running: dict[str, Future] = {}
+    with ThreadPoolExecutor(max(1, len(sources))) as pool:
+        while not stop():
+            for s in sources:
+                if s.name in running and running[s.name].done():
+                    ok = isinstance(running.pop(s.name).result()[s.name], dict)
+                    errors[s.name] = 0 if ok else errors[s.name] + 1
+                    due[s.name] = clock() + backoff(s.interval_s, errors[s.name], jitter())
+                if s.name not in running and clock() >= due[s.name] and not stop():
+                    running[s.name] = pool.submit(run_all, store, region, [s])
+            sleep(max(0.05, min(1.0, min(due.values()) - clock())))
 
 
 def ingest_stream(store: Store, region: Region, path: str, schema: str, to_docs: Callable[[DataFrame, int], DataFrame], checkpoint: str, interval: str | None = None, files_a_batch: int = 1000, fmt: str = "json") -> StreamingQuery:
@@ -121,7 +138,7 @@ def ingest_stream(store: Store, region: Region, path: str, schema: str, to_docs:
     raw = store.spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_a_batch).load(path)
 
     def each(batch: DataFrame, _: int) -> None:
-        ctx = context(Store(batch.sparkSession, store.root, store.fan), region)
+        ctx = context(Store(batch.sparkSession, store.root, store.fan, store.keep_s), region)
         ingest_batch(ctx, to_docs(batch, ctx.now))
 
     writer = raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
