@@ -118,10 +118,10 @@ def sized(docs: DataFrame) -> DataFrame:
     return boxed(docs).withColumns({"m_size": n_words("row.text"), "m_src": F.col("row.source").cast("string"), "m_key": key})
 
 
-def planned(rows: DataFrame, work: Work, weights=(5, 2, 1), ratio: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = 17) -> DataFrame:
-    """rows (with m_size, m_src, m_key) with source_size, target and shards, one entry for each time that they are drawn."""
-    spark = rows.sparkSession
-    sizes = {r.m_src: r.n or 0 for r in rows.groupBy("m_src").agg(F.sum("m_size").alias("n")).collect()}
+def planned(rows: DataFrame, work: Work, narrow: DataFrame | None = None, weights=(5, 2, 1), ratio: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = 17) -> DataFrame:
+    """rows (with m_size, m_src, m_key) with source_size, target and shards, one entry for each time that they are drawn. narrow: these three columns alone, stored."""
+    spark, narrow = rows.sparkSession, rows if narrow is None else narrow
+    sizes = {r.m_src: r.n or 0 for r in narrow.groupBy("m_src").agg(F.sum("m_size").alias("n")).collect()}
     goal, total = targets(sizes, weights, ratio, most), sum(sizes.values())
     names = list(goal)
     shards = shards or max(LEAST, total // SHARD)
@@ -129,11 +129,15 @@ def planned(rows: DataFrame, work: Work, weights=(5, 2, 1), ratio: float = 1.5,
     copies = [int(goal[s] // sizes[s]) if sizes[s] else 0 for s in names]
     known = [(k, s, sizes[s], float(goal[s]), max(1, sizes[s] // words), copies[k], goal[s] - copies[k] * sizes[s]) for k, s in enumerate(names)]
     sources = spark.createDataFrame(known, "k int, m_source string, source_size long, target double, blocks long, copies int, rest double")
-    rows = rows.join(sources, rows["m_src"].eqNullSafe(sources["m_source"])).drop("m_source")
-    rows = rows.withColumn("m_blk", F.pmod(F.xxhash64("m_key", F.lit(seed)), F.col("blocks")))
+
+    def in_blocks(these: DataFrame) -> DataFrame:
+        these = these.join(sources, these["m_src"].eqNullSafe(sources["m_source"])).drop("m_source")
+        return these.withColumn("m_blk", F.pmod(F.xxhash64("m_key", F.lit(seed)), F.col("blocks")))
+
+    narrow = in_blocks(narrow)
 
     # blocks in permuted order, and where each source's words reach what is left of its target
-    table = work.put("blocks", rows.where("m_size > 0").groupBy("k", "m_blk", "copies", "rest").agg(F.sum("m_size").alias("words")))
+    table = work.put("blocks", narrow.where("m_size > 0").groupBy("k", "m_blk", "copies", "rest").agg(F.sum("m_size").alias("words")))
     order = Window.partitionBy("k").orderBy(F.xxhash64("k", "m_blk", F.lit(seed + 1)), "m_blk")
     ranked = table.withColumns({"rank": F.row_number().over(order) - 1, "upto": F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     ranked = work.put("ranked", ranked)
@@ -142,7 +146,7 @@ def planned(rows: DataFrame, work: Work, weights=(5, 2, 1), ratio: float = 1.5,
 
     # documents of the blocks around that place: up to the last NEAR before it all are drawn, the nearest subset of the others
     start = ranked.where("near").groupBy("k").agg(F.min(F.struct("rank", F.col("upto") - F.col("words"))).alias("s")).select("k", F.col("s.col2").alias("before"))
-    near = rows.select("k", "m_blk", "m_key", "m_size").where("m_size > 0").join(ranked.where("near").select("k", "m_blk", "rank", "rest"), ["k", "m_blk"])
+    near = narrow.select("k", "m_blk", "m_key", "m_size").where("m_size > 0").join(ranked.where("near").select("k", "m_blk", "rank", "rest"), ["k", "m_blk"])
     near = near.groupBy("k", "m_blk", "m_key", "rank", "rest").agg(F.sum("m_size").alias("size")).join(start, "k")
     walk = Window.partitionBy("k").orderBy("rank", F.xxhash64("m_key", F.lit(seed + 2)), "m_key")
     near = near.withColumns({"i": F.row_number().over(walk), "upto": F.col("before") + F.sum("size").over(walk.rowsBetween(Window.unboundedPreceding, 0))})
@@ -177,7 +181,7 @@ def planned(rows: DataFrame, work: Work, weights=(5, 2, 1), ratio: float = 1.5,
     deal = draws.repartition("k", "place").mapInArrow(dealt, "k int, m_blk long, extra boolean, shard int")
     plan = deal.groupBy("k", "m_blk").agg(F.array_sort(F.collect_list(F.when(~F.col("extra"), F.col("shard")))).alias("always"), F.max(F.when(F.col("extra"), F.col("shard"))).alias("once"))
     plan = work.put("plan", plan.join(ranked.select("k", "m_blk", "full"), ["k", "m_blk"]))
-    out = rows.join(plan, ["k", "m_blk"], "left").join(picks.select("k", "m_key", F.lit(True).alias("picked")), ["k", "m_key"], "left")
+    out = in_blocks(rows).join(plan, ["k", "m_blk"], "left").join(picks.select("k", "m_key", F.lit(True).alias("picked")), ["k", "m_key"], "left")
     once = F.when(F.col("once").isNotNull() & (F.col("full") | F.col("picked")), F.array("once")).otherwise(F.array().cast("array<int>"))
     dealt_to = F.when(F.col("m_size") > 0, F.concat(F.coalesce("always", F.array().cast("array<int>")), once)).otherwise(F.array().cast("array<int>"))
     return out.withColumn("shards", dealt_to)
@@ -186,7 +190,8 @@ def planned(rows: DataFrame, work: Work, weights=(5, 2, 1), ratio: float = 1.5,
 def mix_sources(docs: DataFrame, seed: int = 17, work: Work | None = None, **how) -> DataFrame:
     """The mix itself: every drawn document, as often as drawn, shard by shard in shuffled order."""
     work = work or Work(docs.sparkSession)
-    out = planned(sized(docs), work, seed=seed, **how).select("row", F.posexplode("shards").alias("copy", "shard"))
+    narrow = work.put("sized", sized(docs).select("m_size", "m_src", "m_key"))
+    out = planned(sized(docs), work, narrow, seed=seed, **how).select("row", F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64("row.doc_id", "copy", F.lit(seed))
     return unboxed(out.repartition("shard", F.pmod(order, F.lit(16))).sortWithinPartitions("shard", order))
 
