@@ -15,7 +15,7 @@ from ..operators import submissions as subs
 from ..region import synonym_pairs
 from ..schema import TABLES, conform
 from ..sources import base as sources
-from ..sources import osm, web, wiki
+from ..sources import landing, osm, web, wiki
 from ..streaming import ratelimit
 from . import adapters as a
 from . import api
@@ -459,6 +459,15 @@ def tile_scan(spark, d):
     return sources.slice_of(p, "tile", 52, 3, _GRID[0] * _GRID[1]).select("id")
 
 
+@query(ORACLE["tile_scan"])
+def tile_folders(spark, d):
+    """The same slice from rows that landed in folders by tile; only its folders are read."""
+    path = f"{stores.scratch(spark)}/tiles"
+    landing.land(a.places(spark, d).select("id", "lat", "lng"), path, geo.tile_of("lat", "lng", BOX, *_GRID))
+    n = _GRID[0] * _GRID[1]
+    return landing.landed(spark, path, "id STRING", [(52 + k) % n for k in range(3)]).select("id")
+
+
 _POINTS = sources.grid_points(BOX, 75.0)[:25]
 
 

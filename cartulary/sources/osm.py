@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, ids, text
 from ..region import Region
 from ..schema import DOCUMENT, conform
+from . import landing
 from .base import Batch, advance, cursor_int_of
 
 SCHEMA = "type STRING, id BIGINT, lat DOUBLE, lon DOUBLE, center STRUCT<lat: DOUBLE, lon: DOUBLE>, tags MAP<STRING, STRING>"
@@ -88,19 +89,30 @@ def to_places(elements: DataFrame, now: int) -> DataFrame:
 
 
 class Overpass:
-    """One tile a run over landed elements; a sweep ends when the last tile is read."""
+    """One tile a run over landed elements; a sweep ends when the last tile is read.
+
+    tiled: path holds folders by tile (``land``), of which a run reads one; else files of JSON lines, all of which it reads.
+    """
 
     name, interval_s = "overpass", 20 * 60
 
-    def __init__(self, path: str, tile_km: float = TILE_KM):
-        self.path, self.tile_km = path, tile_km
+    def __init__(self, path: str, tile_km: float = TILE_KM, tiled: bool = False):
+        self.path, self.tile_km, self.tiled = path, tile_km, tiled
+
+    def _tile(self, region: Region) -> Column:
+        return geo.tile_of(F.coalesce("lat", "center.lat"), F.coalesce("lon", "center.lon"), region.bbox, *region.grid(self.tile_km))
+
+    def land(self, elements: DataFrame, region: Region) -> None:
+        """Put fetched elements into the folders of their tiles."""
+        landing.land(elements, self.path, self._tile(region))
 
     def fetch(self, context, cursor) -> Batch:
         region: Region = context.region
         cols, rows = region.grid(self.tile_km)
         start, after, swept = advance(cursor_int_of(cursor, "tile"), 1, cols * rows)
-        found = read(context.spark, self.path).where(wanted())
-        tile = geo.tile_of(F.coalesce("lat", "center.lat"), F.coalesce("lon", "center.lon"), region.bbox, cols, rows)
-        first = Window.partitionBy("_tile").orderBy("type", "id")
-        mine = found.withColumn("_tile", tile).where(F.col("_tile") == start).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= TILE_MOST)
-        return Batch(to_places(mine.drop("_tile", "_n"), context.now), {"tile": after}, swept)
+        if self.tiled:
+            found = landing.landed(context.spark, self.path, SCHEMA, [start]).drop("tile")
+        else:
+            found = read(context.spark, self.path).where(self._tile(region) == start)
+        mine = found.where(wanted()).orderBy("type", "id").limit(TILE_MOST)
+        return Batch(to_places(mine, context.now), {"tile": after}, swept)

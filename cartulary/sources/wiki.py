@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, ids, text
 from ..region import Region
 from ..schema import DOCUMENT, conform
+from . import landing
 from .base import Batch, advance, cursor_int_of, grid_points
 
 HITS = "pageid BIGINT, lat DOUBLE, lon DOUBLE"
@@ -80,12 +81,20 @@ def to_docs(hits: DataFrame, pages: DataFrame, types: DataFrame, labels: DataFra
 
 
 class Wikipedia:
-    """A slice of grid points a run over landed tables: coordinates, pages, types and labels."""
+    """A slice of grid points a run over landed tables: coordinates, pages, types and labels.
+
+    tiled: coordinates lie in folders by tile (``land``), of which a run reads those that its points reach.
+    """
 
     name, interval_s = "wikipedia", 15 * 60
 
-    def __init__(self, root: str, points: int = POINTS_A_RUN, grid_km: float = GRID_KM):
-        self.root, self.points, self.grid_km = root.rstrip("/"), points, grid_km
+    def __init__(self, root: str, points: int = POINTS_A_RUN, grid_km: float = GRID_KM, tiled: bool = False):
+        self.root, self.points, self.grid_km, self.tiled = root.rstrip("/"), points, grid_km, tiled
+
+    def land(self, coordinates: DataFrame, region: Region) -> None:
+        """Put fetched coordinates into the folders of their tiles."""
+        tile = geo.tile_of("lat", "lon", region.bbox, *region.grid(self.grid_km))
+        landing.land(coordinates, f"{self.root}/coordinates", tile)
 
     def fetch(self, context, cursor) -> Batch:
         region: Region = context.region
@@ -93,5 +102,11 @@ class Wikipedia:
         start, after, swept = advance(cursor_int_of(cursor, "point"), self.points, len(every))
         mine = [every[(start + k) % len(every)] for k in range(min(self.points, len(every)))]
         load = lambda name, ddl: context.spark.read.schema(ddl).json(f"{self.root}/{name}")
-        hits = hits_near(load("coordinates", HITS), mine)
+        if self.tiled:
+            reach = [b for p in mine for b in geo.circle_boxes(p, RADIUS_M)]
+            tiles = landing.tiles_meeting(reach, region.bbox, *region.grid(self.grid_km))
+            known = landing.landed(context.spark, f"{self.root}/coordinates", HITS, tiles).drop("tile")
+        else:
+            known = load("coordinates", HITS)
+        hits = hits_near(known, mine)
         return Batch(to_docs(hits, load("pages", PAGES), load("types", TYPES), load("labels", LABELS), context.now), {"point": after}, swept)

@@ -180,3 +180,37 @@ print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries(), 'op3_fix
 """
     said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=300, check=True).stdout.split()
     assert int(said[0]) > 90 and said[2:] == {"cartulary.llm": ["False", "False"], "corpus_pipeline": ["False", "True"], "zstandard": ["False", "False"]}[missing]
+
+
+def test_a_run_reads_the_folders_of_its_slice(spark, tmp_path):
+    from cartulary.sources import landing
+    from cartulary.sources.base import grid_points
+    from cartulary.sources.osm import SCHEMA, Overpass
+    from cartulary.sources.wiki import HITS, Wikipedia
+
+    rng = random.Random(9)
+    rows = [{"type": "node", "id": i, "lat": rng.uniform(-60, 60), "lon": rng.uniform(-60, 60), "tags": {"name": f"N{i}", "amenity": "cafe"}} for i in range(300)]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    plain, tiled = Overpass(f"file://{tmp_path}/raw", 6000), Overpass(f"file://{tmp_path}/tiles", 6000, tiled=True)
+    tiled.land(spark.read.schema(SCHEMA).json(f"{tmp_path}/raw"), BOX)
+    ctx = runner.Context(spark, None, BOX, None, 7)
+    files, cursor = set(), None
+    for _ in range(math.prod(BOX.grid(6000))):
+        a, b = plain.fetch(ctx, cursor), tiled.fetch(ctx, cursor)
+        assert (a.cursor, a.swept) == (b.cursor, b.swept) and sorted(r.id for r in a.docs.collect()) == sorted(r.id for r in b.docs.collect())
+        tile = (cursor or {"tile": 0})["tile"]
+        read = {r[0] for r in landing.landed(spark, tiled.path, SCHEMA, [tile]).select(F.input_file_name()).distinct().collect()}
+        assert "PartitionFilters: [tile" in b.docs._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [isnotnull(tile" in b.docs._jdf.queryExecution().executedPlan().toString()
+        assert not read & files  # no file is read by two slices
+        files |= read
+        cursor = a.cursor
+    assert a.swept and cursor == {"tile": 0} and len(files) == len(list((tmp_path / "tiles").rglob("*.parquet")))
+    wiki = Wikipedia(f"file://{tmp_path}/wiki", points=3, grid_km=2000, tiled=True)
+    where = [(i, rng.uniform(-60, 60), rng.uniform(-60, 60)) for i in range(200)] + [(1000 + k, *p) for k, p in enumerate(grid_points(BOX.bbox, 2000))]
+    wiki.land(spark.createDataFrame([(i, a, b) for i, a, b in where], "pageid long, lat double, lon double").select(*(F.col(f.name) if f.name in ("pageid", "lat", "lon") else F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], HITS).schema)), BOX)
+    for name, row in (("pages", {"pageid": 1000, "title": "T", "extract": "words"}), ("types", {}), ("labels", {})):
+        (tmp_path / "wiki" / name).mkdir()
+        (tmp_path / "wiki" / name / "a.json").write_text(json.dumps(row))
+    batch = wiki.fetch(ctx, None)
+    assert [r.title for r in batch.docs.collect()] == ["T"] and batch.cursor == {"point": 3}
