@@ -284,6 +284,11 @@ def bucket_count(size: int, each: int = 8 << 20) -> int:
     return 1 << max(3, (max(1, size // each) - 1).bit_length())
 
 
+def task_count(units: int, each: int) -> int:
+    """Tasks for so many buckets or megabytes of chunks, which a task goes through one by one: as many as there are up to 64, beyond that each takes several."""
+    return max(8, min(units, max(64, units // each)))
+
+
 def split_keys(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bounds of the buckets within ascending keys; a bucket is a range of the key space."""
     first = np.arange(buckets, dtype=np.uint64) << np.uint64(64 - buckets.bit_length() + 1)
@@ -337,7 +342,7 @@ def answered(asks: DataFrame, buckets: int, vals: dict[int, np.dtype | None], an
         if held:
             yield out()
 
-    return asks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part", "chunk").mapInArrow(work, REPLY_SCHEMA)
+    return asks.repartition(task_count(buckets, 64), "bucket").sortWithinPartitions("bucket", "part", "chunk").mapInArrow(work, REPLY_SCHEMA)
 
 
 def with_replies(chunks: DataFrame, replies: DataFrame, size: int, work: Callable[[Chunk, dict[int, list[tuple[int, bytes]]]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -360,7 +365,7 @@ def with_replies(chunks: DataFrame, replies: DataFrame, size: int, work: Callabl
         if chunk is not None:
             yield from work(chunk, got)
 
-    tasks = max(8, size // (12 << 20))
+    tasks = task_count(size // (12 << 20), 24)
     return left.unionByName(right).repartition(tasks, "chunk").sortWithinPartitions("chunk", "part", "bucket").mapInArrow(run, schema)
 
 

@@ -67,7 +67,7 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray, np.n
 
 
 def training_rows(docs: DataFrame) -> list:
-    """A bounded sample of labelled texts, each language at its own rate."""
+    """A bounded sample of labelled texts, each language at its own rate: texts of up to LONGEST characters, and of a language that has none, pieces of LONGEST characters from anywhere in a text."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     short = F.length("text") <= LONGEST
     counts = rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count("*").alias("all")).orderBy("lang").collect()
@@ -76,8 +76,10 @@ def training_rows(docs: DataFrame) -> list:
     per = max(1, min(PER_LANG, FIT_ROWS // len(counts)))
     spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, (1.2 * per + 8) / (r.short or r["all"])))])
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.length("text") - LONGEST) + 1
+    piece = F.when(short, F.col("text")).otherwise(F.substring(F.col("text"), begin.cast("int"), LONGEST))
     only_long = F.array(*[F.lit(r.lang) for r in counts if not r.short]).cast("array<string>")
-    picked = rows.where((short | F.array_contains(only_long, F.col("lang"))) & (spot < F.element_at(rate, F.col("lang")))).select("lang", "text", spot.alias("spot"))
+    picked = rows.where((short | F.array_contains(only_long, F.col("lang"))) & (spot < F.element_at(rate, F.col("lang")))).select("lang", piece.alias("text"), spot.alias("spot"))
     # never more than a bounded number of rows to the driver, whatever the hash does
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "text"))
     return picked.withColumn("k", rank).where(F.col("k") <= per).orderBy("lang", "k").collect()

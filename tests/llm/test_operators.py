@@ -72,6 +72,10 @@ def test_encodings_round_trip():
     assert cuts[0] == 0 and cuts[-1] == len(keys) and all((keys[a:b] >> np.uint64(58) == i).all() for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
 
 
+def test_tasks_take_several_buckets_where_there_are_many():
+    assert [common.task_count(n, 64) for n in (0, 8, 64, 128, 1 << 24)] == [8, 8, 64, 64, 1 << 18]
+
+
 def test_chunk_words_are_split_words():
     blobs = [b"Ab  c\n", b"", b"x", b"\xc3\xa9\xc2\xa0y z", b"  ", b"q"]
     ends = np.cumsum([len(b) for b in blobs])
@@ -609,6 +613,15 @@ def test_language_id(spark):
     assert langid.identify(no_docs(spark), docs).count() == 0
 
 
+def test_language_id_collects_a_bounded_text(spark):
+    """A language of nothing but very long texts is learned from pieces of them."""
+    rows = [(i, ("eau ou é qu " if i % 2 else "the on an re ") * 30_000, None, "fr" if i % 2 else "en", 0) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    learned = langid.training_rows(docs)
+    assert {r.lang for r in learned} == {"en", "fr"} and max(len(r.text) for r in learned) == langid.LONGEST
+    assert {(r.doc_id % 2, r.lang_pred) for r in langid.identify(docs, docs).collect()} == {(0, "en"), (1, "fr")}
+
+
 # ---------------------------------------------------------------- 7
 
 
