@@ -296,11 +296,14 @@ def search(docs: DataFrame, query: str | None, stop_words=(), synonyms=None, ind
     return docs.join(match(index, found, len(terms)), ["kind", "id"])
 
 
-def distinct_articles(docs: DataFrame, sort: list[Column] | None = None) -> DataFrame:
-    """Of articles with one url, the best; rows without a url, and other kinds, all stay."""
+def distinct_articles(docs: DataFrame) -> DataFrame:
+    """Of articles with one url, the best by ``rank_order``; rows without a url, and other kinds, all stay. A minimum a url, partly taken before rows meet, so no task gets all rows of a url."""
     key = F.when(F.col("kind") == "article", F.coalesce("url", "id")).otherwise(F.col("id"))
-    w = Window.partitionBy("kind", key).orderBy(*rank_order(sort))
-    return docs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    newest = F.when(F.col("kind") == "article", -F.col("updated_at"))
+    rank = F.struct(-F.col("words"), "typos", "proximity", "attribute", -F.col("exact"), F.coalesce(newest, F.lit((1 << 63) - 1)), "id")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    best = docs.select("kind", key.alias("_key"), row.alias("_row"), rank.alias("_rank")).groupBy("kind", "_key").agg(F.min_by("_row", "_rank").alias("_row"))
+    return best.select("_row.*")
 
 
 def page(docs: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:

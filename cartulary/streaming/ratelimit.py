@@ -3,6 +3,8 @@ stateful operator and no window aggregate. State per key: the accepted times of
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,9 +29,29 @@ def _decide(frame: pd.DataFrame, times: list[float], budget: int, window: float)
 
 
 def limit(requests: DataFrame, budget: int, window: float = WINDOW_S) -> DataFrame:
-    """requests (key, id, at) with accepted, over a whole table. A key's requests are judged in one task, in time order."""
-    judge = lambda key, frame: _decide(frame, [], budget, window)[0]
-    return requests.select("key", "id", "at").groupBy("key").applyInPandas(judge, "key string, id string, at double, accepted boolean")
+    """requests (key, id, at) with accepted, over a whole table; requests of one time in the order of their ids.
+
+    Spark sorts each key's requests, which may spill, and a task goes through them in order: it holds the accepted times of one
+    window (at most the budget), however many requests a key has. A null key is a key.
+    """
+    most = max(1, budget)
+
+    def judge(frames):
+        now, held, first = None, deque(), True
+        for frame in frames:
+            said = []
+            for key, at in zip(frame["key"].tolist(), frame["at"].tolist(), strict=True):
+                if first or key != now:
+                    now, held, first = key, deque(), False
+                while held and at - held[0] >= window:
+                    held.popleft()
+                said.append(len(held) < most)
+                if said[-1]:
+                    held.append(at)
+            yield frame.assign(accepted=said)
+
+    rows = requests.select("key", "id", "at").repartition("key").sortWithinPartitions("key", "at", "id")
+    return rows.mapInPandas(judge, "key string, id string, at double, accepted boolean")
 
 
 def limit_stream(requests: DataFrame, budget: int, window: float = WINDOW_S, expire: bool = True) -> DataFrame:
