@@ -183,6 +183,12 @@ def stored_expansions(index: Index, terms: list[str], synonyms: dict[str, list[s
     return other.union(spark.createDataFrame(exact + _synonym_rows(terms, synonyms), "q int, term string, edits int, how int, phrase string, step int"))
 
 
+def bounded(found: DataFrame) -> DataFrame:
+    """Expansions as few rows that are broadcast or, if very many, as a side of an ordinary join; never the postings, whatever files of few bytes make Spark expect."""
+    rows = found.limit(MANY + 1).collect()
+    return F.broadcast(found.sparkSession.createDataFrame(rows, found.schema)) if len(rows) <= MANY else found.hint("merge")
+
+
 def _named(found: DataFrame) -> list[str] | None:
     """The terms found, unless they are very many."""
     terms = [t for t, in found.select("term").distinct().limit(MANY + 1).collect()]
@@ -215,7 +221,7 @@ def top(docs: DataFrame, index: Index, query: str, k: int, stop_words=(), synony
     The blocks with the best bounds give a page; its last row rules out the blocks whose bound it beats.
     """
     terms = query_terms(query, list(stop_words))
-    found = stored_expansions(index, terms, synonyms)
+    found = bounded(stored_expansions(index, terms, synonyms))
     posts = index.posts(_named(found))
     bounds = block_bounds(index, found)
     block = ["kind", "_seq", "block"]
@@ -225,7 +231,7 @@ def top(docs: DataFrame, index: Index, query: str, k: int, stop_words=(), synony
         rows = posts
         if len(few) <= MANY:
             rows = rows.where(F.col("block").isin([b.block for b in few])) if few else rows.limit(0)
-        out = docs.join(match(rows.join(blocks.select(*block), block, "left_semi"), found, len(terms)), ["kind", "id"])
+        out = matching(docs, match(rows.join(blocks.select(*block), block, "left_semi"), found, len(terms)))
         return distinct_articles(out) if distinct else out
 
     best = bounds.orderBy(*(F.desc(n) if more else F.asc(n) for n, more in _BOUND), *block).limit(WAVE)
@@ -235,6 +241,11 @@ def top(docs: DataFrame, index: Index, query: str, k: int, stop_words=(), synony
     return hits(bounds.where(reach)), counts
 
 
+def matching(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """docs that match, with their ranks. Either side can be all documents, whatever files of few bytes make Spark expect: never broadcast."""
+    return docs.join(matches.hint("merge"), ["kind", "id"])
+
+
 def match(index: DataFrame, found: DataFrame, n_terms: int) -> DataFrame:
     """(kind, id, words, typos, proximity, attribute, exact) of every document that any term matches."""
     hits = index.join(found, "term")
@@ -289,11 +300,11 @@ def search(docs: DataFrame, query: str | None, stop_words=(), synonyms=None, ind
         zero = {c: F.lit(0) for c in ("words", "typos", "proximity", "attribute", "exact")}
         return docs.withColumns(zero)
     if isinstance(index, Index):
-        found = stored_expansions(index, terms, synonyms)
-        return docs.join(match(index.posts(_named(found)), found, len(terms)), ["kind", "id"])
+        found = bounded(stored_expansions(index, terms, synonyms))
+        return matching(docs, match(index.posts(_named(found)), found, len(terms)))
     index = postings(docs) if index is None else index
-    found = expansions(dictionary(index), terms, synonyms)
-    return docs.join(match(index, found, len(terms)), ["kind", "id"])
+    found = bounded(expansions(dictionary(index), terms, synonyms))
+    return matching(docs, match(index, found, len(terms)))
 
 
 def distinct_articles(docs: DataFrame) -> DataFrame:

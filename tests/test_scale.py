@@ -214,3 +214,14 @@ def test_a_run_reads_the_folders_of_its_slice(spark, tmp_path):
         (tmp_path / "wiki" / name / "a.json").write_text(json.dumps(row))
     batch = wiki.fetch(ctx, None)
     assert [r.title for r in batch.docs.collect()] == ["T"] and batch.cursor == {"point": 3}
+
+
+def test_a_search_broadcasts_neither_postings_nor_documents(spark):
+    """Files of few bytes can hold many rows: what is broadcast are the expansions of the query's terms."""
+    from cartulary.operators import search
+
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/few_bytes"
+    spark.range(3000).selectExpr("'place' AS kind", "cast(id as string) AS id", "if(id % 3 = 0, 'small ring', 'bolt') AS title").write.parquet(path)
+    hits = search.search(spark.read.parquet(path), "ring zzzz", (), {"ring": ["bolt"]})
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "SortMergeJoin" in plan and hits.count() == 3000
