@@ -533,6 +533,18 @@ def test_kneser_ney_is_a_distribution(spark):
         assert abs((2.0 ** -quality.surprise(model, every)).sum() - 1) < 1e-4
 
 
+def test_kneser_ney_learns_from_every_trusted_text(spark):
+    """The models of both halves know every n-gram of trusted text between them, and each document is judged by the half that lacks it."""
+    docs, labels = labelled(spark, 60)
+    good = quality.trusted(docs, labels)
+    alphabet, models = quality.train_folds(docs, good, Work(spark))
+    sure = docs.join(good, docs.doc_id == good.t_id, "left_semi").select("text", quality._fold()).collect()
+    assert {f for _, f in sure} == {0, 1}
+    for k, model in enumerate(models):
+        some = [t.encode() for t, f in sure if f != k]
+        assert set(quality.ngrams(alphabet, some)[0].tolist()) == set(model[-1][0].tolist())
+
+
 # ---------------------------------------------------------------- 5
 
 
