@@ -545,6 +545,21 @@ def test_kneser_ney_learns_from_every_trusted_text(spark):
         assert set(quality.ngrams(alphabet, some)[0].tolist()) == set(model[-1][0].tolist())
 
 
+def test_tasks_of_an_exchange_stay_small_at_any_size(spark):
+    """12 GB of text: some 64 MB a task, not 200."""
+    from cartulary.llm import common
+
+    size = 12 << 30
+    buckets = common.bucket_count(size)
+    asks = spark.createDataFrame([], common.ASK_SCHEMA)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    tasks = lambda df: max(int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", plan(df)))
+    replies = common.answered(asks, buckets, {}, lambda held: [])
+    assert size / tasks(replies) <= 64 << 20
+    chunks = spark.createDataFrame([], common.CHUNK_SCHEMA)
+    assert size / tasks(common.with_replies(chunks, spark.createDataFrame([], common.REPLY_SCHEMA), size, lambda chunk, got: [], "x long")) <= 64 << 20
+
+
 # ---------------------------------------------------------------- 5
 
 
