@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, PIVOTS, BLOCK, QUERIES = 8192, 1024, 4096, 512
+SAMPLE, PIVOTS, BLOCK, QUERIES, ASKS = 8192, 1024, 4096, 512, 8 << 20
 _EXACT, _LONG = float(1 << 53), (1 << 63) - 1
 
 
@@ -74,6 +74,23 @@ def _pivots(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
     return out
 
 
+def ask_batches(asks):
+    """Rows (qid, dim, v, g) in batches of about ``ASKS`` bytes: a query has a copy of its vector for each group, and Arrow holds 2 GB in a column at most."""
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names=["qid", "dim", "v", "g"])
+
+    held, size = [], 0
+    for row in asks:
+        held.append(row)
+        size += len(row[2]) + 64
+        if size >= ASKS:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def knn_join(vectors: DataFrame, work, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for each row whose id is divisible by every."""
     rows = work.put("vectors", quantized(vectors, id_col, vec_col))
@@ -145,20 +162,19 @@ def knn_join(vectors: DataFrame, work, every: int = 50, k: int = 5, id_col: str
         """The other groups whose bound reaches a query's k-th best score so far."""
         radius = {d: np.array([summary.get(first[d] + i, (0, 0))[1] for i in range(len(p))]) for d, p in pivots.items()}
         used = {d: np.array([first[d] + i in summary for i in range(len(p))]) for d, p in pivots.items()}
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                d = row["dim"]
-                q = np.frombuffer(row["v"])
-                with np.errstate(over="ignore", invalid="ignore"):
-                    size = np.sqrt((q**2).sum())
-                    bound = pivots[d] @ q + size * radius[d]
-                    bound += 1e-9 * (np.abs(pivots[d]) @ np.abs(q) + size * radius[d]) + 1e-3
-                bound = np.nan_to_num(bound, nan=np.inf, posinf=np.inf)
-                go = used[d] if row["floor"] is None else used[d] & (bound >= row["floor"])
-                out += [(row["qid"], d, row["v"], first[d] + g) for g in np.flatnonzero(go).tolist() if first[d] + g != row["g"]]
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names=["qid", "dim", "v", "g"])
+
+        def reached(row):
+            d = row["dim"]
+            q = np.frombuffer(row["v"])
+            with np.errstate(over="ignore", invalid="ignore"):
+                size = np.sqrt((q**2).sum())
+                bound = pivots[d] @ q + size * radius[d]
+                bound += 1e-9 * (np.abs(pivots[d]) @ np.abs(q) + size * radius[d]) + 1e-3
+            bound = np.nan_to_num(bound, nan=np.inf, posinf=np.inf)
+            go = used[d] if row["floor"] is None else used[d] & (bound >= row["floor"])
+            return ((row["qid"], d, row["v"], first[d] + g) for g in np.flatnonzero(go).tolist() if first[d] + g != row["g"])
+
+        yield from ask_batches(ask for batch in batches for row in batch.to_pylist() for ask in reached(row))
 
     asks = queries.join(floor, "qid", "left").select("qid", "dim", "v", "g", "floor").mapInArrow(elsewhere, "qid long, dim int, v binary, g int")
     return top(home.drop("rank").union(met(asks))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

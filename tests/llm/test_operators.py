@@ -583,6 +583,15 @@ def test_knn_against_brute_force(spark, monkeypatch):
     assert knn.knn_join(spark.createDataFrame([], "vec_id long, embedding array<double>"), Work(spark)).count() == 0
 
 
+def test_copies_of_queries_come_in_small_batches(monkeypatch):
+    """One batch of 10 000 queries for 800 groups each would hold more than Arrow can."""
+    monkeypatch.setattr(knn, "ASKS", 4096)
+    asks = [(i, 8, bytes(64), g) for i in range(50) for g in range(40)]
+    got = list(knn.ask_batches(iter(asks)))
+    assert max(b.column("v").nbytes for b in got) <= 8192 and [tuple(r.values()) for b in got for r in b.to_pylist()] == asks
+    assert list(knn.ask_batches(iter([]))) == []
+
+
 def test_scores_stay_exact():
     a, b = np.array([[1 << 40, 3]], np.int64), np.array([[1 << 20, 1]], np.int64)
     assert knn._scores(a, b)[0, 0] == (1 << 60) + 3
