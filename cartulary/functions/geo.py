@@ -147,4 +147,7 @@ def radius_join(left, right, metres: float, max_lat: float, left_at=("lat", "lng
     left = left.withColumns({"_cy": ly, "_cx": lx})
     right = right.withColumn("_cy", F.explode(F.sequence(ry - 1, ry + 1))).withColumn("_cx", F.explode(beside))
     out = left.join(right, ["_cy", "_cx"]).drop("_cy", "_cx")
+    # most pairs of neighbouring cells are apart in one direction alone, which is cheaper to see than the distance
+    aside = F.abs(F.pmod(F.col(left_at[1]) - F.col(right_at[1]) + 180.0, F.lit(360.0)) - 180.0)
+    out = out.where((F.abs(F.col(left_at[0]) - F.col(right_at[0])) <= dlat) & (aside <= 360.0 / columns))
     return out.withColumn("distance", haversine(*left_at, *right_at)).where(F.col("distance") <= float(metres))
