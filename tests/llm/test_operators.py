@@ -269,6 +269,32 @@ def test_marks_never_rule_out_a_similar_pair():
     assert ruled_out > 50
 
 
+def test_keep_one_writes_a_row_a_word_where_groups_are_large(spark, monkeypatch):
+    """A group of near copies of many parts: the groups of brute force, and no table of more rows than the texts have words."""
+    monkeypatch.setattr(simhash, "CELL", 16)
+    rows, put = {}, Work.put
+    monkeypatch.setattr(Work, "put", lambda self, name, df: rows.update({name: (t := put(self, name, df)).count()}) or t)
+    rng = random.Random(26)
+    words = [f"w{i}" for i in range(900)]
+    base = [rng.choice(words) for _ in range(100)]
+    every = [[rng.choice(words) for _ in range(100)] for _ in range(20)]
+    for _ in range(150):
+        text = list(base)
+        for k in rng.sample(range(100), rng.randint(1, 4)):
+            text[k] = rng.choice(words)
+        every.append(text)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in every]
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if g == high else g for g in label]
+    docs = spark.createDataFrame([(i, " ".join(t), None, None, 0) for i, t in enumerate(every)], DOC)
+    assert {r.doc_id for r in simhash.keep_one(docs, Work(spark)).collect()} == set(label) and 20 < len(set(label)) < len(every) - 40
+    assert max(rows.values()) <= simhash.PRINTS * len(every)
+
+
 def test_keep_one_is_not_led_by_a_repeated_line(spark):
     rng = random.Random(24)
     words = [f"w{i}" for i in range(900)]
