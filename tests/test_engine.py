@@ -693,3 +693,20 @@ def test_metrics_streak(spark):
     runs = spark.createDataFrame([("s", 1, "e1", False), ("s", 2, None, True), ("s", 3, "e2", False), ("s", 4, "x" * 600, False), ("t", 1, None, False)], "source string, run_at long, error string, swept boolean")
     got = {r.source: r for r in aggregates.source_metrics(runs).collect()}
     assert got["s"].consecutive_errors == 2 and len(got["s"].last_error) == 500 and got["s"].runs == 4 and got["t"].consecutive_errors == 0
+
+
+def test_near_keys_are_few_and_meet_every_typo(spark):
+    """Terms of any length lie under a bounded number of keys, and a query within its edits of a term has one of them."""
+    rng = random.Random(27)
+    pairs = []
+    for _ in range(1500):
+        term = "".join(rng.choice("abc") for _ in range(rng.randint(4, 40)))
+        query = list(term)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(query))
+            query[at : at + 1] = rng.choice(([], [rng.choice("abc")], [query[at], rng.choice("abc")]))
+        pairs.append(("".join(query), term))
+    rows = spark.createDataFrame(pairs, "query string, term string").select("query", "term", F.levenshtein("query", "term").alias("d"), search.near_keys().alias("keys")).collect()
+    met = [bool(search.probes(r.query) & set(r["keys"])) for r in rows if 1 <= r.d <= search.edits_allowed(r.query)]
+    assert all(met) and len(met) > 1000
+    assert max(len(r["keys"]) for r in rows) <= 1 + search.PREFIX + search.PREFIX * (search.PREFIX - 1) // 2
