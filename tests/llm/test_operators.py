@@ -7,10 +7,12 @@ import html
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -57,6 +59,17 @@ def some(spark):
     return df.repartition(3).cache(), rows
 
 
+def test_row_groups_of_work_tables_stay_small(spark):
+    """Spark holds a row group whole; its writer first looked at the size after 100 rows, which can have megabytes each."""
+    work = Work(spark)
+    docs = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat(sha2(string(id), 512), 1024) AS text")
+    rows = common.pack_chunks(work, docs, target=200_000)
+    assert rows.count() == 60
+    (name,) = rows.inputFiles()
+    meta = pq.ParquetFile(name.removeprefix("file://")).metadata
+    assert max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= 4
+
+
 def no_docs(spark):
     return spark.createDataFrame([], DOC)
 
@@ -888,6 +901,33 @@ def test_suffixes_against_brute_force(spark, some, width):
         suffixes.find_repeats(df, Work(spark), 100)
 
 
+def test_suffixes_of_a_chunk_take_little_memory():
+    rng = np.random.default_rng(4)
+    chunk = common.Chunk(0, np.arange(2), np.array([1 << 20, 2 << 20]), rng.integers(97, 123, 2 << 20).astype(np.uint8).tobytes())
+    common.Rolling(np.zeros(2 << 20, np.uint64))  # makes the shared tables of powers
+    tracemalloc.start()
+    try:
+        suffixes._Suffixes(chunk, 400).records()
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_windows_meet_by_ranges_of_keys(monkeypatch):
+    rng, bucket, seen = np.random.default_rng(5), [], Counter()
+    for chunk in range(20):
+        keys = np.unique(rng.integers(0, 400, 100).astype(np.uint64) << np.uint64(50))
+        vals = np.zeros(len(keys), suffixes._WINDOW)
+        vals["check"], vals["n"] = rng.integers(0, 9, len(keys)), rng.integers(1, 3, len(keys))
+        bucket.append((chunk, suffixes.WINDOW_PART, keys, vals))
+        for k, c, n in zip(keys.tolist(), vals["check"].tolist(), vals["n"].tolist(), strict=True):
+            seen[k, c] += n
+    want = [(c, p, [int(seen[x] > 1) for x in zip(k.tolist(), v["check"].tolist(), strict=True)]) for c, p, k, v in bucket]
+    for most in (1 << 19, 64, 1):
+        monkeypatch.setattr(suffixes, "MEET", most)
+        assert [(c, p, common.dec(d, np.uint8).tolist()) for c, p, d in suffixes._meet_windows(bucket)] == want
+
+
 def test_multikey_order():
     rng = np.random.default_rng(2)
     cols = [rng.integers(0, n, 3000).astype(np.uint64) for n in (3, 5, 9, 4)]
