@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 EARTH_M = 6_371_008.8
 KM_PER_DEGREE = 111.0
+JOIN_TASKS = 64  # of a join by distance
 
 
 def _c(x) -> Column:
@@ -136,7 +137,9 @@ def radius_join(left, right, metres: float, max_lat: float, left_at=("lat", "lng
     """Pairs within metres of each other: equal grid cells (right side dealt to its 3 x 3 neighbours), then the distance.
 
     No theta-only join: a cell is at least as wide as the radius at max_lat, the largest absolute latitude. Columns of cells
-    divide the circle evenly and wrap, so pairs across the 180th meridian meet too.
+    divide the circle evenly and wrap, so pairs across the 180th meridian meet too. Cells are dealt to ``JOIN_TASKS`` tasks at
+    least, whatever the bytes: the pairs are many times the rows, and Spark sizes tasks by the rows' bytes. The chord between two
+    points decides all pairs but those so near the radius that rounding counts, which the distance decides.
     """
     dlat = math.degrees(metres / EARTH_M) * 1.001
     columns = max(1, math.floor(360.0 * math.cos(math.radians(min(89.99, max_lat + dlat))) / dlat))
@@ -144,10 +147,20 @@ def radius_join(left, right, metres: float, max_lat: float, left_at=("lat", "lng
     ly, lx = cell(left_at)
     ry, rx = cell(right_at)
     beside = F.array_distinct(F.transform(F.sequence(rx - 1, rx + 1), lambda x: F.pmod(x, F.lit(columns))))
-    left = left.withColumns({"_cy": ly, "_cx": lx})
-    right = right.withColumn("_cy", F.explode(F.sequence(ry - 1, ry + 1))).withColumn("_cx", F.explode(beside))
-    out = left.join(right, ["_cy", "_cx"]).drop("_cy", "_cx")
+    flat = lambda at: F.cos(F.radians(F.col(at[0])))
+    turn = lambda at: F.radians(F.col(at[1]))
+    unit = lambda at, side: {f"_{side}x": flat(at) * F.cos(turn(at)), f"_{side}y": flat(at) * F.sin(turn(at)), f"_{side}z": F.sin(F.radians(F.col(at[0])))}
+    left = left.withColumns({"_cy": ly, "_cx": lx} | unit(left_at, "l"))
+    right = right.withColumns(unit(right_at, "r")).withColumn("_cy", F.explode(F.sequence(ry - 1, ry + 1))).withColumn("_cx", F.explode(beside))
+    tasks = max(JOIN_TASKS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = left.repartition(tasks, "_cy", "_cx").join(right.repartition(tasks, "_cy", "_cx"), ["_cy", "_cx"])
     # most pairs of neighbouring cells are apart in one direction alone, which is cheaper to see than the distance
     aside = F.abs(F.pmod(F.col(left_at[1]) - F.col(right_at[1]) + 180.0, F.lit(360.0)) - 180.0)
     out = out.where((F.abs(F.col(left_at[0]) - F.col(right_at[0])) <= dlat) & (aside <= 360.0 / columns))
-    return out.withColumn("distance", haversine(*left_at, *right_at)).where(F.col("distance") <= float(metres))
+    apart = [F.col(f"_l{k}") - F.col(f"_r{k}") for k in "xyz"]
+    chord = apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2]
+    most = (2 * math.sin(min(metres / EARTH_M, math.pi) / 2)) ** 2
+    distance = haversine(*left_at, *right_at)
+    slack = most * 1e-9 + math.sqrt(most) * 1e-14 + 1e-28  # far more than what rounding does to either
+    out = out.where((chord < most - slack) | ((chord <= most + slack) & (distance <= float(metres))))
+    return out.drop("_cy", "_cx", *(f"_{side}{k}" for side in "lr" for k in "xyz")).withColumn("distance", distance)

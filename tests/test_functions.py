@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -141,3 +142,14 @@ def test_radius_join_is_complete(spark):
     want = {(a.id, b.r_id) for a in left.collect() for b in right.collect() if geo.haversine_m(a.lat, a.lng, b.r_lat, b.r_lng) <= 25_000}
     rows = geo.radius_join(left, right, 25_000, 40.1).select("id", "r_id").collect()
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def test_radius_join_is_dealt_to_many_tasks_and_exact_at_the_radius(spark):
+    left = spark.range(120).select("id", (38 + F.rand(100) * 2).alias("lat"), (-106 + F.rand(200) * 2).alias("lng")).cache()
+    right = spark.range(120).select(F.col("id").alias("r_id"), (38 + F.rand(300) * 2).alias("r_lat"), (-106 + F.rand(400) * 2).alias("r_lng")).cache()
+    pairs = left.crossJoin(right).select("id", "r_id", geo.haversine("lat", "lng", "r_lat", "r_lng").alias("d")).collect()
+    for most in sorted(p.d for p in pairs)[5:1500:700]:  # of these, one pair lies at the radius
+        rows = geo.radius_join(left, right, most, 40.1).select("id", "r_id").collect()
+        assert Counter(map(tuple, rows)) == Counter((p.id, p.r_id) for p in pairs if p.d <= most)
+    # tables of few bytes have many pairs: Spark alone would make it one task
+    assert geo.radius_join(left, right, 25_000, 40.1).rdd.getNumPartitions() >= 64
